@@ -119,6 +119,14 @@ def count_where(df: DataFrame, conditions: list[Condition]) -> DataFrame:
     return where_all(df, conditions).agg(F.count(F.lit(1)).alias("count"))
 
 
+def multi_count_where(df: DataFrame, filters: dict[str, list[Condition]]) -> DataFrame:
+    """(filter, count) of several filters in one pass over the table."""
+    flags = [reduce(and_, [predicate(c) for c in cs]) if cs else F.lit(True) for cs in filters.values()]
+    row = df.agg(*[F.count_if(f).alias(f"_{k}") for k, f in enumerate(flags)])
+    rows = [F.struct(F.lit(n).alias("filter"), F.col(f"_{k}").alias("count")) for k, n in enumerate(filters)]
+    return row.select(F.inline(F.array(*rows)))
+
+
 def non_null_counts(df: DataFrame) -> DataFrame:
     """(field, count of non-null values), all fields in one pass."""
     row = df.agg(*[F.count(f"`{c}`").alias(c) for c in df.columns])

@@ -48,7 +48,7 @@ def running_count(counts: DataFrame, keys: list[str], value: str, count: str = "
     """
     key = order_key(F.col(value), counts.schema[value].dataType)
     cuts = counts.agg(F.percentile_approx(key, _fractions(CHUNKS), 2000).alias("cuts")).scalar()
-    chunked = counts.withColumn("_chunk", _chunk_of(cuts, key))
+    chunked = counts.withColumn("_cuts", cuts).withColumn("_chunk", _chunk_of(F.col("_cuts"), key)).drop("_cuts")
     per_chunk = chunked.groupBy(*keys, "_chunk").agg(F.sum(count).alias("_n"))
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
     offsets = per_chunk.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.parsing import FieldType
 from cohortlake.operators import cells
-from cohortlake.operators.criteria import Condition, count_where, filter_dataset, match_aggregate, non_null_counts, table_page, where_all
+from cohortlake.operators.criteria import Condition, count_where, filter_dataset, match_aggregate, multi_count_where, non_null_counts, table_page, where_all
 from cohortlake.plans.catalog import query, rounded
 
 # a value column with gaps, as the tables themselves have none
@@ -50,11 +50,7 @@ def _(t):
         Condition("event_type", "regex", "C[LH]"),
         Condition("event_type", "not regex", "C[LH]"),
     ]
-    parts = [count_where(e, [c]).select(F.lit(c.op).alias("op"), "count") for c in conditions]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return multi_count_where(e, {c.op: [c] for c in conditions}).withColumnRenamed("filter", "op")
 
 
 @query(
@@ -204,6 +200,11 @@ def _(t):
     return non_null_counts(gappy(t).select("event_id", "ts", "user_id", "value"))
 
 
+@query("count_where", "F20", f"SELECT count(*) AS count FROM (SELECT {GAPS} AS value, user_id FROM events) WHERE value IS DISTINCT FROM 5.0 AND user_id >= 20")
+def _(t):
+    return count_where(gappy(t), [Condition("value", "!=", 5.0), Condition("user_id", ">=", 20)])
+
+
 @query(
     "match_agg_pipeline",
     "F26",

@@ -95,18 +95,14 @@ def euclidean_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def pearson_all_defined(df: DataFrame, vector: str, names: list[str] | None = None) -> DataFrame:
-    """Pearson correlations of the elements of a numeric array column without missing values.
+def _products(df: DataFrame, vector: str, p: int, shifted: bool = True) -> DataFrame:
+    """(i, j, n, si, sj, sij) for i <= j over a numeric array column without missing values.
 
     Each task adds up a p x p product matrix with numpy and emits it once; Spark sums these
-    partial matrices. The values are shifted by the first row's so that the sums keep digits.
+    partial matrices. The values can be shifted by the first row's so that the sums keep digits.
     """
-    shift = df.select(F.col(vector).cast("array<double>").alias("v")).first()
-    if shift is None:
-        return df.sparkSession.createDataFrame([], "i string, j string, value double")
-    base = np.array(shift["v"])
-    p = len(base)
-    labels = names or [str(k) for k in range(p)]
+    array = F.col(vector).cast("array<double>")
+    base = np.array(df.select(array.alias("v")).first()["v"]) if shifted else 0.0
     upper_i, upper_j = np.triu_indices(p)
 
     def partial(batches):
@@ -120,20 +116,40 @@ def pearson_all_defined(df: DataFrame, vector: str, names: list[str] | None = No
             )
 
     sums = (
-        df.select(F.col(vector).cast("array<double>").alias("v"))
+        df.select(array.alias("v"))
         .mapInPandas(partial, "i int, j int, n long, si double, sj double, sij double")
         .groupBy("i", "j")
-        .agg(F.sum("n").alias("n"), F.sum("si").alias("si"), F.sum("sj").alias("sj"), F.sum("sij").alias("sij"))
-        .withColumn("cov", F.col("sij") - F.col("si") * F.col("sj") / F.col("n"))
+        .agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
     )
-    sums = settle(sums, "products")
-    var = sums.where("i = j").select(F.col("i").alias("k"), F.col("cov").alias("var"))
-    a, b = var.toDF("i", "vi"), var.toDF("j", "vj")
-    r = F.try_divide(F.col("cov"), F.sqrt("vi") * F.sqrt("vj"))
-    upper = sums.where("i < j").join(a, "i").join(b, "j")
+    return settle(sums, "products")
+
+
+def _all_defined(
+    df: DataFrame, vector: str, names: list[str] | None, own: Column, value: Column, diagonal: float, shifted: bool = True
+) -> DataFrame:
+    """Matrix whose entry is ``value`` over a product row and the ``own`` value of its two sides."""
+    size = df.select(F.size(vector).alias("p")).first()
+    if size is None:
+        return df.sparkSession.createDataFrame([], "i string, j string, value double")
+    labels = names or [str(k) for k in range(size["p"])]
+    sums = _products(df, vector, size["p"], shifted)
+    sides = sums.where("i = j").select(F.col("i").alias("k"), own.alias("own"))
+    both = sums.where("i < j").join(sides.toDF("i", "oi"), "i").join(sides.toDF("j", "oj"), "j")
     name = F.array(*[F.lit(x) for x in labels])
-    upper = upper.select(F.try_element_at(name, F.col("i") + 1).alias("i"), F.try_element_at(name, F.col("j") + 1).alias("j"), r.alias("value"))
-    return _symmetric(upper, labels, 1.0)
+    upper = both.select(F.get(name, F.col("i")).alias("i"), F.get(name, F.col("j")).alias("j"), value.alias("value"))
+    return _symmetric(upper, labels, diagonal)
+
+
+def pearson_all_defined(df: DataFrame, vector: str, names: list[str] | None = None) -> DataFrame:
+    """Pearson correlations of the elements of a numeric array column without missing values."""
+    cov = F.col("sij") - F.col("si") * F.col("sj") / F.col("n")
+    return _all_defined(df, vector, names, cov, F.try_divide(cov, F.sqrt("oi") * F.sqrt("oj")), 1.0)
+
+
+def euclidean_all_defined(df: DataFrame, vector: str, names: list[str] | None = None) -> DataFrame:
+    """Distances between the elements of a numeric array column without missing values."""
+    squares = F.col("oi") + F.col("oj") - 2 * F.col("sij")
+    return _all_defined(df, vector, names, F.col("sij"), F.sqrt(F.greatest(F.lit(0.0), squares)), 0.0, shifted=False)
 
 
 def mean_abs_correlation(matrix: DataFrame) -> DataFrame:

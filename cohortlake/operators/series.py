@@ -101,12 +101,14 @@ def series_errors(df: DataFrame, errors: str, square_errors: str, variance: str,
     )
 
 
-def segments_to_arrays(df: DataFrame, keys: list[str], order: list[str], values: list[str], label: str) -> DataFrame:
+def segments_to_arrays(
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], label: str, extra: list[str] = ()
+) -> DataFrame:
     """Each segment as one row with ordered arrays; a segment holds as many rows as its window size."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, *values)))
-    rows = df.groupBy(*keys).agg(packed.alias("_rows"), F.min(label).alias(label) if label not in keys else F.count(F.lit(1)).alias("_n"))
-    out = [F.transform("_rows", _member(v)).alias(v) for v in values]
-    return rows.select(*keys, *([label] if label not in keys else []), *out)
+    columns = list(dict.fromkeys([*order, *values, *extra]))
+    packed = F.array_sort(F.collect_list(F.struct(*columns)))
+    rows = df.groupBy(*keys).agg(packed.alias("_rows"), F.min(label).alias(label))
+    return rows.select(*keys, label, *[F.transform("_rows", _member(v)).alias(v) for v in [*values, *extra]])
 
 
 def filter_sort(df: DataFrame, field: str, text: str | None, order: str | None = None, ascending: bool = True) -> DataFrame:

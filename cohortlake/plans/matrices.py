@@ -138,20 +138,25 @@ def _(t):
     return rounded(m.column_means(m.array_to_matrix(t.embeddings, "vec_id", "embedding")), 7)
 
 
+DISTANCES = """SELECT CAST(a.j AS VARCHAR) AS i, CAST(b.j AS VARCHAR) AS j, sum((a.v - b.v) * (a.v - b.v)) AS d2 FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2"""
+DIMENSIONS = "SELECT vec_id, j - 1 AS j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(j)"
+
+
 def _dimension_distances(t):
-    """Euclidean distances between the first 16 of the 64 embedding dimensions, over all vectors."""
-    names = [f"d{k:02d}" for k in range(16)]
-    wide = t.embeddings.select(*[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
-    return m.euclidean_matrix(wide, names)
+    """Distances between the embedding dimensions, over all vectors."""
+    return m.euclidean_all_defined(t.embeddings, "embedding")
+
+
+@query("euclidean_all_defined", "H4", f"WITH e AS ({DIMENSIONS}) SELECT i, j, round(sqrt(d2), 6) AS value FROM ({DISTANCES})")
+def _(t):
+    return rounded(_dimension_distances(t))
 
 
 @query(
     "gram_matrix",
     "H9",
-    """WITH e AS (SELECT vec_id, j - 1 AS j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 17) r(j)),
-       g AS (SELECT 'd' || lpad(CAST(a.j AS VARCHAR), 2, '0') AS i, 'd' || lpad(CAST(b.j AS VARCHAR), 2, '0') AS j,
-             -0.5 * sum((a.v - b.v) * (a.v - b.v)) AS g FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2)
-       SELECT i, j, round(g - avg(g) OVER (PARTITION BY i) - avg(g) OVER (PARTITION BY j) + avg(g) OVER (), 6) AS value FROM g""",
+    f"""WITH e AS ({DIMENSIONS}), g AS (SELECT i, j, -0.5 * d2 AS g FROM ({DISTANCES}))
+        SELECT i, j, round(g - avg(g) OVER (PARTITION BY i) - avg(g) OVER (PARTITION BY j) + avg(g) OVER (), 6) AS value FROM g""",
 )
 def _(t):
     return rounded(m.gram_matrix(_dimension_distances(t)))
@@ -227,13 +232,13 @@ def _(t):
 @query(
     "vector_norms",
     "H16",
-    """WITH e AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS x, CAST(embedding[k + 17] AS DOUBLE) AS y, CAST(embedding[k + 33] AS DOUBLE) AS z
-                  FROM embeddings, range(16) r(k))
+    """WITH e AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS x, CAST(embedding[k + 22] AS DOUBLE) AS y, CAST(embedding[k + 43] AS DOUBLE) AS z
+                  FROM embeddings, range(21) r(k))
        SELECT vec_id, CAST(k AS INTEGER) AS pos, round(abs(x) + abs(y) + abs(z), 6) AS manhattan, round(sqrt(x * x + y * y + z * z), 6) AS euclidean FROM e""",
 )
 def _(t):
     v = F.col("embedding").cast("array<double>")
-    both = m.norms(F.slice(v, 1, 16), F.slice(v, 17, 16), F.slice(v, 33, 16))
+    both = m.norms(F.slice(v, 1, 21), F.slice(v, 22, 21), F.slice(v, 43, 21))
     rows = t.embeddings.select("vec_id", *[c.alias(n) for n, c in both.items()])
     out = rows.select("vec_id", F.posexplode("manhattan").alias("pos", "manhattan"), "euclidean")
     return rounded(out.withColumn("euclidean", F.get("euclidean", F.col("pos"))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortlake.functions.parsing import let
+
 DIFFERENCES = ("diff", "relative_diff", "ratio", "log_ratio")
 MOVING = ("min", "max", "mean")
 SCALERS = ("l1", "l2", "standard", "min_max_01", "min_max_11", "max_abs")
@@ -54,21 +56,30 @@ def scale_series(c: Column, method: str) -> Column:
     series becomes 0 (standard) or the middle of the target range (min-max).
     """
     c = c.cast("array<double>")
-    lo, hi = F.array_min(c), F.array_max(c)
     if method in ("l1", "l2"):
         return F.transform(c, lambda x: F.when(x == 0, 0.0).otherwise(x / F.abs(x)))
     if method == "standard":
-        n = F.size(c)
-        mean = F.try_divide(_total(c), n)
-        ss = F.aggregate(c, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        sd = F.sqrt(F.try_divide(ss, n - 1))
-        return F.transform(c, lambda x: F.when(F.coalesce(sd, F.lit(0.0)) == 0, 0.0).otherwise(F.try_divide(x - mean, sd)))
+        stats = F.struct(c.alias("c"), F.try_divide(_total(c), F.size(c)).alias("mean"))
+
+        def scaled(s: Column) -> Column:
+            ss = F.aggregate(s["c"], F.lit(0.0), lambda a, x: a + (x - s["mean"]) * (x - s["mean"]))
+            sd = F.coalesce(F.sqrt(F.try_divide(ss, F.size(s["c"]) - 1)), F.lit(0.0))
+            whole = F.struct(s["c"].alias("c"), s["mean"].alias("mean"), sd.alias("sd"))
+            return let(whole, lambda w: F.transform(w["c"], lambda x: F.coalesce(F.try_divide(x - w["mean"], w["sd"]), F.lit(0.0))))
+
+        return let(stats, scaled)
+    ends = F.struct(c.alias("c"), F.array_min(c).alias("lo"), F.array_max(c).alias("hi"))
     if method in ("min_max_01", "min_max_11"):
         low, width = (0.0, 1.0) if method == "min_max_01" else (-1.0, 2.0)
-        return F.transform(c, lambda x: F.when(hi == lo, low + width / 2).otherwise(F.try_divide(x - lo, hi - lo) * width + low))
+        middle = F.lit(low + width / 2)
+
+        def place(s: Column, x: Column) -> Column:
+            return F.coalesce(F.try_divide(x - s["lo"], s["hi"] - s["lo"]) * width + low, middle)
+
+        return let(ends, lambda s: F.transform(s["c"], lambda x: place(s, x)))
     if method == "max_abs":
-        top = F.greatest(F.abs(lo), F.abs(hi))
-        return F.transform(c, lambda x: F.coalesce(F.try_divide(x, top), F.lit(0.0)))
+        top = lambda s: F.greatest(F.abs(s["lo"]), F.abs(s["hi"]))
+        return let(ends, lambda s: F.transform(s["c"], lambda x: F.coalesce(F.try_divide(x, top(s)), F.lit(0.0))))
     raise ValueError(f"unknown scaler {method}")
 
 
@@ -81,12 +92,16 @@ def extract_peaks(c: Column, peaks: int, share: float | None = None) -> Column:
     c = c.cast("array<double>")
     inner = F.when(F.size(c) > 2, F.sequence(F.lit(1), F.size(c) - 2)).otherwise(F.array().cast("array<int>"))
     minima = F.filter(inner, lambda i: (F.get(c, i) < F.get(c, i - 1)) & (F.get(c, i + 1) >= F.get(c, i)))
-    if share is not None:
-        ranked = F.array_sort(F.transform(minima, lambda i: F.struct(F.get(c, i).alias("v"), i.alias("i"))))
-        lowest = F.slice(ranked, F.lit(1), F.floor(F.size(minima) * F.lit(share)).cast("int"))
-        minima = F.array_sort(F.transform(lowest, lambda e: e["i"]))
-    first, last = F.get(minima, F.lit(0)), F.get(minima, F.lit(peaks))
-    return F.when(F.size(minima) > peaks, F.slice(c, first + 1, last - first))
+
+    def lowest(found: Column) -> Column:
+        ranked = F.array_sort(F.transform(found, lambda i: F.struct(F.get(c, i).alias("v"), i.alias("i"))))
+        return F.array_sort(F.transform(F.slice(ranked, F.lit(1), F.floor(F.size(found) * F.lit(share)).cast("int")), lambda e: e["i"]))
+
+    def part(found: Column) -> Column:
+        first, last = F.get(found, F.lit(0)), F.get(found, F.lit(peaks))
+        return F.when(F.size(found) > peaks, F.slice(c, first + 1, last - first))
+
+    return let(minima if share is None else let(minima, lowest), part)
 
 
 def trim_series(c: Column, drop_left: int = 0, drop_right: int = 0, length: int | None = None) -> Column:

@@ -68,7 +68,8 @@ def _classifier(kind: str, features: int, classes: int, **params):
         "mlp": lambda: mc.MultilayerPerceptronClassifier(seed=SEED, **{"layers": [features, 16, classes], **params}),
         "decision_tree": lambda: mc.DecisionTreeClassifier(seed=SEED, **params),
         "random_forest": lambda: mc.RandomForestClassifier(seed=SEED, **params),
-        "naive_bayes": lambda: mc.NaiveBayes(**params),
+        # features may be negative
+        "naive_bayes": lambda: mc.NaiveBayes(**{"modelType": "gaussian", **params}),
     }
     if kind not in makers:
         raise ValueError(f"unknown classifier {kind}")
@@ -121,9 +122,6 @@ def classify(
 def _classify(train, test, kind, replication=None, **params) -> DataFrame:
     head = train.agg(F.max("label").alias("top"), F.first(F.size(vector_to_array("features"))).alias("p")).first()
     stages = [_classifier(kind, head["p"], int(head["top"]) + 1, **params)]
-    if kind == "naive_bayes":  # needs features that are not negative
-        stages[0].setFeaturesCol("_scaled")
-        stages.insert(0, mf.MinMaxScaler(inputCol="features", outputCol="_scaled"))
     model = Pipeline(stages=stages).fit(train)
     sets = {"training": train, "test": test, **({"replication": replication} if replication is not None else {})}
     return _evaluate(model, kind, sets, me.MulticlassClassificationEvaluator(), CLASS_METRICS)

@@ -125,7 +125,7 @@ def _(t):
 
 @query("heatmap", "J9", agg.grid_sql([("p_size", 6), ("p_retailprice", 5)], "part", "avg(v)", "value", "p_partkey"))
 def _(t):
-    return rounded(charts.heatmap(t.part, "p_size", "p_retailprice", "p_partkey", 6, 5), 4)
+    return rounded(charts.heatmap(t.part, "p_size", "p_retailprice", "p_partkey", 6, 5).withColumn("value", F.round("value", 4)))
 
 
 @query("grid_distribution", "J10", agg.grid_sql([("user_id", 10), ("value", 10)], "events", "count(*)", "count"))

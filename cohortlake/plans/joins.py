@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import link
 from cohortlake.operators.link import LinkSide
+from cohortlake.operators.match import match_confounders
 from cohortlake.plans.catalog import query
 from cohortlake.plans.edits import GAPS, gappy
 
@@ -191,3 +192,28 @@ def _(t):
     visits = visits.select("user_id", F.col("ts").alias("vt"), F.col("event_id").alias("visit_no"), F.col("value").alias("age"))
     acts = t.events.select("event_id", "user_id", "ts")
     return link.asof_visit(acts, visits, "user_id", "ts", "vt", ["visit_no"], ["age"])
+
+
+@query(
+    "match_confounders",
+    "D5",
+    """WITH r AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS k
+                  FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')),
+       n AS (SELECT c_nationkey, least(count(*) FILTER (c_mktsegment = 'BUILDING'), count(*) FILTER (c_mktsegment = 'MACHINERY') // 2,
+             count(*) FILTER (c_mktsegment = 'FURNITURE')) AS served FROM r GROUP BY 1),
+       u AS (SELECT r.*, CASE WHEN c_mktsegment = 'MACHINERY' THEN k // 2 ELSE k END AS nr, served FROM r JOIN n USING (c_nationkey))
+       SELECT u.c_custkey, u.c_nationkey, u.c_mktsegment, c.c_custkey AS matched_case FROM u
+       JOIN u c ON c.c_nationkey = u.c_nationkey AND c.nr = u.nr AND c.c_mktsegment = 'BUILDING' WHERE u.nr < u.served""",
+)
+def _(t):
+    rows = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").withColumn("place", F.col("c_nationkey").cast("string"))
+    ratios = {"BUILDING": 1, "MACHINERY": 2, "FURNITURE": 1}
+    return match_confounders(rows, "c_custkey", "c_mktsegment", ratios, ["place"], order="c_custkey").drop("place")
+
+
+@query("match_confounders_numeric", "D5")
+def _(t):
+    rows = t.customer.withColumn("place", F.concat(F.lit("n"), F.col("c_nationkey") % 5))
+    ratios = {"BUILDING": 1, "MACHINERY": 1, "FURNITURE": 1}
+    out = match_confounders(rows, "c_custkey", "c_mktsegment", ratios, ["place", "c_acctbal"], 0.02)
+    return out.select("c_custkey", "c_mktsegment", "c_acctbal", "matched_case")

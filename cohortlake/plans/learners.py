@@ -1 +1,161 @@
-"""Placeholder."""
+"""Feature frames, learners and clusterings."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from cohortlake.operators import learning as ml
+from cohortlake.plans.catalog import query, rounded
+
+
+def _index(c: str) -> str:
+    return f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE)"
+
+
+@query(
+    "features_frame",
+    "L1",
+    f"""SELECT o_orderkey, {_index('o_orderpriority')} AS f0, o_totalprice AS f1, {_index('status')} AS label
+        FROM (SELECT *, nullif(o_orderstatus, 'P') AS status FROM orders) WHERE status IS NOT NULL""",
+)
+def _(t):
+    rows = t.orders.withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
+    out = ml.features_frame(rows, ["o_orderpriority", "o_totalprice"], "status", ["o_orderkey"])
+    v = vector_to_array("features")
+    return out.select("o_orderkey", v[0].alias("f0"), v[1].alias("f1"), "label")
+
+
+@query("discretize", "L2")
+def _(t):
+    return ml.discretize(t.part.select("p_partkey", F.col("p_retailprice")), ["p_retailprice"], 8)
+
+
+def _vectors(t):
+    return ml.vector_frame(t.embeddings, "embedding", "label", ["vec_id"])
+
+
+def _binary(t):
+    rows = t.orders.select(F.col("o_totalprice"), F.month("o_orderdate").alias("month"), "o_orderpriority", (F.col("o_orderstatus") == "F").alias("done"))
+    return ml.features_frame(rows, ["o_totalprice", "month", "o_orderpriority"], "done")
+
+
+def _classify(name, kind, frame, **params):
+    @query(f"classify_{name}", "L3")
+    def _(t):
+        return ml.classify(frame(t).drop("vec_id"), kind, **params)
+
+
+_classify("logistic_regression", "logistic_regression", _vectors, maxIter=20)
+_classify("mlp", "mlp", _vectors, maxIter=30)
+_classify("decision_tree", "decision_tree", _vectors)
+_classify("random_forest", "random_forest", _vectors, numTrees=10)
+_classify("gradient_boosted_trees", "gradient_boosted_trees", _binary, maxIter=5)
+_classify("naive_bayes", "naive_bayes", _vectors)
+_classify("linear_svc", "linear_svc", _binary)
+
+
+def _prices(t):
+    rows = t.part.select("p_size", "p_type", "p_brand", "p_retailprice")
+    return ml.features_frame(rows, ["p_size", "p_type", "p_brand"], "p_retailprice")
+
+
+def _regress(kind, **params):
+    @query(f"regress_{kind}", "L4")
+    def _(t):
+        return ml.regress(_prices(t), kind, **params)
+
+
+_regress("linear")
+_regress("generalized_linear", maxIter=10)
+_regress("decision_tree")
+_regress("random_forest", numTrees=10)
+_regress("gradient_boosted_trees", maxIter=5)
+
+
+@query("forecast_rows", "L5")
+def _(t):
+    return ml.forecast_rows(t.events, ["value"], "value", ["ts", "event_id"], 3, "linear", group="user_id")
+
+
+@query("forecast_rows_classification", "L5")
+def _(t):
+    rows = t.events.withColumn("high", (F.col("value") > 50).cast("double"))
+    return ml.forecast_rows(rows, ["value"], "high", ["ts", "event_id"], 3, "logistic_regression", "classification", group="user_id")
+
+
+@query("forecast_series", "L6")
+def _(t):
+    from cohortlake.operators.series import io_series
+
+    steps = io_series(t.embeddings, "vec_id", ["embedding"], "embedding")
+    return ml.forecast_series(steps, "vec_id", ["in_1"], 4, "linear")
+
+
+def _cluster(kind, **options):
+    @query(f"cluster_{kind}", "L7")
+    def _(t):
+        return ml.cluster(_vectors(t).drop("label"), kind, 5, **options).select("vec_id", "cluster")
+
+
+_cluster("kmeans", scale="standard", maxIter=10)
+_cluster("bisecting_kmeans", maxIter=10)
+_cluster("gaussian_mixture", components=4, maxIter=10)
+_cluster("lda", scale="min_max_01", maxIter=5)
+
+
+@query("cluster_pca12", "L8")
+def _(t):
+    return ml.cluster_pca12(_vectors(t).drop("label"), "kmeans", 4, maxIter=10)
+
+
+@query("pca", "L9")
+def _(t):
+    out = ml.pca(_vectors(t), 3)
+    return out.select("vec_id", F.posexplode(vector_to_array("pca")).alias("component", "value"))
+
+
+COLUMN_SCALE_SQL = {
+    "l1": "x / s1",
+    "l2": "x / s2",
+    "standard": "(x - m) / sd",
+    "min_max_01": "(x - lo) / (hi - lo)",
+    "min_max_11": "(x - lo) / (hi - lo) * 2 - 1",
+    "max_abs": "x / greatest(abs(lo), abs(hi))",
+}
+
+
+@query(
+    "scale_features",
+    "L10",
+    """WITH s AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(k)),
+       c AS (SELECT k, min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_samp(x) AS sd FROM s GROUP BY 1),
+       v AS (SELECT vec_id, sum(abs(x)) AS s1, sqrt(sum(x * x)) AS s2 FROM s GROUP BY 1)
+       SELECT vec_id, CAST(k AS INTEGER) AS pos, """
+    + ", ".join(f"round({e}, 6) AS {n}" for n, e in COLUMN_SCALE_SQL.items())
+    + " FROM s JOIN c USING (k) JOIN v USING (vec_id)",
+)
+def _(t):
+    frame = _vectors(t)
+    for method in COLUMN_SCALE_SQL:
+        frame = ml.scale_features(frame, method, output=method)
+    arrays = frame.select("vec_id", *[vector_to_array(c).alias(c) for c in COLUMN_SCALE_SQL])
+    packed = arrays.select("vec_id", F.posexplode(F.arrays_zip(*COLUMN_SCALE_SQL)).alias("pos", "z"))
+    return rounded(packed.select("vec_id", "pos", *[F.col(f"z.{c}").alias(c) for c in COLUMN_SCALE_SQL]))
+
+
+@query(
+    "order_value_map",
+    "L11",
+    """SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '4-NOT SPECIFIED' THEN 1 WHEN '3-MEDIUM' THEN 2
+       WHEN '2-HIGH' THEN 3 ELSE 4 END AS position FROM orders""",
+)
+def _(t):
+    order = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
+    return ml.order_value_map(t.orders, "o_orderpriority", order, "position").select("o_orderkey", "position")
+
+
+@query("run_summary", "L12")
+def _(t):
+    frame = _vectors(t).drop("vec_id")
+    return ml.run_summary([ml.classify(frame, "decision_tree", seed=s, maxDepth=3) for s in (1, 2, 3)])

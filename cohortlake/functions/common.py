@@ -44,17 +44,22 @@ def to_double(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of the key columns of two frames."""
-    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join on keys where null matches null; the right key columns are dropped.
+
+    Keys that cannot be null on one side are compared plainly, so the join can use the
+    partitioning the rows already have.
+    """
+    names = {k: f"__r_{i}" for i, k in enumerate(keys)}
+    marked = right.withColumnsRenamed(names)
 
+    def same(k: str) -> Column:
+        if left.schema[k].nullable and right.schema[k].nullable:
+            return left[k].eqNullSafe(marked[names[k]])
+        return left[k] == marked[names[k]]
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join on keys where null matches null; the right key columns are dropped."""
-    marked = right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)})
-    cond = reduce(and_, [left[k].eqNullSafe(marked[f"__r_{i}"]) for i, k in enumerate(keys)])
-    out = left.join(marked, cond, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{i}" for i in range(len(keys))])
+    out = left.join(marked, reduce(and_, [same(k) for k in keys]), how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
 
 
 def require(df: DataFrame, names: list[str]) -> None:

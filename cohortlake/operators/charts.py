@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions.common import dtype, to_double
 from cohortlake.operators import histogram, hypothesis, matrix, ordered, quantiles, stats
 from cohortlake.operators.criteria import Condition, predicate, where_all
+from cohortlake.operators.scan import global_index
 from cohortlake.session import settle
 
 UNDEFINED = "Undefined"
@@ -35,11 +36,14 @@ def distribution_categorical(
     totals = counts.groupBy("label").agg(F.sum("count").alias("total"))
     if top is not None:
         totals = totals.orderBy(F.desc("total"), F.desc("label")).limit(top)
-    # a chart has few labels: position by a window over the label totals only
-    totals = totals.withColumn("position", F.row_number().over(W.orderBy("total", "label")))
-    groups = counts.join(totals.select("label"), "label", "left_semi").select("group").distinct()
-    labels = totals.agg(F.collect_list(F.struct("label", "position")).alias("l")).scalar()
-    frame = groups.select("group", F.inline(labels))
+    totals = global_index(totals, ["total", "label"], "position").withColumn("position", (F.col("position") + 1).cast("int"))
+    if group:
+        # a group field has few values; every label row is repeated for each of them
+        shown = counts.join(totals.select("label"), "label", "left_semi")
+        groups = shown.agg(F.collect_set("group").alias("g")).scalar()
+        frame = totals.select(F.explode(groups).alias("group"), "label", "position")
+    else:
+        frame = totals.select(F.lit("All").alias("group"), "label", "position")
     out = frame.join(counts, ["group", "label"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
     if relative:
         share = F.try_divide(F.col("count"), F.sum("count").over(W.partitionBy("group")))
@@ -131,16 +135,19 @@ def _per_filter(df: DataFrame, filters: dict[str, list[Condition]]) -> DataFrame
     return df.withColumn("filter", F.explode(tags))
 
 
-def compare_filters(df: DataFrame, field: str, filters: dict[str, list[Condition]]) -> dict[str, DataFrame]:
+def compare_filters(
+    df: DataFrame, field: str, filters: dict[str, list[Condition]], parts: tuple[str, ...] = ("distribution", "box", "stats")
+) -> dict[str, DataFrame]:
     """Distribution, box and statistics (or label counts) of a field, side by side per filter."""
     tagged = _per_filter(df.select(*dict.fromkeys([field, *[c.field for cs in filters.values() for c in cs]])), filters)
     if dtype(df, field).typeName() in ("string", "boolean"):
         return {"distribution": distribution_categorical(tagged, field, "filter")}
-    return {
-        "distribution": distribution_numeric(tagged, field, "filter"),
-        "box": box(tagged, field, "filter"),
-        "stats": stats.group_basic_stats(tagged, "filter", field),
+    tables = {
+        "distribution": lambda: distribution_numeric(tagged, field, "filter"),
+        "box": lambda: box(tagged, field, "filter"),
+        "stats": lambda: stats.group_basic_stats(tagged, "filter", field),
     }
+    return {p: tables[p]() for p in parts}
 
 
 def dashboard(

@@ -17,6 +17,7 @@ from cohortlake.functions.parsing import (
     parse,
     try_parse,
 )
+from cohortlake.operators.scan import global_index
 
 # Fixed order in which the types are tried; the first that accepts every value wins.
 # Enum and its array form come between the static types and plain text.
@@ -154,12 +155,9 @@ def change_types(df: DataFrame, types: dict[str, FieldType], current: dict[str,
 
 
 def enum_codes(df: DataFrame, column: str) -> DataFrame:
-    """(label, code) with labels sorted and codes from 0.
-
-    A dictionary-sized result: the window runs over distinct labels only.
-    """
+    """(label, code) with labels sorted and codes from 0."""
     labels = df.select(clean_text(F.col(column).cast("string")).alias("label")).where("label IS NOT NULL").distinct()
-    return labels.select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("int").alias("code"))
+    return global_index(labels, ["label"], "code").select("label", F.col("code").cast("int").alias("code"))
 
 
 def infer_enum(
@@ -202,7 +200,7 @@ def merge_enum(old: DataFrame, new_labels: DataFrame) -> DataFrame:
     """Extend an enum (code, label): new labels, sorted, get the codes after the largest old one."""
     fresh = new_labels.select("label").where("label IS NOT NULL").distinct().join(old, "label", "left_anti")
     top = old.agg(F.coalesce(F.max("code"), F.lit(-1)).alias("m")).scalar()
-    added = fresh.select((top + F.row_number().over(W.orderBy("label"))).cast("int").alias("code"), "label")
+    added = global_index(fresh, ["label"], "at").select((top + F.col("at") + 1).cast("int").alias("code"), "label")
     return old.select("code", "label").unionByName(added)
 
 

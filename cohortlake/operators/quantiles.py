@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions.common import dtype, join_null_safe
-from cohortlake.operators.scan import order_key, running_count
+from cohortlake.operators.scan import lay_out, order_key, running_count
 from cohortlake.session import settle
 
 
@@ -21,9 +21,8 @@ def _value_counts(df: DataFrame, column: str, group: str | None) -> DataFrame:
 def cumulative_counts(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
     """Distinct values in order with the running count; missing values are left out."""
     keys = ["group"] if group else []
-    return running_count(_value_counts(df, column, group), keys, "value").select(
-        *keys, "value", F.col("running").alias("count")
-    )
+    laid = lay_out(_value_counts(df, column, group), [*keys, "value"])
+    return running_count(laid, keys, "value").select(*keys, "value", F.col("running").alias("count"))
 
 
 def quartiles(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
@@ -33,7 +32,7 @@ def quartiles(df: DataFrame, column: str, group: str | None = None) -> DataFrame
     down); the whiskers are the extreme values within 1.5 interquartile ranges of the box.
     """
     keys = ["group"] if group else []
-    counts = _value_counts(df, column, group)
+    counts = lay_out(_value_counts(df, column, group), [*keys, "value"])
     running = running_count(counts, keys, "value")
 
     def at(position):

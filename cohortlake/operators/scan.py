@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from cohortlake.functions.common import TEMPORAL, epoch_us, join_null_safe
 from cohortlake.session import settle
 
-CHUNKS = 64  # ranges used for tables of value counts
 MAX_GROUP_ROWS = 2_000_000  # a group with more rows is cut into ranges
 MAX_CUTS = 1024
 
@@ -40,16 +39,22 @@ def _chunk_of(cuts: Column, key: Column) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda cut: cut < key)), F.lit(0))
 
 
-def running_count(counts: DataFrame, keys: list[str], value: str, count: str = "count") -> DataFrame:
+def lay_out(df: DataFrame, order: list[str]) -> DataFrame:
+    """The table cut into ranges of ``order`` by Spark's range partitioning, with the number of the range.
+
+    Writing it down keeps the numbers fixed for all steps that follow.
+    """
+    return settle(df.repartitionByRange(*order).withColumn("_chunk", F.spark_partition_id()), "ranges")
+
+
+def running_count(laid: DataFrame, keys: list[str], value: str, count: str = "count") -> DataFrame:
     """Add ``running`` (count of values up to and including this one) and ``total`` per group.
 
-    ``counts`` holds one row per (keys, value). The cut points of the value ranges come from a
-    mergeable quantile sketch, so no task sees more than a range of a group.
+    ``laid`` holds one row per (keys, value), laid out in ranges of (keys, value): the running
+    sum inside a range is a window, one small row per (group, range) gives the sum of the ranges
+    before. Neither a group nor the whole table is ever gathered in one task.
     """
-    key = order_key(F.col(value), counts.schema[value].dataType)
-    cuts = counts.agg(F.percentile_approx(key, _fractions(CHUNKS), 2000).alias("cuts")).scalar()
-    chunked = counts.withColumn("_cuts", cuts).withColumn("_chunk", _chunk_of(F.col("_cuts"), key)).drop("_cuts")
-    per_chunk = chunked.groupBy(*keys, "_chunk").agg(F.sum(count).alias("_n"))
+    per_chunk = laid.groupBy(*keys, "_chunk").agg(F.sum(count).alias("_n"))
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
     offsets = per_chunk.select(
         *keys,
@@ -58,11 +63,22 @@ def running_count(counts: DataFrame, keys: list[str], value: str, count: str = "
         F.sum("_n").over(W.partitionBy(*keys)).alias("total"),
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    within = chunked.withColumn("_inside", F.sum(count).over(inside))
+    within = laid.withColumn("_inside", F.sum(count).over(inside))
     joined = join_null_safe(within, offsets, [*keys, "_chunk"], "inner")
     return joined.withColumn("running", F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_chunk")
 
 
+def global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """0-based position of every row in the whole table; ``order`` must be unique and not null."""
+    laid = lay_out(df, order)
+    sizes = laid.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))  # a row per range
+    offsets = sizes.select("_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_chunk").orderBy(*order)) - 1
+    joined = laid.withColumn("_inside", inside).join(offsets, "_chunk")
+    return joined.withColumn(name, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_chunk")
+
+
 def cut_hot_groups(
     df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, bool]:
@@ -79,9 +95,9 @@ def cut_hot_groups(
     pieces = min(MAX_CUTS, max(2, -(-biggest // max_rows)))
     hot = settle(sizes.select(*keys), "hot-groups")
     cuts = (
-        join_null_safe(df.select(*keys, key.alias("_key")), hot, keys, "left_semi")
+        join_null_safe(df.select(*keys, key.alias("_order_key")), hot, keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx("_key", _fractions(pieces), 10 * pieces).alias("_cuts"))
+        .agg(F.percentile_approx("_order_key", _fractions(pieces), 10 * pieces).alias("_cuts"))
     )
     cuts = settle(cuts, "cuts")
     out = join_null_safe(df, cuts, keys, "left").withColumn("_chunk", _chunk_of(F.col("_cuts"), key))
@@ -98,6 +114,8 @@ def positions(
     df: DataFrame, keys: list[str], order: list[str], name: str = "position", max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """0-based position of every row in its group; ``order`` must be unique per group."""
+    if not keys:
+        return global_index(df, order, name)
     chunked, split = cut_hot_groups(df, keys, order[0], max_rows)
     w = W.partitionBy(*keys, "_chunk").orderBy(*order)
     out = chunked.withColumn(name, F.row_number().over(w).cast("long") - 1)

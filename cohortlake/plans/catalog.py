@@ -61,6 +61,7 @@ def load_all() -> dict[str, Query]:
     from cohortlake.plans import (  # noqa: F401
         aggregates,
         chart_tables,
+        custom_steps,
         edits,
         imports,
         joins,

@@ -155,17 +155,17 @@ FILTERS = {"big": [Condition("o_totalprice", ">", 200000.0)], "done": [Condition
 
 @query("compare_filters_stats", "J14", agg.stats_sql("o_totalprice", TAGGED, "filter", digits=1))
 def _(t):
-    return agg.tidy(charts.compare_filters(t.orders, "o_totalprice", FILTERS)["stats"], 1)
+    return agg.tidy(charts.compare_filters(t.orders, "o_totalprice", FILTERS, ("stats",))["stats"], 1)
 
 
 @query("compare_filters_box", "J14", agg.quartiles_sql("o_totalprice", TAGGED, "filter"))
 def _(t):
-    return charts.compare_filters(t.orders, "o_totalprice", FILTERS)["box"]
+    return charts.compare_filters(t.orders, "o_totalprice", FILTERS, ("box",))["box"]
 
 
 @query("compare_filters_distribution", "J14", agg.group_histogram_sql("filter", "o_totalprice", TAGGED, 20, True))
 def _(t):
-    return rounded(charts.compare_filters(t.orders, "o_totalprice", FILTERS)["distribution"])
+    return rounded(charts.compare_filters(t.orders, "o_totalprice", FILTERS, ("distribution",))["distribution"])
 
 
 @query("compare_filters_labels", "J14", categorical_sql("filter", "o_orderpriority", TAGGED, 100))

@@ -115,7 +115,8 @@ def max_normalise(df: DataFrame, columns: list[str]) -> DataFrame:
     """Divide the columns by their global maxima; rows with a missing value are dropped."""
     complete = df.dropna(subset=columns)
     tops = complete.agg(F.struct(*[F.max(c).cast("double").alias(c) for c in columns]).alias("m")).scalar()
-    return complete.withColumns({c: F.try_divide(F.col(c), tops[c]) for c in columns})
+    shares = {c: F.try_divide(F.col(c), F.col("_tops")[c]) for c in columns}
+    return complete.withColumn("_tops", tops).withColumns(shares).drop("_tops")
 
 
 def set_field_by_ids(df: DataFrame, key: str, ids: DataFrame, field: str, value, exclude: bool = False) -> DataFrame:

@@ -45,13 +45,6 @@ def bin_index(x: Column, low: Column, high: Column, step: Column, bins: Column)
     ).cast("int")
 
 
-def _bounds(df: DataFrame, column: str, x: Column, b: Binning) -> tuple[Column, Column]:
-    if b.low is not None and b.high is not None:
-        return F.lit(float(b.low)), F.lit(float(b.high))
-    both = df.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high")).alias("b")).scalar()
-    return both["low"], both["high"]
-
-
 def _edge_column(df: DataFrame, column: str, x: Column) -> Column:
     """Left edge of a bin in the type of the column: dates are rounded up to the millisecond."""
     if isinstance(dtype(df, column), (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -77,22 +70,27 @@ def numeric_distribution(
     """Equal-width histogram: (bin, x = left edge, count), empty bins included.
 
     ``mode='per_integer'`` gives an integer column a bin per integer when these fit into
-    ``bins``, and a constant column a single row.
+    ``bins``, and a constant column a single row. The range is a one-row scalar subquery.
     """
-    spec = Binning(column, bins, special_bin_for_max, low, high)
-    x = to_double(df, column)
-    lo, hi = _bounds(df, column, x, spec)
+    values = df.select(to_double(df, column).alias("v")).where("v IS NOT NULL")
+    if low is not None and high is not None:
+        ends = df.sparkSession.range(1).select(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))
+    else:
+        ends = values.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    lo, hi = F.col("low"), F.col("high")
     if mode == "per_integer" and isinstance(dtype(df, column), T.IntegralType):
         count, step = _per_integer(lo, hi, bins)
     else:
         count, step = F.lit(bins), step_size(lo, hi, F.lit(bins), special_bin_for_max)
-    used = F.when(step == 0, 1).otherwise(count) if mode == "per_integer" else count
-    values = df.select(x.alias("x")).where("x IS NOT NULL")
-    found = values.groupBy(bin_index(F.col("x"), lo, hi, step, count).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    frame = frame.where((F.col("bin") < used) & lo.isNotNull())
+    rows = F.when(step == 0, 1).otherwise(count) if mode == "per_integer" else count
+    edges = ends.select(F.struct(lo, hi, step.alias("step"), count.alias("bins"), rows.alias("rows")).alias("e")).scalar()
+    e = F.col("e")
+    index = bin_index(F.col("v"), e["low"], e["high"], e["step"], e["bins"])
+    found = values.withColumn("e", edges).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), edges.alias("e"))
+    frame = frame.where((F.col("bin") < e["rows"]) & e["low"].isNotNull())
     return frame.join(found, "bin", "left").select(
-        "bin", _edge_column(df, column, lo + F.col("bin") * step).alias("x"), F.coalesce("count", F.lit(0)).alias("count")
+        "bin", _edge_column(df, column, e["low"] + F.col("bin") * e["step"]).alias("x"), F.coalesce("count", F.lit(0)).alias("count")
     )
 
 
@@ -146,33 +144,34 @@ def grid(df: DataFrame, dims: list[Binning], aggregate: str = "count", value: st
     picked = df.select(*xs, *([to_double(df, value).alias("v")] if value else []))
     need = [F.col(f"v_{i}").isNotNull() for i in range(1, len(dims) + 1)] + ([F.col("v").isNotNull()] if value else [])
     complete = picked.where(reduce(and_, need))
-    both = complete.agg(
-        F.struct(
-            *[F.min(f"v_{i}").alias(f"low_{i}") for i in range(1, len(dims) + 1)],
-            *[F.max(f"v_{i}").alias(f"high_{i}") for i in range(1, len(dims) + 1)],
-        ).alias("b")
-    ).scalar()
-    cells, lows, steps = [], [], []
+    ends = complete.agg(
+        *[F.min(f"v_{i}").alias(f"min_{i}") for i in range(1, len(dims) + 1)],
+        *[F.max(f"v_{i}").alias(f"max_{i}") for i in range(1, len(dims) + 1)],
+    )
+    parts = [F.col("min_1").isNotNull().alias("any")]
     for i, d in enumerate(dims, 1):
         fixed = d.low is not None and d.high is not None
-        lo = F.lit(float(d.low)) if fixed else both[f"low_{i}"]
-        hi = F.lit(float(d.high)) if fixed else both[f"high_{i}"]
+        lo = F.lit(float(d.low)) if fixed else F.col(f"min_{i}")
+        hi = F.lit(float(d.high)) if fixed else F.col(f"max_{i}")
         step = step_size(lo, hi, F.lit(d.bins), d.special_bin_for_max)
-        cells.append(bin_index(F.col(f"v_{i}"), lo, hi, step, F.lit(d.bins)).alias(f"bin_{i}"))
-        lows.append(lo)
-        steps.append(step)
+        parts.append(F.struct(lo.alias("low"), hi.alias("high"), step.alias("step")).alias(f"d_{i}"))
+    edges, e = ends.select(F.struct(*parts).alias("e")).scalar(), F.col("e")
+    cells = []
+    for i, d in enumerate(dims, 1):
+        side = e[f"d_{i}"]
+        cells.append(bin_index(F.col(f"v_{i}"), side["low"], side["high"], side["step"], F.lit(d.bins)).alias(f"bin_{i}"))
     agg = F.count(F.lit(1)).alias("count") if aggregate == "count" else AGGREGATES[aggregate]("v").alias("value")
-    found = complete.groupBy(*cells).agg(agg)
+    found = complete.withColumn("e", edges).groupBy(*cells).agg(agg)
     # the cells are numbered and split into their indices: no product of tables
     size = reduce(lambda a, b: a * b, [d.bins for d in dims])
-    frame, rest = df.sparkSession.range(size).where(both["low_1"].isNotNull()), F.col("id")
+    frame, rest = df.sparkSession.range(size).withColumn("e", edges).where(e["any"]), F.col("id")
     indices = []
     for i, d in reversed(list(enumerate(dims, 1))):
         indices.append((rest % d.bins).cast("int").alias(f"bin_{i}"))
         rest = F.floor(rest / d.bins)
-    frame = frame.select(*reversed(indices))
+    frame = frame.select(*reversed(indices), "e")
     names = [f"bin_{i}" for i in range(1, len(dims) + 1)]
     out = frame.join(found, names, "left")
-    edges = [(lows[i] + F.col(n) * steps[i]).alias(f"x_{i + 1}") for i, n in enumerate(names)]
+    xs = [(e[f"d_{i}"]["low"] + F.col(n) * e[f"d_{i}"]["step"]).alias(f"x_{i}") for i, n in enumerate(names, 1)]
     last = F.coalesce("count", F.lit(0)).alias("count") if aggregate == "count" else F.col("value")
-    return out.select(*names, *edges, last)
+    return out.select(*names, *xs, last)

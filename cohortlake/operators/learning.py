@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline
 from pyspark.ml import classification as mc
 from pyspark.ml import clustering as mk
 from pyspark.ml import evaluation as me
@@ -101,14 +102,20 @@ def split_rows(df: DataFrame, share: float, seed: int = SEED) -> tuple[DataFrame
     return tagged.where(F.col("_u") < cut).drop("_u"), tagged.where(F.col("_u") >= cut).drop("_u")
 
 
-def _evaluate(model: PipelineModel, name: str, sets: dict[str, DataFrame], evaluator, metrics) -> DataFrame:
-    spark = next(iter(sets.values())).sparkSession
-    rows = []
-    for part, rows_of in sets.items():
-        predicted = model.transform(rows_of).select("label", "prediction")
-        for m in metrics:
-            rows.append((name, part, m, float(evaluator.setMetricName(m).evaluate(predicted))))
-    return spark.createDataFrame(rows, "model string, part string, metric string, value double")
+def _fit_and_evaluate(learner, name: str, train, test, replication, evaluator, metrics) -> DataFrame:
+    """Train on kept rows and measure every part; (model, part, metric, value)."""
+    sets = {"training": train, "test": test, **({"replication": replication} if replication is not None else {})}
+    train.persist(StorageLevel.MEMORY_AND_DISK)  # learners pass over the rows many times
+    try:
+        model = Pipeline(stages=[learner(train)]).fit(train)
+        rows = []
+        for part, rows_of in sets.items():
+            predicted = model.transform(rows_of).select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+            rows += [(name, part, m, float(evaluator.setMetricName(m).evaluate(predicted))) for m in metrics]
+            predicted.unpersist()
+    finally:
+        train.unpersist()
+    return train.sparkSession.createDataFrame(rows, "model string, part string, metric string, value double")
 
 
 def classify(
@@ -120,11 +127,11 @@ def classify(
 
 
 def _classify(train, test, kind, replication=None, **params) -> DataFrame:
-    head = train.agg(F.max("label").alias("top"), F.first(F.size(vector_to_array("features"))).alias("p")).first()
-    stages = [_classifier(kind, head["p"], int(head["top"]) + 1, **params)]
-    model = Pipeline(stages=stages).fit(train)
-    sets = {"training": train, "test": test, **({"replication": replication} if replication is not None else {})}
-    return _evaluate(model, kind, sets, me.MulticlassClassificationEvaluator(), CLASS_METRICS)
+    def learner(rows: DataFrame):
+        head = rows.agg(F.max("label").alias("top"), F.first(F.size(vector_to_array("features"))).alias("p")).first()
+        return _classifier(kind, head["p"], int(head["top"]) + 1, **params)
+
+    return _fit_and_evaluate(learner, kind, train, test, replication, me.MulticlassClassificationEvaluator(), CLASS_METRICS)
 
 
 def regress(
@@ -135,9 +142,7 @@ def regress(
 
 
 def _regress(train, test, kind, replication=None, **params) -> DataFrame:
-    model = Pipeline(stages=[_regressor(kind, **params)]).fit(train)
-    sets = {"training": train, "test": test, **({"replication": replication} if replication is not None else {})}
-    return _evaluate(model, kind, sets, me.RegressionEvaluator(), REGRESSION_METRICS)
+    return _fit_and_evaluate(lambda rows: _regressor(kind, **params), kind, train, test, replication, me.RegressionEvaluator(), REGRESSION_METRICS)
 
 
 def forecast_rows(

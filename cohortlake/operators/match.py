@@ -73,12 +73,14 @@ def _prepare(df, key, group, labels, confounders, numeric, order, seed) -> DataF
     ).scalar()
     xs = []
     for k, c in enumerate(numeric):
-        scaled = F.try_divide(to_double(df, c) - ends[f"lo{k}"], ends[f"hi{k}"] - ends[f"lo{k}"])
+        low, high = F.col("_ends")[f"lo{k}"], F.col("_ends")[f"hi{k}"]
+        scaled = F.try_divide(to_double(df, c) - low, high - low)
         xs.append(F.coalesce(scaled, F.lit(0.0)).alias(f"x{k}"))
     block = [F.col(c) for c in confounders if c not in numeric] + [to_double(df, c).isNull() for c in numeric]
     text = F.to_json(F.struct(*[b.alias(f"b{k}") for k, b in enumerate(block)]), {"ignoreNullFields": "false"}) if block else F.lit("")
     place = F.array_position(F.array(*[F.lit(g) for g in labels]), F.col(group)).cast("int") - 1
     ordering = F.col(order) if order else F.xxhash64(F.lit(seed), F.col(key))
+    kept = kept.withColumn("_ends", ends)
     return settle(kept.select(F.col(key).alias("id"), place.alias("g"), ordering.alias("o"), text.alias("block"), *xs), "match-rows")
 
 

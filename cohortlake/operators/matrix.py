@@ -213,6 +213,7 @@ def metric_mds(distances: DataFrame, dims: int, scale: bool = True) -> tuple[Dat
     n = index.count()
     cells = gram.join(index, "i").join(index.select(F.col("i").alias("j"), F.col("ix").alias("jx")), "j")
     rows = cells.groupBy("ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("jx", "value"))), lambda e: e["value"]).alias("r"))
+    rows = settle(rows, "matrix-rows")
     matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["ix"], r["r"])), n, n)
     svd = matrix.computeSVD(min(dims * 2, n), computeU=True)
     v = np.asarray(svd.V.toArray())
@@ -233,14 +234,13 @@ def standardize(df: DataFrame, columns: list[str], sample_std: bool = False) ->
     """(x - mean) / sd; 0 where the column does not vary, null stays null."""
     std = F.stddev_samp if sample_std else F.stddev_pop
     xs = {c: to_double(df, c) for c in columns}
-    stats = df.agg(
-        F.struct(*[y for k, c in enumerate(columns) for y in (F.avg(xs[c]).alias(f"m_{k}"), std(xs[c]).alias(f"s_{k}"))]).alias("b")
-    ).scalar()
-    out = {}
-    for k, c in enumerate(columns):
-        sd = F.coalesce(stats[f"s_{k}"], F.lit(0.0))
-        out[c] = F.when(xs[c].isNotNull(), F.when(sd == 0, 0.0).otherwise(F.try_divide(xs[c] - stats[f"m_{k}"], sd)))
-    return df.withColumns(out)
+    parts = [y for k, c in enumerate(columns) for y in (F.avg(xs[c]).alias(f"m_{k}"), F.coalesce(std(xs[c]), F.lit(0.0)).alias(f"s_{k}"))]
+    stats, s = df.agg(F.struct(*parts).alias("b")).scalar(), F.col("_stats")
+    out = {
+        c: F.when(xs[c].isNotNull(), F.coalesce(F.try_divide(xs[c] - s[f"m_{k}"], s[f"s_{k}"]), F.lit(0.0)))
+        for k, c in enumerate(columns)
+    }
+    return df.withColumn("_stats", stats).withColumns(out).drop("_stats")
 
 
 def tuples(df: DataFrame, columns: list[str], group: str | None = None, unique: bool = False) -> DataFrame:

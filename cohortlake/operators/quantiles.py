@@ -53,7 +53,7 @@ def quartiles(df: DataFrame, column: str, group: str | None = None) -> DataFrame
         joined = join_null_safe(counts, box, keys, "inner")
     else:
         one = box.select(F.struct("*").alias("b")).scalar()
-        joined = counts.withColumns({c: one[c] for c in ("lower_quartile", "median", "upper_quartile")})
+        joined = counts.select("value", one.alias("b")).select("value", "b.*")
     return joined.groupBy(*keys, "lower_quartile", "median", "upper_quartile").agg(
         F.min(F.when(v >= q1 - fence, F.col("value"))).alias("lower_whisker"),
         F.max(F.when(v <= q3 + fence, F.col("value"))).alias("upper_whisker"),

@@ -200,9 +200,9 @@ def _(t):
     return non_null_counts(gappy(t).select("event_id", "ts", "user_id", "value"))
 
 
-@query("count_where", "F20", f"SELECT count(*) AS count FROM (SELECT {GAPS} AS value, user_id FROM events) WHERE value IS DISTINCT FROM 5.0 AND user_id >= 20")
+@query("count_where", "F20", f"SELECT count(*) AS count FROM (SELECT {GAPS} AS value, event_type FROM events) WHERE value IS DISTINCT FROM 5.0 AND event_type <> 'view'")
 def _(t):
-    return count_where(gappy(t), [Condition("value", "!=", 5.0), Condition("user_id", ">=", 20)])
+    return count_where(gappy(t), [Condition("value", "!=", 5.0), Condition("event_type", "!=", "view")])
 
 
 @query(

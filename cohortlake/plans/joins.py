@@ -8,7 +8,7 @@ from cohortlake.operators import link
 from cohortlake.operators.link import LinkSide
 from cohortlake.operators.match import match_confounders
 from cohortlake.plans.catalog import query
-from cohortlake.plans.edits import GAPS, gappy
+from cohortlake.plans.edits import GAPS
 
 
 @query(
@@ -171,7 +171,12 @@ def _(t):
     return out.select("o_orderkey", "status")
 
 
-@query("consistency_sample", "D11")
+@query(
+    "consistency_sample",
+    "D11",
+    """SELECT 'customer' AS source, field, CAST(0 AS BIGINT) AS differences
+       FROM (VALUES ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment'), ('only in first'), ('only in second')) v(field)""",
+)
 def _(t):
     wide = link.link_two(t.orders.select(F.col("o_custkey").alias("id")).distinct(), t.customer, [("id", "c_custkey")], right_name="customer")
     return link.consistency_sample(wide, {"customer": t.customer.withColumnRenamed("c_custkey", "id")}, "id", 500)
@@ -181,15 +186,16 @@ def _(t):
     "asof_visit",
     "G12",
     f"""WITH a AS (SELECT event_id, user_id, ts FROM events),
-        v AS (SELECT user_id, ts AS vt, event_id AS visit_no, {GAPS} AS age FROM events WHERE event_type IN ('view', 'signup') AND user_id < 120),
+        v AS (SELECT user_id, ts AS vt, event_id AS visit_no, {GAPS} AS age FROM events WHERE event_type IN ('view', 'signup') AND value > 150),
         d AS (SELECT a.event_id, arg_max(visit_no, vt) AS visit_no FROM a JOIN v ON a.user_id = v.user_id AND v.vt <= a.ts GROUP BY 1),
         f AS (SELECT user_id, arg_min(visit_no, vt) AS first_no, arg_min(age, vt) FILTER (age IS NOT NULL) AS first_age FROM v GROUP BY 1)
         SELECT a.event_id, a.user_id, a.ts, coalesce(d.visit_no, first_no) AS visit_visit_no, first_age
         FROM a JOIN f ON a.user_id = f.user_id LEFT JOIN d ON a.event_id = d.event_id""",
 )
 def _(t):
-    visits = gappy(t).where("event_type IN ('view', 'signup') AND user_id < 120")
-    visits = visits.select("user_id", F.col("ts").alias("vt"), F.col("event_id").alias("visit_no"), F.col("value").alias("age"))
+    chosen = t.events.where("event_type IN ('view', 'signup') AND value > 150")
+    age = F.when(F.col("event_type") == "view", F.col("value"))
+    visits = chosen.select("user_id", F.col("ts").alias("vt"), F.col("event_id").alias("visit_no"), age.alias("age"))
     acts = t.events.select("event_id", "user_id", "ts")
     return link.asof_visit(acts, visits, "user_id", "ts", "vt", ["visit_no"], ["age"])
 

@@ -103,15 +103,24 @@ def let(value: Column, f) -> Column:
 
 
 def _date_time(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Moment of a date text or of epoch milliseconds, null outside the years accepted.
+
+    Plain conditions outside ``let`` keep the many other texts away from the pattern list.
+    """
+    top_year = F.year(F.current_date()) + 1000
+
     def moment(x: Column) -> Column:
-        ms = F.when(x.rlike(r"^[+-]?\d{1,14}$"), F.timestamp_millis(x.try_cast("bigint")))
-        parsed = [F.when(x.rlike(_shape(p)), F.try_to_timestamp(x, F.lit(_lenient(p)))) for p in patterns]
-        return F.when(x.rlike(r"^\d{1,4}[-./]"), F.coalesce(*parsed)).otherwise(ms)
+        return F.coalesce(*[F.when(x.rlike(_shape(p)), F.try_to_timestamp(x, F.lit(_lenient(p)))) for p in patterns])
 
     def in_range(m: Column) -> Column:
-        return F.when((F.year(m) > MIN_YEAR) & (F.year(m) < F.year(F.current_date()) + 1000), m)
-
-    return F.when(text.rlike(r"^[+-]?\d"), let(let(text, moment), in_range))
+        return F.when((F.year(m) > MIN_YEAR) & (F.year(m) < top_year), m)
+
+    ms = text.try_cast("bigint")
+    first, last = F.make_timestamp(F.lit(MIN_YEAR + 1), *[F.lit(1)] * 2, *[F.lit(0)] * 3), F.make_timestamp(top_year, *[F.lit(1)] * 2, *[F.lit(0)] * 3)
+    ms_ok = (ms >= F.unix_millis(first)) & (ms < F.unix_millis(last))
+    return F.when(text.rlike(r"^\d{1,4}[-./]"), let(let(text, moment), in_range)).when(
+        text.rlike(r"^[+-]?\d{1,14}$") & ms_ok, F.timestamp_millis(ms)
+    )
 
 
 def try_parse(text: Column, t: FieldType) -> Column:

@@ -18,27 +18,32 @@ def calculate_with_state(
     keys: list[str],
     columns: list[str],
     update: Callable[[pd.DataFrame], pd.DataFrame],
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
     state_schema: str,
     finish: Callable[[pd.DataFrame], pd.DataFrame],
     result_schema: str,
 ) -> DataFrame:
     """A user aggregate in Python as accumulator and finish.
 
-    ``update`` turns a batch of rows into one state row per key, ``finish`` turns all state rows
-    of a key into its result. Only states are shuffled: a key meets as many of them as there are
-    batches, never its rows.
+    ``update`` turns a batch of rows into one state row per key, ``merge`` turns state rows into
+    one per key, ``finish`` turns a merged state into the result. Each task merges its own states
+    as it goes, so only one state per key and task is shuffled, never the rows of a key.
     """
 
     def states(batches):
+        held = None
         for pdf in batches:
             if len(pdf):
-                yield update(pdf)
+                new = update(pdf)
+                held = new if held is None else merge(pd.concat([held, new], ignore_index=True))
+        if held is not None:
+            yield held
 
     return (
         df.select(*keys, *columns)
         .mapInPandas(states, state_schema)
         .groupBy(*keys)
-        .applyInPandas(lambda pdf: finish(pdf), result_schema)
+        .applyInPandas(lambda pdf: finish(merge(pdf)), result_schema)
     )
 
 

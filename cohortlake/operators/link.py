@@ -168,10 +168,11 @@ def update_from_lookup(
 ) -> DataFrame:
     """Overwrite columns of the rows listed in ``ids`` (id, lookup key) from a source row.
 
-    A listed row without a source row is an error.
+    A listed row without a source row is an error. Of several entries for an id the largest
+    lookup key counts; the source has one row per key.
     """
     id_col, via = ids.columns[:2]
-    found = ids.select(F.col(id_col).alias("_id"), F.col(via).alias("_via")).join(
+    found = ids.groupBy(F.col(id_col).alias("_id")).agg(F.max(via).alias("_via")).join(
         source.select(F.col(source_key).alias("_sk"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns]),
         F.col("_via") == F.col("_sk"),
         "left",

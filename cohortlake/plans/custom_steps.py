@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.operators import cells, custom, merge
+from cohortlake.operators import cells, custom
+from cohortlake.operators import merge as sets
 from cohortlake.plans.catalog import query, rounded
 
 
@@ -30,14 +31,15 @@ def _(t):
         pdf["s"] = pdf["value"] ** 2
         return pdf.groupby("event_type", as_index=False).agg(s=("s", "sum"), n=("s", "count"))
 
-    def finish(pdf):
-        out = pdf.groupby("event_type", as_index=False)[["s", "n"]].sum()
-        out["rms"] = (out["s"] / out["n"]) ** 0.5
-        return out[["event_type", "rms", "n"]]
+    def merge(states):
+        return states.groupby("event_type", as_index=False)[["s", "n"]].sum()
 
-    out = custom.calculate_with_state(
-        t.events, ["event_type"], ["value"], update, "event_type string, s double, n long", finish, "event_type string, rms double, n long"
-    )
+    def finish(state):
+        state["rms"] = (state["s"] / state["n"]) ** 0.5
+        return state[["event_type", "rms", "n"]]
+
+    state, result = "event_type string, s double, n long", "event_type string, rms double, n long"
+    out = custom.calculate_with_state(t.events, ["event_type"], ["value"], update, merge, state, finish, result)
     return rounded(out)
 
 
@@ -53,5 +55,5 @@ def _(t):
         lambda d: d.where("c_acctbal > 0"),
         lambda d: cells.replace_string(d, ["c_mktsegment"], "AUTO", "CAR"),
         lambda d: cells.rename_fields(d, [("c_nationkey", "nation"), ("c_mktsegment", "segment")]),
-        lambda d: merge.count_distinct_values(d, ["nation", "segment"]),
+        lambda d: sets.count_distinct_values(d, ["nation", "segment"]),
     )

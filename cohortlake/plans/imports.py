@@ -35,11 +35,9 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "supplier-text")
-    parts = ["s_suppkey", "s_name", "s_nationkey"]
-    t.supplier.select(F.concat_ws("||", *[F.col(c).cast("string") for c in parts]).alias("v")).unionByName(
-        t.spark.range(1).select(F.lit("||".join(parts)).alias("v"))
-    ).coalesce(1).sortWithinPartitions(F.col("v") != F.lit("||".join(parts))).write.option("lineSep", "<-->").text(path)
-    return delimited.read_delimited(t.spark, path, "||", eol="<-->", infer=False)
+    labels = ["s_suppkey", "s_name", "s_nationkey"]
+    t.supplier.select(F.concat_ws("||", *[F.col(c).cast("string") for c in labels])).write.option("lineSep", "<-->").text(path)
+    return delimited.read_delimited(t.spark, path, "||", eol="<-->", infer=False, labels=labels)
 
 
 @query("repair_lines", "A2", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")

@@ -32,7 +32,8 @@ def anova_sql(group: str, x: str, source: str, field: str, keep: bool = False) -
         p AS (SELECT g, count(x) AS n, avg(x) AS m, sum(x) AS sx FROM u WHERE x IS NOT NULL GROUP BY 1),
         w AS (SELECT sum((x - m) * (x - m)) AS w FROM u JOIN p ON u.g IS NOT DISTINCT FROM p.g WHERE x IS NOT NULL),
         b AS (SELECT sum(n * (m - (SELECT sum(sx) / sum(n) FROM p)) ** 2) AS b, CAST(count(*) - 1 AS DOUBLE) AS df1, CAST(sum(n) - count(*) AS DOUBLE) AS df2 FROM p)
-        SELECT '{field}' AS field, 'anova' AS test, (b / df1) / (w / df2) AS statistic, df1, df2 FROM b, w)"""
+        SELECT '{field}' AS field, 'anova' AS test, CASE WHEN df1 > 0 AND df2 > 0 THEN (b / df1) / (w / df2) END AS statistic,
+        CASE WHEN df1 > 0 AND df2 > 0 THEN df1 END AS df1, CASE WHEN df1 > 0 AND df2 > 0 THEN df2 END AS df2 FROM b, w)"""
 
 
 def with_p(rows: list[str], extra: str = "") -> str:

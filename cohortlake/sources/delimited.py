@@ -59,25 +59,28 @@ def read_delimited(
     eol: str | None = None,
     infer: bool = True,
     multi_line: bool = False,
+    labels: list[str] | None = None,
     **inference,
 ) -> DataFrame:
     """Text table with a header; all columns as text, then typed from their values if asked.
 
+    ``labels`` names the columns of files without a header.
+
     Without ``multi_line`` a large file is split between tasks; switch it on only where quoted
     fields hold line breaks. A row separator of more than two characters is split as text.
     """
     if eol and len(eol) > 2:
         raw = spark.read.option("lineSep", eol).text(path)
         items = F.split("value", "\\Q" + delimiter + "\\E", -1)
-        header = raw.select(items.alias("h")).first()["h"]
+        header = labels or raw.select(items.alias("h")).first()["h"]
         pairs = column_names(header)
-        body = raw.where(F.col("value") != F.lit(delimiter.join(header)))
+        body = raw if labels else raw.where(F.col("value") != F.lit(delimiter.join(header)))
         text = body.select(*[F.trim(F.get(items, F.lit(k))).alias(n, metadata={"label": lab}) for k, (n, lab) in enumerate(pairs)])
     else:
         options = _options(delimiter, charset, quote, eol, multi_line)
-        header = spark.read.options(**options).csv(path).limit(1).collect()
+        header = [labels] if labels else spark.read.options(**options).csv(path).limit(1).collect()
         pairs = column_names(list(header[0])) if header else []
-        text = spark.read.options(**options, header=True).schema(_schema(pairs)).csv(path)
+        text = spark.read.options(**options, header=not labels).schema(_schema(pairs)).csv(path)
     return retype(text, infer_types(text, **inference)) if infer else text
 
 

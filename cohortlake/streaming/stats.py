@@ -43,4 +43,6 @@ def run_to_table(result: DataFrame, label: str, mode: str = "append") -> DataFra
         versions.append(batch_id)
 
     writer.outputMode(mode).foreachBatch(write).start().awaitTermination()
+    if not versions:  # no data at all
+        return spark.createDataFrame([], result.schema)
     return spark.read.schema(result.schema).parquet(f"{path}/version={max(versions)}")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions.common import dtype
 from cohortlake.operators.cells import lookup
 from cohortlake.operators.ordered import lag_features
+from cohortlake.session import settle
 
 SEED = 11
 
@@ -172,7 +173,7 @@ def _forecast(lagged, features, group, kind, task, share, params) -> DataFrame:
     keys = [group] if group else []
     sizes = lagged.groupBy(*keys).agg(F.max("index").alias("_max"), F.min("index").alias("_min"))
     if keys:
-        placed = lagged.join(sizes, group)
+        placed = lagged.join(settle(sizes, "series-lengths"), group)
     else:
         one = sizes.select(F.struct("_max", "_min").alias("b")).scalar()
         placed = lagged.withColumns({"_max": one["_max"], "_min": one["_min"]})

@@ -26,9 +26,15 @@ def _(t):
     return out.select("o_orderkey", v[0].alias("f0"), v[1].alias("f1"), "label")
 
 
-@query("discretize", "L2")
+@query(
+    "discretize",
+    "L2",
+    """WITH o AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) AS k, count(*) OVER () AS n FROM part),
+       s AS (SELECT DISTINCT v FROM o, range(1, 8) r(q) WHERE k = CAST(ceil(q * n / 8.0) AS BIGINT))
+       SELECT p_partkey, p_retailprice, CAST((SELECT count(*) FROM s WHERE s.v <= p_retailprice) AS DOUBLE) AS p_retailprice_bucket FROM part""",
+)
 def _(t):
-    return ml.discretize(t.part.select("p_partkey", F.col("p_retailprice")), ["p_retailprice"], 8)
+    return ml.discretize(t.part.select("p_partkey", "p_retailprice"), ["p_retailprice"], 8, error=1e-6)
 
 
 def _vectors(t):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions.common import NUMERIC, TEMPORAL, dtype, to_double
 from cohortlake.functions.special import anova_p, chi_square_p
 from cohortlake.operators.criteria import Condition, predicate
+from cohortlake.operators.stats import WIDE
 
 RESULT = ["field", "test", "p_value", "statistic", "df1", "df2"]
 
@@ -113,8 +114,16 @@ def _moment_rows(inputs: list[str]) -> Column:
 
 
 def multi_anova(df: DataFrame, target: str, inputs: list[str], keep_undefined: bool = False) -> DataFrame:
-    """One target against many numeric inputs in one pass over the table."""
+    """One target against many numeric inputs in one pass over the table.
+
+    A few inputs are aggregated side by side, many as (field, value) rows.
+    """
     kept = df if keep_undefined else df.where(F.col(target).isNotNull())
+    if len(inputs) > WIDE:
+        rows = [F.struct(F.lit(c).alias("field"), to_double(df, c).alias("x")) for c in inputs]
+        long = kept.select(F.col(target).alias("target"), F.inline(F.array(*rows)))
+        stats = long.groupBy("target", "field").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+        return anova_from_stats(stats, ["field"]).select(*RESULT)
     wide = kept.groupBy(F.col(target).alias("target")).agg(*_moments(df, inputs))
     return anova_from_stats(wide.select("target", _moment_rows(inputs)), ["field"]).select(*RESULT)
 

@@ -16,11 +16,8 @@ from pyspark.sql import functions as F
 from cohortlake.functions.common import to_double
 from cohortlake.session import settle
 
-PAIRS_PER_JOB = 150
-
-
-def _pairs(columns: list[str]) -> list[tuple[str, str]]:
-    return [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+NARROW = 12  # up to this many columns the pairs are plain aggregate expressions
+BLOCK = 1000  # columns per side of a partial product matrix
 
 
 def _symmetric(upper: DataFrame, columns: list[str], diagonal: float) -> DataFrame:
@@ -32,20 +29,75 @@ def _symmetric(upper: DataFrame, columns: list[str], diagonal: float) -> DataFra
     return full.unionByName(diag)
 
 
-def _pairwise(df: DataFrame, columns: list[str], parts, combine, diagonal: float) -> DataFrame:
-    """All pairs in one pass per block of pairs: ``parts(a, b)`` are aggregates, ``combine`` finishes."""
-    pairs, blocks = _pairs(columns), []
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        block = pairs[start : start + PAIRS_PER_JOB]
-        aggs = [c.alias(f"{k}_{n}") for k, (a, b) in enumerate(block) for n, c in parts(F.col(f"`{a}`"), F.col(f"`{b}`")).items()]
-        wide = df.agg(*aggs)
-        rows = []
-        for k, (a, b) in enumerate(block):
-            names = parts(F.lit(0.0), F.lit(0.0)).keys()
-            value = combine({n: F.col(f"{k}_{n}") for n in names})
-            rows.append(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), value.alias("value")))
-        blocks.append(wide.select(F.inline(F.array(*rows))))
-    return _symmetric(reduce(DataFrame.unionByName, blocks), columns, diagonal)
+def _pairs(columns: list[str]) -> list[tuple[str, str]]:
+    return [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+
+
+def _by_expressions(df: DataFrame, columns: list[str], parts, combine, diagonal: float) -> DataFrame:
+    """All pairs of a few columns in one aggregate: ``parts(a, b)`` are aggregates, ``combine`` finishes."""
+    pairs = _pairs(columns)
+    aggs = [c.alias(f"{k}_{n}") for k, (a, b) in enumerate(pairs) for n, c in parts(F.col(f"`{a}`"), F.col(f"`{b}`")).items()]
+    names = list(parts(F.lit(0.0), F.lit(0.0)))
+    rows = [
+        F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), combine({n: F.col(f"{k}_{n}") for n in names}).alias("value"))
+        for k, (a, b) in enumerate(pairs)
+    ]
+    empty = df.sparkSession.createDataFrame([], "i string, j string, value double")
+    upper = df.agg(*aggs).select(F.inline(F.array(*rows))) if pairs else empty
+    return _symmetric(upper, columns, diagonal)
+
+
+def _pair_sums(df: DataFrame, columns: list[str], shifts: list[float]) -> DataFrame:
+    """(i, j, n, si, sj, sii, sjj, sij) over the rows where both columns are defined, for i < j.
+
+    For many columns: each task adds up product matrices with numpy in one pass over its rows
+    and emits every pair once; Spark sums the partial results. Beyond ``BLOCK`` columns there is
+    one pass per pair of column blocks.
+    """
+    blocks = [range(s, min(s + BLOCK, len(columns))) for s in range(0, len(columns), BLOCK)]
+    out = []
+    for k, left in enumerate(blocks):
+        for right in blocks[k:]:
+            used = sorted({*left, *right})
+            out.append(_block_sums(df, [columns[c] for c in used], [shifts[c] for c in used], [used.index(c) for c in left], [used.index(c) for c in right], used))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _block_sums(df, columns, shifts, left, right, numbers) -> DataFrame:
+    base, numbers = np.array(shifts), np.array(numbers)
+    upper = [(a, b) for a in range(len(left)) for b in range(len(right)) if numbers[left[a]] < numbers[right[b]]]
+    at_a, at_b = np.array([a for a, _ in upper], dtype=int), np.array([b for _, b in upper], dtype=int)
+
+    def partial(batches):
+        sums = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype="float64") - base
+            seen = ~np.isnan(x)
+            x, m = np.where(seen, x, 0.0), seen.astype("float64")
+            xa, ma, xb, mb = x[:, left], m[:, left], x[:, right], m[:, right]
+            new = np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
+            sums = new if sums is None else sums + new
+        if sums is not None and len(at_a):
+            picked = sums[:, at_a, at_b]
+            names = np.array(left)[at_a], np.array(right)[at_b]
+            yield pd.DataFrame(
+                {"i": numbers[names[0]], "j": numbers[names[1]], **dict(zip(("n", "si", "sj", "sii", "sjj", "sij"), picked))}
+            )
+
+    fields = ("n", "si", "sj", "sii", "sjj", "sij")
+    return (
+        df.select(*[F.col(f"`{c}`") for c in columns])
+        .mapInPandas(partial, "i int, j int, " + ", ".join(f"{f} double" for f in fields))
+        .groupBy("i", "j")
+        .agg(*[F.sum(f).alias(f) for f in fields])
+    )
+
+
+def _by_sums(df: DataFrame, columns: list[str], value: Column, diagonal: float, shifts: list[float] | None = None) -> DataFrame:
+    sums = _pair_sums(df, columns, shifts or [0.0] * len(columns))
+    name = F.array(*[F.lit(c) for c in columns])
+    upper = sums.select(F.get(name, F.col("i")).alias("i"), F.get(name, F.col("j")).alias("j"), value.alias("value"))
+    return _symmetric(upper, columns, diagonal)
 
 
 def _doubles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,7 +113,16 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     def combine(p: dict[str, Column]) -> Column:
         return F.try_divide(p["cov"], F.sqrt(p["va"]) * F.sqrt(p["vb"]))
 
-    return _pairwise(_doubles(df, columns), columns, parts, combine, 1.0)
+    rows = _doubles(df, columns)
+    if len(columns) <= NARROW:
+        return _by_expressions(rows, columns, parts, combine, 1.0)
+    means = rows.agg(*[F.avg(f"`{c}`") for c in columns]).first()  # shifting by the means keeps the digits
+    n, si, sj = F.col("n"), F.col("si"), F.col("sj")
+    cov = F.col("sij") - F.try_divide(si * sj, n)
+    va, vb = F.col("sii") - F.try_divide(si * si, n), F.col("sjj") - F.try_divide(sj * sj, n)
+    # what is left of a column that does not vary is rounding
+    varies = (va > 1e-12 * F.col("sii")) & (vb > 1e-12 * F.col("sjj"))
+    return _by_sums(rows, columns, F.when(varies, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb))), 1.0, [m or 0.0 for m in means])
 
 
 def matthews_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -81,18 +142,23 @@ def matthews_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         bottom = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
         return F.when(top == 0, 0.0).otherwise(F.try_divide(top, bottom))
 
-    return _pairwise(df.select(*columns), columns, parts, combine, 1.0)
+    if len(columns) <= NARROW:
+        return _by_expressions(df.select(*columns), columns, parts, combine, 1.0)
+    rows = df.select(*[F.col(f"`{c}`").cast("boolean").cast("double").alias(c) for c in columns])
+    tp, fp, fn = F.col("sij"), F.col("si") - F.col("sij"), F.col("sj") - F.col("sij")
+    value = combine({"tp": tp, "tn": F.col("n") - tp - fp - fn, "fp": fp, "fn": fn})
+    return _by_sums(rows, columns, F.when(F.col("n") > 0, value).otherwise(0.0), 1.0)
 
 
 def euclidean_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distances between columns over the rows; a row with a missing side adds nothing."""
-    return _pairwise(
-        _doubles(df, columns),
-        columns,
-        lambda a, b: {"ss": F.sum((a - b) * (a - b))},
-        lambda p: F.sqrt(F.coalesce(p["ss"], F.lit(0.0))),
-        0.0,
-    )
+    rows = _doubles(df, columns)
+    if len(columns) <= NARROW:
+        return _by_expressions(
+            rows, columns, lambda a, b: {"ss": F.sum((a - b) * (a - b))}, lambda p: F.sqrt(F.coalesce(p["ss"], F.lit(0.0))), 0.0
+        )
+    squares = F.col("sii") + F.col("sjj") - 2 * F.col("sij")
+    return _by_sums(rows, columns, F.sqrt(F.greatest(F.lit(0.0), squares)), 0.0)
 
 
 def _products(df: DataFrame, vector: str, p: int, shifted: bool = True) -> DataFrame:

@@ -23,6 +23,9 @@ STATS = (
 )
 
 
+WIDE = 40
+
+
 def stats_columns(x: Column, present: Column | None = None) -> dict[str, Column]:
     """Aggregate expressions of the basic statistics of ``x``.
 
@@ -67,10 +70,15 @@ def group_basic_stats(df: DataFrame, group: str | list[str], column: str) -> Dat
 def group_multi_basic_stats(df: DataFrame, group: str | list[str], columns: list[str]) -> DataFrame:
     """Statistics per group and column; the null group is kept.
 
-    All columns are aggregated side by side in one pass and stacked afterwards, so rows are not
-    multiplied before the shuffle.
+    A few columns are aggregated side by side in one pass and stacked afterwards. Beyond
+    ``WIDE`` columns the generated code would grow too large: the values become (field, value)
+    rows, which the map side combines into one row per group and field.
     """
     keys = [group] if isinstance(group, str) else list(group)
+    if len(columns) > WIDE:
+        rows = [F.struct(F.lit(c).alias("field"), to_double(df, c).alias("_x")) for c in columns]
+        long = df.select(*keys, F.inline(F.array(*rows)))
+        return long.groupBy(*keys, "field").agg(*[c.alias(n) for n, c in stats_columns(F.col("_x")).items()]).where("defined > 0")
     wide = df.groupBy(*keys).agg(
         *[c.alias(f"{i}_{n}") for i, col in enumerate(columns) for n, c in stats_columns(to_double(df, col)).items()]
     )

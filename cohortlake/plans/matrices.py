@@ -47,6 +47,41 @@ def _(t):
     return rounded(m.pearson_all_defined(t.embeddings, "embedding"))
 
 
+GAPPY_DIMENSIONS = """WITH e AS (SELECT vec_id, j - 1 AS j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(j) WHERE abs(embedding[j]) > 0.02),
+p AS (SELECT a.j AS i, b.j AS j, covar_pop(a.v, b.v) AS c, stddev_pop(a.v) * stddev_pop(b.v) AS s, sum((a.v - b.v) * (a.v - b.v)) AS d2
+      FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2)"""
+
+
+def _wide(t):
+    """Every embedding dimension as a column; values near zero count as missing."""
+    v = [F.col("embedding")[k].cast("double") for k in range(64)]
+    return t.embeddings.select(*[F.when(F.abs(x) > F.lit(0.02).cast("float").cast("double"), x).alias(f"d{k}") for k, x in enumerate(v)])
+
+
+@query("pearson_matrix_wide", "H1", f"{GAPPY_DIMENSIONS} SELECT 'd' || i AS i, 'd' || j AS j, CASE WHEN i = j THEN 1.0 ELSE round(c / s, 6) END AS value FROM p")
+def _(t):
+    return rounded(m.pearson_matrix(_wide(t), [f"d{k}" for k in range(64)]))
+
+
+@query("euclidean_matrix_wide", "H4", f"{GAPPY_DIMENSIONS} SELECT 'd' || i AS i, 'd' || j AS j, round(sqrt(d2), 6) AS value FROM p")
+def _(t):
+    return rounded(m.euclidean_matrix(_wide(t), [f"d{k}" for k in range(64)]))
+
+
+@query(
+    "multi_basic_stats_wide",
+    "F2",
+    """SELECT 'd' || j AS field, round(avg(v), 7) AS mean, round(var_pop(v), 8) AS variance, count(v) AS defined,
+       count(*) - count(v) AS undefined FROM (SELECT j - 1 AS j, CASE WHEN abs(embedding[j]) > 0.02 THEN CAST(embedding[j] AS DOUBLE) END AS v
+       FROM embeddings, range(1, 65) r(j)) GROUP BY j""",
+)
+def _(t):
+    from cohortlake.operators.stats import multi_basic_stats
+
+    out = multi_basic_stats(_wide(t), [f"d{k}" for k in range(64)])
+    return out.select("field", F.round("mean", 7).alias("mean"), F.round("variance", 8).alias("variance"), "defined", "undefined")
+
+
 MCC = """CASE WHEN tp * tn - fp * fn = 0 THEN 0.0 ELSE round((tp * tn - fp * fn) / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0), 9) END
 FROM (SELECT CAST(count(*) FILTER (x AND y) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT x AND NOT y) AS DOUBLE) AS tn,
 CAST(count(*) FILTER (x AND NOT y) AS DOUBLE) AS fp, CAST(count(*) FILTER (NOT x AND y) AS DOUBLE) AS fn"""

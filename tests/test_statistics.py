@@ -203,3 +203,39 @@ def test_multi_hot_of_unseen_keys(table):
     keys = table([(1,), (2,), (3,)], "id int")
     got = {r["id"]: tuple(r)[1:] for r in stats.multi_hot(df, "id", "v", ["a", "b"], {"a": "k", "b": "k"}, keys).collect()}
     assert got == {1: (True, True, 2, 2), 2: (False, False, 0, 0), 3: (False, False, 0, 0)}
+
+
+@pytest.fixture(scope="module")
+def wide_rows():
+    rnd = random.Random(9)
+    return [tuple(None if rnd.random() < 0.2 else (7.0 if c == 3 else rnd.gauss(c * 10, 1 + c)) for c in range(8)) for _ in range(300)]
+
+
+@pytest.mark.parametrize("matrix", [m.pearson_matrix, m.euclidean_matrix, m.matthews_matrix])
+def test_wide_matrices_equal_narrow_ones(table, wide_rows, monkeypatch, matrix):
+    names = [f"c{k}" for k in range(8)]
+    rows = wide_rows if matrix is not m.matthews_matrix else [tuple(None if v is None else v > 20 for v in r) for r in wide_rows]
+    df = table(rows, ", ".join(f"{n} {'double' if matrix is not m.matthews_matrix else 'boolean'}" for n in names)).repartition(3)
+    narrow = {(r["i"], r["j"]): r["value"] for r in matrix(df, names).collect()}
+    monkeypatch.setattr(m, "NARROW", 2)
+    monkeypatch.setattr(m, "BLOCK", 3)
+    wide = {(r["i"], r["j"]): r["value"] for r in matrix(df, names).collect()}
+    assert narrow.keys() == wide.keys() and len(wide) == 64
+    for k, v in narrow.items():
+        assert wide[k] == (None if v is None else pytest.approx(v, abs=1e-8)), k
+
+
+def test_wide_statistics_equal_narrow_ones(table, wide_rows, monkeypatch):
+    names = [f"c{k}" for k in range(8)]
+    df = table([(k % 3, *r) for k, r in enumerate(wide_rows)], "g int, " + ", ".join(f"{n} double" for n in names))
+
+    def both():
+        one = {(r["g"], r["field"]): tuple(r)[2:] for r in stats.group_multi_basic_stats(df, "g", names).collect()}
+        two = {r["field"]: (r["statistic"], r["df1"], r["df2"]) for r in hy.multi_anova(df, "g", names).collect()}
+        return one, two
+
+    narrow = both()
+    monkeypatch.setattr(stats, "WIDE", 2)
+    monkeypatch.setattr(hy, "WIDE", 2)
+    for a, b in zip(narrow, both()):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)

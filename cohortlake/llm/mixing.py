@@ -42,7 +42,8 @@ def water_levels(sources: DataFrame, total: Column | float, max_epochs: float) -
         .withColumn("_level", F.when(F.col("_open") > 0, (F.col("_total") - F.col("_capped")) / F.col("_open")))
     )
     # the first source that the level of itself and all later ones does not fill holds the level of all
-    return levels.withColumn("_at", F.min(F.when((F.col("_level") <= F.col("_full")) & (F.col("weight") > 0), F.struct("_full", "_level"))["_level"]).over(whole)).select(
+    fits = F.when((F.col("_level") <= F.col("_full")) & (F.col("weight") > 0), F.struct("_full", "_level"))
+    return levels.withColumn("_at", F.min(fits).over(whole)["_level"]).select(
         *sources.columns, F.when(F.col("_at").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_at") * F.col("weight"))).alias("target")
     )
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm.decontaminate import contamination
 from cohortlake.llm.exact import exact_duplicates
+from cohortlake.llm.language import identify, learn
 from cohortlake.llm.mixing import mix
+from cohortlake.llm.neardup import near_duplicates
 from cohortlake.llm.tokens import count_tokens
 
 
@@ -18,11 +20,25 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(folder).rstrip('/')}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_read(spark, folder, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     plan = mix(_read(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, max_epochs=2.0, seed=4)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _fold(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    prototypes = learn(docs.where(_fold(3) != 1), order=F.xxhash64("doc_id"))
+    return identify(docs, prototypes).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_read(spark, folder, "documents"), keep="max")
 
@@ -97,7 +113,9 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_near_duplicates": (op2_near_duplicates, None),
     "op4_source_mix": (op4_source_mix, SQL_MIX),
+    "op6_language_id": (op6_language_id, None),
     "op8_exact_dedup": (op8_exact_dedup, SQL_EXACT),
     "op9_token_counts": (op9_token_counts, None),
     "op10_decontamination": (op10_decontamination, SQL_DECONTAMINATE),

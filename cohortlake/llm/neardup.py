@@ -5,16 +5,19 @@ so half as many permutations are evaluated. Values are cut into bands; texts tha
 whole band are candidates, and candidates are confirmed on their full shingle sets. Texts with equal
 sets form one class first, so exact and reordered copies cost one row each.
 
-Members of a band are never paired with one another. Round one compares each member with the
-smallest. Later rounds look only at bands whose members are still in several components: a few members of
-each smaller component are compared with all members outside their own, and then leave. Pairs inside a
-component need no comparison, as their link would join nothing. When no band is left, every
-candidate pair was compared or lies in one component.
+Members of a band are never paired with one another. First each member is compared with the smallest of
+its band. Texts of bands that are still in several components go on in finer groups: of two linked
+sets, each holds one of the other's n - ceil(0.75 n) + 1 rarest shingles, so the texts are grouped by their
+rarest shingles instead, and a passage that many texts share brings none of them together. In these groups a
+few members are compared with all members outside their own component and then leave: one drawn by hash at
+first, later members of each smaller component. Pairs inside a component need no comparison, as their link
+would join nothing. When no group is left, every candidate pair was compared, ruled out or lies in one component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from cohortlake.llm.shingles import scrambled, shingle_sets
 from cohortlake.session import settle
 
 BANDS, ROWS = 64, 6  # a pair of similarity 0.75 shares no band with probability 4e-6
+DRAWN_ROUNDS = 2  # up to this round one drawn member of a group is compared
 PER_ROUND = 8  # members of a smaller component that a band compares in one round
 _STEP = 4096  # shingles that are permuted at a time
 
@@ -103,7 +107,36 @@ def _confirmed(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, per
     used = fit.select(F.col("a").alias("id")).union(fit.select(F.col("b").alias("id"))).distinct()
     bodies = settle(texts.join(used, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     body = lambda c: bodies.select(F.col("id").alias(c), F.col("body").alias(f"t{c}"))
-    return settle(fit.join(body("a"), "a").join(body("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k, percent), "a long, b long, linked boolean"), "near-links")
+    return settle(fit.join(body("a").hint("merge"), "a").join(body("b").hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k, percent), "a long, b long, linked boolean"), "near-links")
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "body", 4 << 20):
+            own = list(shingle_sets(*flat(batch.column("body")), k))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), values], names=["id", "s"])
+
+    return run
+
+
+def _rare_groups(live: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(bucket, rep): each text of ``live`` under those of its rarest shingles that another one has.
+
+    Rarity counts the texts of ``live`` that hold a shingle; linked sets share one of the shingles kept.
+    """
+    reps = settle(live.select("rep").distinct().join(classes.select("rep", "n").hint("merge"), "rep"), "near-live")
+    own = texts.join(reps.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, s array<long>")
+    held = settle(own.select(F.col("id").alias("rep"), F.explode("s").alias("bucket")), "near-shingles")
+    often = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = settle(held.join(often.hint("merge"), "bucket"), "near-common")
+    alone = reps.withColumn("prefix", F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1)
+    counts = common.groupBy("rep").agg(F.count(F.lit(1)).alias("shared")).join(alone, "rep")
+    # a text's shingles that no other has come first in the order and take up part of its prefix
+    room = counts.select("rep", (F.col("prefix") - (F.col("n") - F.col("shared"))).alias("room")).where("room > 0")
+    ranked = common.join(room.hint("merge"), "rep").withColumn("at", F.row_number().over(W.partitionBy("rep").orderBy("df", "bucket")))
+    return settle(ranked.where("at <= room").select("bucket", "rep"), "near-rare")
 
 
 def near_duplicates(
@@ -131,28 +164,39 @@ def near_duplicates(
     base = settle(texts.mapInArrow(_profile(k, bands, rows, seed), "id long, n long, k1 long, k2 long, keys array<long>"), "near-profiles")
     some = base.where("n > 0")
     classes = settle(some.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "near-classes")
-    heads = base.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), F.explode("keys").alias("bucket"))
+    heads = base.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select(F.col("id").alias("rep"), F.explode("keys").alias("bucket"))
+    heads = heads.repartition("bucket")  # dealt once, for the aggregate and for the join with it
     shared = heads.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
-    live = settle(heads.join(shared, "bucket").select("bucket", "rep", "low"), "near-bands")
+    live = settle(heads.join(shared.hint("merge"), "bucket").select("bucket", "rep", "low"), "near-bands")
     pairs = live.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     done, labels = None, None
     live = live.where("rep != low").select("bucket", "rep")
-    while True:
+    for turn in count(1):
         found = _confirmed(pairs, classes, texts, k, percent)
         done = found if done is None else done.union(found)
         labels = settle(components(done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
         named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
         mixed = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
         live = settle(named.join(mixed, "bucket", "left_semi"), "near-bands")
-        parts = live.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("size"))
-        if not parts.take(1):
+        if turn == 1 and live.take(1):
+            rare = _rare_groups(live, classes, texts, k, percent)
+            named = rare.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
+            mixed = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
+            live = settle(named.join(mixed, "bucket", "left_semi"), "near-bands")
+        if not live.take(1):
             break
-        largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("top")).select("bucket", F.col("top.part").alias("top"))
-        minor = live.join(largest, "bucket").where("part != top").withColumn("at", F.row_number().over(W.partitionBy("bucket", "part").orderBy("rep")))
-        centres = settle(minor.where(F.col("at") <= PER_ROUND).select("bucket", F.col("rep").alias("c"), F.col("part").alias("c_part")), "near-centres")
+        if turn <= DRAWN_ROUNDS:
+            drawn = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "rep"), "rep", "part")).alias("one"))
+            centres = drawn.select("bucket", F.col("one.rep").alias("c"), F.col("one.part").alias("c_part"))
+        else:
+            parts = live.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("size"))
+            largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("top")).select("bucket", F.col("top.part").alias("top"))
+            minor = live.join(largest, "bucket").where("part != top").withColumn("at", F.row_number().over(W.partitionBy("bucket", "part").orderBy("rep")))
+            centres = minor.where(F.col("at") <= PER_ROUND).select("bucket", F.col("rep").alias("c"), F.col("part").alias("c_part"))
+        centres = settle(centres, "near-centres")
         pairs = centres.join(live, "bucket").where(F.col("part") != F.col("c_part")).select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
-        pairs = settle(pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
         live = live.join(centres.select("bucket", F.col("c").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-    whole = base.join(classes, ["n", "k1", "k2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    whole = base.join(classes.hint("merge"), ["n", "k1", "k2"], "left").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     part = F.coalesce("component", "rep", "id")
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), part.alias("component_id"), (F.col("id") == part).alias("kept"))

@@ -21,7 +21,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,9 @@ from cohortlake.session import settle
 BANDS, ROWS = 64, 6  # a pair of similarity 0.75 shares no band with probability 4e-6
 DRAWN_ROUNDS = 2  # up to this round one drawn member of a group is compared
 PER_ROUND = 8  # members of a smaller component that a band compares in one round
+WORDS = 8  # 64-bit words of the parity mask of a set
+_MASK = [f"m{i}" for i in range(WORDS)]
+_TRAITS = ["n", "own", *_MASK]
 _STEP = 4096  # shingles that are permuted at a time
 
 
@@ -116,27 +119,51 @@ def _sets(k: int):
             own = list(shingle_sets(*flat(batch.column("body")), k))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), values], names=["id", "s"])
+            odd = np.array([np.bincount((scrambled(x) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1 for x in own], np.uint8)
+            masks = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), values, *[pa.array(masks[:, i].copy()) for i in range(WORDS)]], names=["id", "s", *_MASK])
 
     return run
 
 
 def _rare_groups(live: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(bucket, rep): each text of ``live`` under those of its rarest shingles that another one has.
+    """(bucket, rep, n, own, masks): each text of ``live`` under those of its rarest shingles that another one has.
 
     Rarity counts the texts of ``live`` that hold a shingle; linked sets share one of the shingles kept.
+    ``own`` counts the shingles that no other text has, which bounds the intersection with any of them. A mask holds for
+    each of 512 hash values whether an odd number of the set's shingles has it.
     """
     reps = settle(live.select("rep").distinct().join(classes.select("rep", "n").hint("merge"), "rep"), "near-live")
-    own = texts.join(reps.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, s array<long>")
+    own = texts.join(reps.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, s array<long>, " + ", ".join(f"{m} long" for m in _MASK))
+    own = settle(own, "near-sets")
     held = settle(own.select(F.col("id").alias("rep"), F.explode("s").alias("bucket")), "near-shingles")
     often = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = settle(held.join(often.hint("merge"), "bucket"), "near-common")
     alone = reps.withColumn("prefix", F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1)
     counts = common.groupBy("rep").agg(F.count(F.lit(1)).alias("shared")).join(alone, "rep")
     # a text's shingles that no other has come first in the order and take up part of its prefix
-    room = counts.select("rep", (F.col("prefix") - (F.col("n") - F.col("shared"))).alias("room")).where("room > 0")
+    room = counts.select("rep", "n", (F.col("n") - F.col("shared")).alias("own"), "prefix").withColumn("room", F.col("prefix") - F.col("own")).where("room > 0")
     ranked = common.join(room.hint("merge"), "rep").withColumn("at", F.row_number().over(W.partitionBy("rep").orderBy("df", "bucket")))
-    return settle(ranked.where("at <= room").select("bucket", "rep"), "near-rare")
+    masks = own.select(F.col("id").alias("rep"), *_MASK)
+    return settle(ranked.where("at <= room").join(masks, "rep").select("bucket", "rep", *_TRAITS), "near-rare")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two sets can be similar enough, by two bounds on their intersection.
+
+    It has none of the shingles that are one set's own, and every bit in which the masks differ stands for a
+    shingle that only one of the sets has.
+    """
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"c_{m}"))) for m in _MASK[1:]), F.bit_count(F.col(_MASK[0]).bitwiseXOR(F.col(f"c_{_MASK[0]}"))))
+    most = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"), F.floor((F.col("n") + F.col("c_n") - apart) / 2))
+    return most * 100 >= (F.col("n") + F.col("c_n") - most) * percent
+
+
+def _mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """The groups whose members are in several components, with the component as ``part``."""
+    named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    mixed = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
+    return named.join(mixed, "bucket", "left_semi")
 
 
 def near_duplicates(
@@ -175,28 +202,26 @@ def near_duplicates(
         found = _confirmed(pairs, classes, texts, k, percent)
         done = found if done is None else done.union(found)
         labels = settle(components(done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
-        named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-        mixed = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
-        live = settle(named.join(mixed, "bucket", "left_semi"), "near-bands")
-        if turn == 1 and live.take(1):
-            rare = _rare_groups(live, classes, texts, k, percent)
-            named = rare.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-            mixed = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
-            live = settle(named.join(mixed, "bucket", "left_semi"), "near-bands")
+        if turn == 1:
+            if not _mixed(live, labels).take(1):
+                break
+            live = _rare_groups(_mixed(live, labels), classes, texts, k, percent)
+        live = settle(_mixed(live, labels), "near-bands")
         if not live.take(1):
             break
         if turn <= DRAWN_ROUNDS:
-            drawn = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "rep"), "rep", "part")).alias("one"))
-            centres = drawn.select("bucket", F.col("one.rep").alias("c"), F.col("one.part").alias("c_part"))
+            drawn = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "rep"), "rep", "part", *_TRAITS)).alias("one"))
+            centres = drawn.select("bucket", "one.rep", "one.part", *[f"one.{c}" for c in _TRAITS])
         else:
             parts = live.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("size"))
             largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("top")).select("bucket", F.col("top.part").alias("top"))
             minor = live.join(largest, "bucket").where("part != top").withColumn("at", F.row_number().over(W.partitionBy("bucket", "part").orderBy("rep")))
-            centres = minor.where(F.col("at") <= PER_ROUND).select("bucket", F.col("rep").alias("c"), F.col("part").alias("c_part"))
-        centres = settle(centres, "near-centres")
-        pairs = centres.join(live, "bucket").where(F.col("part") != F.col("c_part")).select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
+            centres = minor.where(F.col("at") <= PER_ROUND).drop("at", "top")
+        centres = settle(centres.select(F.col("bucket").alias("c_bucket"), *[F.col(c).alias(f"c_{c}") for c in ("rep", "part", *_TRAITS)]), "near-centres")
+        other = (F.col("bucket") == F.col("c_bucket")) & (F.col("part") != F.col("c_part")) & _may_link(percent)
+        pairs = live.join(centres, other).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
         pairs = pairs.join(done, ["a", "b"], "left_anti")
-        live = live.join(centres.select("bucket", F.col("c").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
+        live = live.join(centres, (F.col("bucket") == F.col("c_bucket")) & (F.col("rep") == F.col("c_rep")), "left_anti").drop("part")
     whole = base.join(classes.hint("merge"), ["n", "k1", "k2"], "left").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     part = F.coalesce("component", "rep", "id")
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), part.alias("component_id"), (F.col("id") == part).alias("kept"))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.decontaminate import contamination
 from cohortlake.llm.exact import exact_duplicates
+from cohortlake.llm.htmltext import extract
 from cohortlake.llm.language import identify, learn
 from cohortlake.llm.mixing import mix
 from cohortlake.llm.neardup import near_duplicates
 from cohortlake.llm.tokens import count_tokens
+from cohortlake.llm.warc import archive
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(_read(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     plan = mix(_read(spark, folder, "documents"), weights=[3, 1, 2], share=1.5, max_epochs=2.0, seed=4)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +45,10 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, prototypes).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    return archive(_read(spark, folder, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_read(spark, folder, "documents"), keep="max")
 
@@ -61,6 +71,14 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+SQL_WARC = """
+WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, min(page_id) AS first FROM t WHERE octet_length(encode(h)) >= 100 GROUP BY h)
+SELECT page_id, octet_length(encode(t.h)) AS payload_bytes, sha256(t.h) AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM t LEFT JOIN g ON t.h = g.h"""
+
 SQL_EXACT = f"""
 WITH t AS (SELECT doc_id, {_LOWER.format('text')} AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
@@ -114,8 +132,10 @@ FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_near_duplicates": (op2_near_duplicates, None),
+    "op3_html_text": (op3_html_text, None),
     "op4_source_mix": (op4_source_mix, SQL_MIX),
     "op6_language_id": (op6_language_id, None),
+    "op7_warc_archive": (op7_warc_archive, SQL_WARC),
     "op8_exact_dedup": (op8_exact_dedup, SQL_EXACT),
     "op9_token_counts": (op9_token_counts, None),
     "op10_decontamination": (op10_decontamination, SQL_DECONTAMINATE),

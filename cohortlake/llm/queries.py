@@ -14,7 +14,10 @@ from cohortlake.llm.htmltext import extract
 from cohortlake.llm.language import identify, learn
 from cohortlake.llm.mixing import mix
 from cohortlake.llm.neardup import near_duplicates
+from cohortlake.llm.suffixes import remove_repeats
 from cohortlake.llm.tokens import count_tokens
+from cohortlake.llm.toxicity import learn as learn_toxicity
+from cohortlake.llm.toxicity import score as score_toxicity
 from cohortlake.llm.warc import archive
 
 
@@ -22,6 +25,10 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(folder).rstrip('/')}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_read(spark, folder, "documents"), depth=50).drop("starts", "stops")
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"))
 
@@ -39,6 +46,13 @@ def _fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    labels = _read(spark, folder, "labels").where(_fold(5) != 0).select("doc_id", "toxic")
+    model = learn_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"), order=F.xxhash64("doc_id"))
+    return score_toxicity(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     prototypes = learn(docs.where(_fold(3) != 1), order=F.xxhash64("doc_id"))
@@ -131,9 +145,11 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_near_duplicates": (op2_near_duplicates, None),
     "op3_html_text": (op3_html_text, None),
     "op4_source_mix": (op4_source_mix, SQL_MIX),
+    "op5_toxicity": (op5_toxicity, None),
     "op6_language_id": (op6_language_id, None),
     "op7_warc_archive": (op7_warc_archive, SQL_WARC),
     "op8_exact_dedup": (op8_exact_dedup, SQL_EXACT),

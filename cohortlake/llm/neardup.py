@@ -31,8 +31,8 @@ from cohortlake.llm.shingles import scrambled, shingle_sets
 from cohortlake.session import settle
 
 BANDS, ROWS = 64, 6  # a pair of similarity 0.75 shares no band with probability 4e-6
-DRAWN_ROUNDS = 2  # up to this round one drawn member of a group is compared
-PER_ROUND = 8  # members of a smaller component that a band compares in one round
+DRAWN_ROUNDS = 1  # after this round smaller components' members are compared, not one drawn member
+PER_ROUND = 64  # members of a smaller component that a group compares in one round
 WORDS = 8  # 64-bit words of the parity mask of a set
 _MASK = [f"m{i}" for i in range(WORDS)]
 _TRAITS = ["n", "own", *_MASK]
@@ -166,6 +166,21 @@ def _mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket", "left_semi")
 
 
+def _joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links: these join the components there are, which are not gone through again."""
+    if labels is None:
+        return settle(components(links), "near-labels")
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    parts = links.join(own("u"), "u", "left").join(own("v"), "v", "left").select(F.coalesce("part_u", "u").alias("u"), F.coalesce("part_v", "v").alias("v"))
+    parts = settle(parts.where("u != v").distinct(), "near-joins")
+    if not parts.take(1):
+        return labels
+    merged = settle(components(parts), "near-merged").select(F.col("node").alias("part"), F.col("component").alias("into"))
+    moved = labels.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("into", "component").alias("component"))
+    new = merged.join(labels, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("into").alias("component"))
+    return settle(moved.union(new), "near-labels")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -201,7 +216,7 @@ def near_duplicates(
     for turn in count(1):
         found = _confirmed(pairs, classes, texts, k, percent)
         done = found if done is None else done.union(found)
-        labels = settle(components(done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-labels")
+        labels = _joined_labels(labels, found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         if turn == 1:
             if not _mixed(live, labels).take(1):
                 break

@@ -104,8 +104,10 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word; words that lack too many letters of every marker get the lowest, -1.5."""
         out = np.full(len(words), -1.5)
-        masks = [(frozenset(m), int(np.ceil(SHARE * len(set(m))))) for m in self.markers]
-        near = [i for i, w in enumerate(words) if len(w) > 2 and any(len(m.intersection(w)) >= least for m, least in masks)]
+        bit = {c: 1 << i for i, c in enumerate(sorted(set().union(*self.markers)))}
+        masks = [(sum(bit[c] for c in set(m)), int(np.ceil(SHARE * len(set(m))))) for m in self.markers]
+        held = [sum(bit.get(c, 0) for c in set(w)) if len(w) > 2 else 0 for w in words]
+        near = [i for i, h in enumerate(held) if h and any((h & m).bit_count() >= least for m, least in masks)]
         if near:
             features = similarity([words[i] for i in near], self.markers + self.common) @ self.whiten
             out[near] = np.maximum(features @ self.weights + self.bias, -1.5)

@@ -108,7 +108,7 @@ def _confirmed(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, per
     fit = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
     fit = settle(fit, "near-pairs")
     used = fit.select(F.col("a").alias("id")).union(fit.select(F.col("b").alias("id"))).distinct()
-    bodies = settle(texts.join(used, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+    bodies = settle(texts.join(used.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
     body = lambda c: bodies.select(F.col("id").alias(c), F.col("body").alias(f"t{c}"))
     return settle(fit.join(body("a").hint("merge"), "a").join(body("b").hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k, percent), "a long, b long, linked boolean"), "near-links")
 

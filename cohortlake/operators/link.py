@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlake.functions.common import dtype, join_null_safe, require
-from cohortlake.operators.scan import MAX_GROUP_ROWS, last_known, order_key
+from cohortlake.operators.scan import MAX_GROUP_ROWS, last_known
 from cohortlake.session import settle
 
 
@@ -236,13 +236,13 @@ def asof_visit(
     payload = F.struct(*[F.col(c).alias(c) for c in columns])
     dated = visits.where(F.col(visit_time).isNotNull()).select(
         F.col(key).alias("_key"),
-        order_key(F.col(visit_time), dtype(visits, visit_time)).alias("_at"),
+        F.col(visit_time).alias("_at"),
         F.lit(0).alias("_kind"),
         payload.alias("_visit"),
     )
     acts = activities.select(
         F.col(key).alias("_key"),
-        order_key(F.col(activity_time), dtype(activities, activity_time)).alias("_at"),
+        F.col(activity_time).alias("_at"),
         F.lit(1).alias("_kind"),
         F.struct(*activities.columns).alias("_row"),
     )

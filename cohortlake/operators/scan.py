@@ -7,6 +7,8 @@ one small row per chunk carries the state of the earlier chunks forward.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,12 +21,15 @@ MAX_GROUP_ROWS = 2_000_000  # a group with more rows is cut into ranges
 MAX_CUTS = 1024
 
 
-def order_key(c: Column, kind: T.DataType) -> Column:
-    """A number that never decreases as the value grows, equal for equal values."""
+def order_key(c: Column, kind: T.DataType, skip: int = 0) -> Column:
+    """A number that never decreases as the value grows, equal for equal values; it only serves to choose cut points.
+
+    Texts are read from six bytes after the first ``skip`` bytes, which all of them must share.
+    """
     if isinstance(kind, TEMPORAL):
         return epoch_us(c).cast("double")
     if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, 6)), 12, "0")
         return F.conv(head, 16, 10).cast("double")
     if isinstance(kind, T.BooleanType):
         return c.cast("int").cast("double")
@@ -91,11 +96,17 @@ def cut_hot_groups(
     biggest = sizes.agg(F.max("_n")).first()[0]
     if biggest is None:
         return df.withColumn("_chunk", F.lit(0)), False
-    key = order_key(F.col(order), df.schema[order].dataType)
+    kind = df.schema[order].dataType
     pieces = min(MAX_CUTS, max(2, -(-biggest // max_rows)))
     hot = settle(sizes.select(*keys), "hot-groups")
+    hot_rows = join_null_safe(df.select(*keys, F.col(order).alias("_order")), hot, keys, "left_semi")
+    skip = 0
+    if isinstance(kind, T.StringType):  # what the least and the greatest text begin with, all texts between begin with
+        ends = hot_rows.agg(F.min("_order").alias("a"), F.max("_order").alias("b")).first()
+        skip = len(os.path.commonprefix([(ends["a"] or "").encode(), (ends["b"] or "").encode()]))
+    key = order_key(F.col(order), kind, skip)
     cuts = (
-        join_null_safe(df.select(*keys, key.alias("_order_key")), hot, keys, "left_semi")
+        hot_rows.select(*keys, order_key(F.col("_order"), kind, skip).alias("_order_key"))
         .groupBy(*keys)
         .agg(F.percentile_approx("_order_key", _fractions(pieces), 10 * pieces).alias("_cuts"))
     )

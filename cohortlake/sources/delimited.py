@@ -70,11 +70,15 @@ def read_delimited(
     fields hold line breaks. A row separator of more than two characters is split as text.
     """
     if eol and len(eol) > 2:
-        raw = spark.read.option("lineSep", eol).text(path)
+        raw = spark.read.option("lineSep", eol).text(path).withColumns(
+            {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+        )
         items = F.split("value", "\\Q" + delimiter + "\\E", -1)
         header = labels or raw.select(items.alias("h")).first()["h"]
         pairs = column_names(header)
-        body = raw if labels else raw.where(F.col("value") != F.lit(delimiter.join(header)))
+        # only the first line of a file is its header: a later row may have the same text
+        first = raw.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_head"))
+        body = raw if labels else raw.join(first, "_file", "left").where("_block > 0 OR _at > _head")
         text = body.select(*[F.trim(F.get(items, F.lit(k))).alias(n, metadata={"label": lab}) for k, (n, lab) in enumerate(pairs)])
     else:
         options = _options(delimiter, charset, quote, eol, multi_line)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.series import extract_peaks, process_series, scale_series, trim_series
 from cohortlake.operators import link, ordered
-from cohortlake.operators.scan import global_index, positions
+from cohortlake.operators.scan import cut_hot_groups, global_index, positions
 
 SMALL = 25  # a group above 25 rows is cut into ranges
 
@@ -121,6 +121,22 @@ def test_asof_visit(table, limit):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [SMALL, 10**6])
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_asof_visit_keeps_the_whole_order(table, limit, kind):
+    """Texts that differ after many bytes and integers beyond the doubles are told apart."""
+    at = (lambda k: f"2016-08-{k:03d}") if kind == "string" else (lambda k: 1_600_000_000_000_000_000 + k)
+    acts, visits = [("a", at(2 * k + 1), k) for k in range(150)], [("a", at(2 * k), k) for k in range(150)]
+    out = link.asof_visit(table(acts, f"s string, t {kind}, id long"), table(visits, f"s string, vt {kind}, no long"), "s", "t", "vt", ["no"], [], limit)
+    assert {r["id"]: r["visit_no"] for r in out.collect()} == {k: k for k in range(150)}
+
+
+def test_text_orders_are_cut(table):
+    rows = [("a", f"2016-08-10 {k:06d}", k) for k in range(1000)]
+    got, split = cut_hot_groups(table(rows, "s string, t string, id long"), ["s"], "t", 100)
+    assert split and got.select("_chunk").distinct().count() >= 8
+
+
 def series(table, expr, values):
     return table([(values,)], "a array<double>").select(expr(F.col("a"))).first()[0]
 

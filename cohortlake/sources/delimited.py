@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -52,7 +54,7 @@ def _schema(pairs: list[tuple[str, str]]) -> T.StructType:
 
 def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     delimiter: str = ",",
     quote: str = '"',
     charset: str = "UTF-8",
@@ -94,12 +96,28 @@ FILE_NAME = r"([^/]+?)(\.[A-Za-z]+)?$"
 def read_folder(
     spark: SparkSession, folder: str, delimiter: str = ",", pattern: str = "*.csv", infer: bool = True, source: str = FILE_NAME
 ) -> DataFrame:
-    """All files of a folder with one header; ``source`` is the file name, or the part of the path
-    the given pattern captures. Write the result partitioned by source."""
+    """All files of a folder; ``source`` is the file name, or the part of the path the given pattern
+    captures. Write the result partitioned by source.
+
+    Files whose headers differ are read by their own column names and put together by name, so the order of
+    columns may change from file to file and columns a file lacks are null."""
     path = f"{folder.rstrip('/')}/{pattern}"
-    text = read_delimited(spark, path, delimiter, infer=False)
-    named = text.withColumn("source", F.regexp_extract("_metadata.file_path", source, 1))
-    return retype(named, infer_types(text)) if infer else named
+    files: dict[str, list[str]] = {}
+    for row in _first_lines(spark, path).collect():  # a row per file
+        files.setdefault(row["head"], []).append(unquote(row["file"]))
+    groups = [path] if len(files) < 2 else [files[h] for h in sorted(files)]
+    parts = [read_delimited(spark, g, delimiter, infer=False).withColumn("source", F.regexp_extract("_metadata.file_path", source, 1)) for g in groups]
+    named = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    named = named.select(*[c for c in named.columns if c != "source"], "source")
+    return retype(named, infer_types(named.drop("source"))) if infer else named
+
+
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head): the first line of every file."""
+    lines = spark.read.text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    return lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
 
 
 def repair_lines(

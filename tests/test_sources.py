@@ -102,3 +102,17 @@ def test_nested_documents(spark, table):
     assert flat.columns == ["a_b", "a_d", "id"]
     assert series.flatten_struct(df, "_", ["a"]).columns == ["a", "id"]
     assert series.nest_columns(flat, "_").select("a.d").first()["d"] == "x"
+
+
+def test_read_folder_with_differing_headers(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("x,y\n1,2\nx,y\n")
+    (tmp_path / "c.csv").write_text("y,x,z\n30,3,9\n")
+    got = delimited.read_folder(spark, str(tmp_path), infer=False)
+    assert sorted(map(tuple, got.select("x", "y", "z").collect())) == [("1", "2", None), ("3", "30", "9"), ("x", "y", None)]
+    assert got.where("source = 'c'").count() == 1
+
+
+def test_long_row_separator_keeps_rows_equal_to_the_header(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a,b~~~1,2~~~a,b~~~3,4")
+    got = delimited.read_delimited(spark, str(tmp_path / "t.txt"), eol="~~~", infer=False)
+    assert sorted(map(tuple, got.collect())) == [("1", "2"), ("3", "4"), ("a", "b")]

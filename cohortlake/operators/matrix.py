@@ -5,19 +5,23 @@ A matrix is a DataFrame (i, j, value); i and j are the row and column names.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlake.functions.common import to_double
+from cohortlake.operators.scan import global_index
 from cohortlake.session import settle
 
 NARROW = 12  # up to this many columns the pairs are plain aggregate expressions
 BLOCK = 1000  # columns per side of a partial product matrix
+MOMENTS = ("n", "si", "sj", "sii", "sjj", "sij")
+CANCELS = 1e-4  # a sum of squared differences below this part of the squares is taken value by value
 
 
 def _symmetric(upper: DataFrame, columns: list[str], diagonal: float) -> DataFrame:
@@ -47,44 +51,60 @@ def _by_expressions(df: DataFrame, columns: list[str], parts, combine, diagonal:
     return _symmetric(upper, columns, diagonal)
 
 
-def _pair_sums(df: DataFrame, columns: list[str], shifts: list[float]) -> DataFrame:
+def _moments(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sums of ``MOMENTS`` for every column of ``left`` with every column of ``right``."""
+    seen = ~np.isnan(x)
+    x, m = np.where(seen, x, 0.0), seen.astype("float64")
+    xa, ma, xb, mb = x[:, left], m[:, left], x[:, right], m[:, right]
+    return np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
+
+
+def _square_differences(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum of (a - b)^2 for every column a of ``left`` and b of ``right``; a row with a missing side adds nothing.
+
+    Products are fast, but cancel for columns that lie close together; such pairs are subtracted value by value.
+    """
+    seen = ~np.isnan(x)
+    base = x[seen].mean() if seen.any() else 0.0
+    y, m = np.where(seen, x - base, 0.0), seen.astype("float64")
+    ya, ma, yb, mb = y[:, left], m[:, left], y[:, right], m[:, right]
+    size = (ya * ya).T @ mb + ma.T @ (yb * yb)
+    out = size - 2 * (ya.T @ yb)
+    for a, b in np.argwhere(~(out > CANCELS * size)):
+        d = x[:, left[a]] - x[:, right[b]]
+        out[a, b] = np.nansum(d * d)
+    return out[None]
+
+
+def _pair_sums(df: DataFrame, columns: list[str], shifts: list[float], sums=_moments, fields: tuple[str, ...] = MOMENTS) -> DataFrame:
     """(i, j, n, si, sj, sii, sjj, sij) over the rows where both columns are defined, for i < j.
 
     For many columns: each task adds up product matrices with numpy in one pass over its rows
     and emits every pair once; Spark sums the partial results. Beyond ``BLOCK`` columns there is
-    one pass per pair of column blocks.
+    one pass per pair of column blocks. Another ``sums`` gives other ``fields``.
     """
     blocks = [range(s, min(s + BLOCK, len(columns))) for s in range(0, len(columns), BLOCK)]
     out = []
     for k, left in enumerate(blocks):
         for right in blocks[k:]:
-            used = sorted({*left, *right})
-            out.append(_block_sums(df, [columns[c] for c in used], [shifts[c] for c in used], [used.index(c) for c in left], [used.index(c) for c in right], used))
+            used = np.union1d(left, right)
+            at = np.searchsorted(used, left), np.searchsorted(used, right)
+            out.append(_block_sums(df, [columns[c] for c in used], np.array([shifts[c] for c in used]), *at, used, sums, fields))
     return reduce(DataFrame.unionByName, out)
 
 
-def _block_sums(df, columns, shifts, left, right, numbers) -> DataFrame:
-    base, numbers = np.array(shifts), np.array(numbers)
-    upper = [(a, b) for a in range(len(left)) for b in range(len(right)) if numbers[left[a]] < numbers[right[b]]]
-    at_a, at_b = np.array([a for a, _ in upper], dtype=int), np.array([b for _, b in upper], dtype=int)
+def _block_sums(df, columns, base, left, right, numbers, sums, fields) -> DataFrame:
+    at_a, at_b = np.nonzero(numbers[left][:, None] < numbers[right][None, :])
 
     def partial(batches):
-        sums = None
+        total = None
         for pdf in batches:
-            x = pdf.to_numpy(dtype="float64") - base
-            seen = ~np.isnan(x)
-            x, m = np.where(seen, x, 0.0), seen.astype("float64")
-            xa, ma, xb, mb = x[:, left], m[:, left], x[:, right], m[:, right]
-            new = np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
-            sums = new if sums is None else sums + new
-        if sums is not None and len(at_a):
-            picked = sums[:, at_a, at_b]
-            names = np.array(left)[at_a], np.array(right)[at_b]
-            yield pd.DataFrame(
-                {"i": numbers[names[0]], "j": numbers[names[1]], **dict(zip(("n", "si", "sj", "sii", "sjj", "sij"), picked))}
-            )
+            new = sums(pdf.to_numpy(dtype="float64") - base, left, right)
+            total = new if total is None else total + new
+        if total is not None and len(at_a):
+            picked = total[:, at_a, at_b]
+            yield pd.DataFrame({"i": numbers[left[at_a]], "j": numbers[right[at_b]], **dict(zip(fields, picked))})
 
-    fields = ("n", "si", "sj", "sii", "sjj", "sij")
     return (
         df.select(*[F.col(f"`{c}`") for c in columns])
         .mapInPandas(partial, "i int, j int, " + ", ".join(f"{f} double" for f in fields))
@@ -93,8 +113,7 @@ def _block_sums(df, columns, shifts, left, right, numbers) -> DataFrame:
     )
 
 
-def _by_sums(df: DataFrame, columns: list[str], value: Column, diagonal: float, shifts: list[float] | None = None) -> DataFrame:
-    sums = _pair_sums(df, columns, shifts or [0.0] * len(columns))
+def _by_sums(sums: DataFrame, columns: list[str], value: Column, diagonal: float) -> DataFrame:
     name = F.array(*[F.lit(c) for c in columns])
     upper = sums.select(F.get(name, F.col("i")).alias("i"), F.get(name, F.col("j")).alias("j"), value.alias("value"))
     return _symmetric(upper, columns, diagonal)
@@ -122,7 +141,8 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     va, vb = F.col("sii") - F.try_divide(si * si, n), F.col("sjj") - F.try_divide(sj * sj, n)
     # what is left of a column that does not vary is rounding
     varies = (va > 1e-12 * F.col("sii")) & (vb > 1e-12 * F.col("sjj"))
-    return _by_sums(rows, columns, F.when(varies, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb))), 1.0, [m or 0.0 for m in means])
+    sums = _pair_sums(rows, columns, [m or 0.0 for m in means])
+    return _by_sums(sums, columns, F.when(varies, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb))), 1.0)
 
 
 def matthews_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,7 +167,8 @@ def matthews_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = df.select(*[F.col(f"`{c}`").cast("boolean").cast("double").alias(c) for c in columns])
     tp, fp, fn = F.col("sij"), F.col("si") - F.col("sij"), F.col("sj") - F.col("sij")
     value = combine({"tp": tp, "tn": F.col("n") - tp - fp - fn, "fp": fp, "fn": fn})
-    return _by_sums(rows, columns, F.when(F.col("n") > 0, value).otherwise(0.0), 1.0)
+    sums = _pair_sums(rows, columns, [0.0] * len(columns))
+    return _by_sums(sums, columns, F.when(F.col("n") > 0, value).otherwise(0.0), 1.0)
 
 
 def euclidean_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -157,18 +178,18 @@ def euclidean_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         return _by_expressions(
             rows, columns, lambda a, b: {"ss": F.sum((a - b) * (a - b))}, lambda p: F.sqrt(F.coalesce(p["ss"], F.lit(0.0))), 0.0
         )
-    squares = F.col("sii") + F.col("sjj") - 2 * F.col("sij")
-    return _by_sums(rows, columns, F.sqrt(F.greatest(F.lit(0.0), squares)), 0.0)
+    sums = _pair_sums(rows, columns, [0.0] * len(columns), _square_differences, ("ss",))
+    return _by_sums(sums, columns, F.sqrt("ss"), 0.0)
 
 
-def _products(df: DataFrame, vector: str, p: int, shifted: bool = True) -> DataFrame:
+def _products(df: DataFrame, vector: str, p: int) -> DataFrame:
     """(i, j, n, si, sj, sij) for i <= j over a numeric array column without missing values.
 
     Each task adds up a p x p product matrix with numpy and emits it once; Spark sums these
-    partial matrices. The values can be shifted by the first row's so that the sums keep digits.
+    partial matrices. The values are shifted by the first row's so that the sums keep digits.
     """
     array = F.col(vector).cast("array<double>")
-    base = np.array(df.select(array.alias("v")).first()["v"]) if shifted else 0.0
+    base = np.array(df.select(array.alias("v")).first()["v"])
     upper_i, upper_j = np.triu_indices(p)
 
     def partial(batches):
@@ -190,32 +211,43 @@ def _products(df: DataFrame, vector: str, p: int, shifted: bool = True) -> DataF
     return settle(sums, "products")
 
 
-def _all_defined(
-    df: DataFrame, vector: str, names: list[str] | None, own: Column, value: Column, diagonal: float, shifted: bool = True
-) -> DataFrame:
-    """Matrix whose entry is ``value`` over a product row and the ``own`` value of its two sides."""
+def _labels(df: DataFrame, vector: str, names: list[str] | None) -> list[str]:
+    """Names of the elements of an array column, their numbers if none are given; none for an empty table."""
     size = df.select(F.size(vector).alias("p")).first()
-    if size is None:
-        return df.sparkSession.createDataFrame([], "i string, j string, value double")
-    labels = names or [str(k) for k in range(size["p"])]
-    sums = _products(df, vector, size["p"], shifted)
-    sides = sums.where("i = j").select(F.col("i").alias("k"), own.alias("own"))
-    both = sums.where("i < j").join(sides.toDF("i", "oi"), "i").join(sides.toDF("j", "oj"), "j")
-    name = F.array(*[F.lit(x) for x in labels])
-    upper = both.select(F.get(name, F.col("i")).alias("i"), F.get(name, F.col("j")).alias("j"), value.alias("value"))
-    return _symmetric(upper, labels, diagonal)
+    return [] if size is None else names or [str(k) for k in range(size["p"])]
 
 
 def pearson_all_defined(df: DataFrame, vector: str, names: list[str] | None = None) -> DataFrame:
     """Pearson correlations of the elements of a numeric array column without missing values."""
+    labels = _labels(df, vector, names)
+    if not labels:
+        return df.sparkSession.createDataFrame([], "i string, j string, value double")
+    sums = _products(df, vector, len(labels))
     cov = F.col("sij") - F.col("si") * F.col("sj") / F.col("n")
-    return _all_defined(df, vector, names, cov, F.try_divide(cov, F.sqrt("oi") * F.sqrt("oj")), 1.0)
+    sides = sums.where("i = j").select(F.col("i").alias("k"), cov.alias("own"))
+    both = sums.where("i < j").join(sides.toDF("i", "oi"), "i").join(sides.toDF("j", "oj"), "j")
+    return _by_sums(both, labels, F.try_divide(cov, F.sqrt("oi") * F.sqrt("oj")), 1.0)
 
 
 def euclidean_all_defined(df: DataFrame, vector: str, names: list[str] | None = None) -> DataFrame:
     """Distances between the elements of a numeric array column without missing values."""
-    squares = F.col("oi") + F.col("oj") - 2 * F.col("sij")
-    return _all_defined(df, vector, names, F.col("sij"), F.sqrt(F.greatest(F.lit(0.0), squares)), 0.0, shifted=False)
+    labels = _labels(df, vector, names)
+    if not labels:
+        return df.sparkSession.createDataFrame([], "i string, j string, value double")
+    every = np.arange(len(labels))
+    upper_i, upper_j = np.triu_indices(len(labels), 1)
+
+    def partial(batches):
+        total = 0.0
+        for pdf in batches:
+            if len(pdf):
+                total = total + _square_differences(np.array(pdf["v"].tolist(), dtype="float64"), every, every)[0]
+        if np.ndim(total):
+            yield pd.DataFrame({"i": upper_i, "j": upper_j, "ss": total[upper_i, upper_j]})
+
+    vectors = df.select(F.col(vector).cast("array<double>").alias("v"))
+    sums = vectors.mapInPandas(partial, "i int, j int, ss double").groupBy("i", "j").agg(F.sum("ss").alias("ss"))
+    return _by_sums(sums, labels, F.sqrt("ss"), 0.0)
 
 
 def mean_abs_correlation(matrix: DataFrame) -> DataFrame:
@@ -265,27 +297,30 @@ def gram_matrix(distances: DataFrame) -> DataFrame:
 def metric_mds(distances: DataFrame, dims: int, scale: bool = True) -> tuple[DataFrame, list[float]]:
     """Classical scaling: (i, dim, value) of the leading eigenvectors and the eigenvalues.
 
-    The Gram matrix stays distributed by rows; the decomposition is Spark's own distributed SVD.
-    For a symmetric matrix the sign of an eigenvalue is the sign of u.v, and only positive ones
-    are used. The sign of a column is fixed so that its largest entry is positive.
+    The Gram matrix stays distributed by rows; the decomposition is Spark's own distributed SVD. The largest row
+    sum bounds every eigenvalue, so adding it to the diagonal makes them all positive: the leading singular
+    values are then the leading eigenvalues plus the bound. Only eigenvalues above 1e-9 of the largest singular
+    value are used. The sign of a column is fixed so that its largest entry is positive.
     """
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     gram = settle(gram_matrix(distances), "gram")
     spark = gram.sparkSession
-    names = gram.select("i").distinct()
-    rank = F.row_number().over(W.orderBy("i")) - 1
-    index = settle(names.select("i", rank.cast("long").alias("ix")), "matrix-index")
+    bound = gram.groupBy("i").agg(F.sum(F.abs("value")).alias("r")).agg(F.max("r")).first()[0]
+    if not bound:  # no points, or all in one place
+        return gram.limit(0).select("i", F.lit(0).alias("dim"), "value"), []
+    index = settle(global_index(gram.select("i").distinct(), ["i"], "ix"), "matrix-index")
     n = index.count()
     cells = gram.join(index, "i").join(index.select(F.col("i").alias("j"), F.col("ix").alias("jx")), "j")
+    cells = cells.withColumn("value", F.col("value") + F.when(F.col("ix") == F.col("jx"), bound).otherwise(0.0))
     rows = cells.groupBy("ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("jx", "value"))), lambda e: e["value"]).alias("r"))
     rows = settle(rows, "matrix-rows")
     matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["ix"], r["r"])), n, n)
-    svd = matrix.computeSVD(min(dims * 2, n), computeU=True)
+    svd = matrix.computeSVD(min(dims, n), computeU=True)
     v = np.asarray(svd.V.toArray())
-    s = np.asarray(svd.s.toArray())
-    signs = svd.U.rows.map(lambda r: np.asarray(r.vector.toArray()) * v[r.index]).treeReduce(lambda a, b: a + b)
-    keep = [k for k in range(len(s)) if signs[k] > 0 and s[k] > 1e-9 * s[0]][:dims]
+    shifted = np.asarray(svd.s.toArray())
+    s = shifted - bound
+    keep = [k for k in range(len(s)) if s[k] > 1e-9 * shifted[0]]
     flip = {k: 1.0 if v[np.argmax(np.abs(v[:, k])), k] >= 0 else -1.0 for k in keep}
     weights = {k: flip[k] * (float(np.sqrt(s[k])) if scale else 1.0) for k in keep}
     points = svd.U.rows.map(
@@ -330,3 +365,7 @@ def norms(x: Column, y: Column, z: Column) -> dict[str, Column]:
         return F.sqrt(a * a + F.get(y, k) * F.get(y, k) + F.get(z, k) * F.get(z, k))
 
     return {"manhattan": F.transform(x, manhattan), "euclidean": F.transform(x, euclidean)}
+
+
+# The tasks carry these functions themselves: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

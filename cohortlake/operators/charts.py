@@ -57,12 +57,12 @@ def distribution_numeric(df: DataFrame, field: str, group: str | None = None, bi
     return histogram.numeric_distribution(df, field, bins).orderBy("bin")
 
 
-def distribution_integer(df: DataFrame, field: str, group: str | None = None) -> DataFrame:
-    """Counts per integer; the missing integers in between get zero where the range is below 1000."""
+def distribution_integer(df: DataFrame, field: str, group: str | None = None, padded: int = MAX_PADDED_RANGE) -> DataFrame:
+    """Counts per integer; the missing integers in between get zero where the range is below ``padded``."""
     g = _label(F.col(group)) if group else F.lit("All")
     counts = df.where(F.col(field).isNotNull()).groupBy(g.alias("group"), F.col(field).cast("long").alias("value")).agg(F.count(F.lit(1)).alias("count"))
     ranges = counts.groupBy("group").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    small = ranges.where(F.col("hi") - F.col("lo") < MAX_PADDED_RANGE)
+    small = ranges.where(F.col("hi") - F.col("lo") < padded)
     zeros = small.select("group", F.explode(F.sequence("lo", "hi")).alias("value"), F.lit(0).cast("long").alias("count"))
     return counts.unionByName(zeros).groupBy("group", "value").agg(F.sum("count").alias("count"))
 

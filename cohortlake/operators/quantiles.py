@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlake.functions.common import dtype, join_null_safe
 from cohortlake.operators.scan import lay_out, order_key, running_count
@@ -29,7 +30,8 @@ def quartiles(df: DataFrame, column: str, group: str | None = None) -> DataFrame
     """Lower whisker, quartiles and upper whisker, per group if one is given.
 
     The quartiles are the values at the 0-based sorted positions n/4, n/2 and 3n/4 (rounded
-    down); the whiskers are the extreme values within 1.5 interquartile ranges of the box.
+    down); the whiskers are the extreme values within 1.5 interquartile ranges of the box, null for
+    texts, which have no distances.
     """
     keys = ["group"] if group else []
     counts = lay_out(_value_counts(df, column, group), [*keys, "value"])
@@ -54,7 +56,8 @@ def quartiles(df: DataFrame, column: str, group: str | None = None) -> DataFrame
     else:
         one = box.select(F.struct("*").alias("b")).scalar()
         joined = counts.select("value", one.alias("b")).select("value", "b.*")
+    near = (F.lit(False), F.lit(False)) if isinstance(kind, T.StringType) else (v >= q1 - fence, v <= q3 + fence)
     return joined.groupBy(*keys, "lower_quartile", "median", "upper_quartile").agg(
-        F.min(F.when(v >= q1 - fence, F.col("value"))).alias("lower_whisker"),
-        F.max(F.when(v <= q3 + fence, F.col("value"))).alias("upper_whisker"),
+        F.min(F.when(near[0], F.col("value"))).alias("lower_whisker"),
+        F.max(F.when(near[1], F.col("value"))).alias("upper_whisker"),
     ).select(*keys, "lower_whisker", "lower_quartile", "median", "upper_quartile", "upper_whisker")

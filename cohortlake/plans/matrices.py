@@ -202,6 +202,15 @@ def _(t):
     return m.metric_mds(_dimension_distances(t), 3)[0]
 
 
+@query("metric_mds_distances", "H10", f"WITH e AS ({DIMENSIONS}) SELECT i, j, round(sqrt(d2), 4) AS value FROM ({DISTANCES})")
+def _(t):
+    # with every dimension the points are as far apart as the distances say
+    points = m.metric_mds(_dimension_distances(t), 64)[0]
+    other = points.select(F.col("i").alias("j"), "dim", F.col("value").alias("other"))
+    squares = F.sum((F.col("value") - F.col("other")) * (F.col("value") - F.col("other")))
+    return rounded(points.join(other, "dim").groupBy("i", "j").agg(F.sqrt(squares).alias("value")), 4)
+
+
 @query(
     "standardize",
     "H11",

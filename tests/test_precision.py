@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.special import chi_square_tail, f_tail
 from cohortlake.operators import matrix
+from cohortlake.operators.quantiles import quartiles
 
 OFFSET = 1.7e12  # milliseconds of an epoch
 
@@ -74,3 +75,10 @@ def test_large_chi_square():
     # the median of k degrees is near k (1 - 2 / 9k)^3
     k = 1e6
     assert chi_square_tail(k * (1 - 2 / (9 * k)) ** 3, k) == pytest.approx(0.5, abs=1e-6)
+
+
+def test_quartiles_of_texts_have_no_whiskers(spark):
+    df = spark.createDataFrame([(f"2016-08-{d:02d}",) for d in range(1, 9)], "t string")
+    row = quartiles(df, "t").first()
+    assert (row["lower_quartile"], row["median"], row["upper_quartile"]) == ("2016-08-03", "2016-08-05", "2016-08-07")
+    assert row["lower_whisker"] is None and row["upper_whisker"] is None

@@ -11,8 +11,9 @@ from pyspark.ml import clustering as mk
 from pyspark.ml import evaluation as me
 from pyspark.ml import feature as mf
 from pyspark.ml import regression as mr
+from pyspark.ml import tuning as mt
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions.common import dtype
@@ -92,27 +93,57 @@ def _regressor(kind: str, **params):
 
 
 CLASS_METRICS = ("accuracy", "f1", "weightedPrecision", "weightedRecall")
+AREA_METRICS = ("areaUnderROC", "areaUnderPR")
 REGRESSION_METRICS = ("mse", "rmse", "r2", "mae")
+PLACES = 1_000_000
 
 
 def split_rows(df: DataFrame, share: float, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Training and test rows by a hash of the row, the same on every run and after a lost task."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns if c != "features"], F.col("features").cast("string")), F.lit(1_000_000))
-    tagged = df.withColumn("_u", u)
-    cut = int(share * 1_000_000)
+    tagged = df.withColumn("_u", _place(df, seed))
+    cut = int(share * PLACES)
     return tagged.where(F.col("_u") < cut).drop("_u"), tagged.where(F.col("_u") >= cut).drop("_u")
 
 
-def _fit_and_evaluate(learner, name: str, train, test, replication, evaluator, metrics) -> DataFrame:
-    """Train on kept rows and measure every part; (model, part, metric, value)."""
+def _place(df: DataFrame, seed: int) -> Column:
+    """A number below ``PLACES`` from a hash of the row."""
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns if c != "features"], F.col("features").cast("string")), F.lit(PLACES))
+
+
+def sample_classes(df: DataFrame, ratios: dict[float, float], seed: int = SEED) -> DataFrame:
+    """Keeps the given share of each label's rows by a hash of the row; labels not named stay whole."""
+    share = F.lit(1.0)
+    for label, ratio in ratios.items():
+        share = F.when(F.col("label") == float(label), F.lit(float(ratio))).otherwise(share)
+    return df.where(_place(df, seed + 1) < share * PLACES)
+
+
+def _fit_and_evaluate(learner, name: str, train, test, replication, evaluator, metrics, folds=0, grid=None, areas=False) -> DataFrame:
+    """Train on kept rows and measure every part; (model, part, metric, value).
+
+    With ``folds`` the values in ``grid`` are chosen by cross-validation on the training rows, and the mean of
+    the first metric over the held-out folds is given as part ``cross_validation``.
+    """
     sets = {"training": train, "test": test, **({"replication": replication} if replication is not None else {})}
     train.persist(StorageLevel.MEMORY_AND_DISK)  # learners pass over the rows many times
     try:
-        model = Pipeline(stages=[learner(train)]).fit(train)
         rows = []
+        if folds:
+            maker, combos = learner(train), mt.ParamGridBuilder()
+            for param, values in (grid or {}).items():
+                combos = combos.addGrid(maker.getParam(param), values)
+            judge = evaluator.setMetricName(metrics[0]).copy()
+            folded = train.withColumn("_fold", F.pmod(_place(train, SEED + 2), F.lit(folds)).cast("int"))
+            model = mt.CrossValidator(estimator=maker, estimatorParamMaps=combos.build(), evaluator=judge, numFolds=folds, foldCol="_fold").fit(folded)
+            best = (max if judge.isLargerBetter() else min)(model.avgMetrics)
+            rows.append((name, "cross_validation", metrics[0], float(best)))
+        else:
+            model = Pipeline(stages=[learner(train)]).fit(train)
         for part, rows_of in sets.items():
-            predicted = model.transform(rows_of).select("label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+            predicted = model.transform(rows_of).select("label", "prediction", *(["rawPrediction"] if areas else [])).persist(StorageLevel.MEMORY_AND_DISK)
             rows += [(name, part, m, float(evaluator.setMetricName(m).evaluate(predicted))) for m in metrics]
+            if areas:
+                rows += [(name, part, m, float(me.BinaryClassificationEvaluator(metricName=m).evaluate(predicted))) for m in AREA_METRICS]
             predicted.unpersist()
     finally:
         train.unpersist()
@@ -120,30 +151,65 @@ def _fit_and_evaluate(learner, name: str, train, test, replication, evaluator, m
 
 
 def classify(
-    frame: DataFrame, kind: str, share: float = 0.8, replication: DataFrame | None = None, seed: int = SEED, **params
+    frame: DataFrame,
+    kind: str,
+    share: float = 0.8,
+    replication: DataFrame | None = None,
+    seed: int = SEED,
+    folds: int = 0,
+    grid: dict[str, list] | None = None,
+    areas: bool = False,
+    sampling: dict[float, float] | None = None,
+    **params,
 ) -> DataFrame:
-    """Train on a seeded share of the rows: (model, part, metric, value)."""
+    """Train on a seeded share of the rows: (model, part, metric, value).
+
+    ``folds`` and ``grid`` choose parameters by cross-validation, ``areas`` adds the areas under the ROC and the
+    precision-recall curve (two classes), ``sampling`` thins out classes of the training rows.
+    """
     train, test = split_rows(frame, share, seed)
-    return _classify(train, test, kind, replication, **params)
+    if sampling:
+        train = sample_classes(train, sampling, seed)
+    return _classify(train, test, kind, replication, folds, grid, areas, **params)
 
 
-def _classify(train, test, kind, replication=None, **params) -> DataFrame:
+def _classify(train, test, kind, replication=None, folds=0, grid=None, areas=False, **params) -> DataFrame:
     def learner(rows: DataFrame):
         head = rows.agg(F.max("label").alias("top"), F.first(F.size(vector_to_array("features"))).alias("p")).first()
+        if areas and head["top"] > 1:
+            raise ValueError("areas under curves need two classes")
         return _classifier(kind, head["p"], int(head["top"]) + 1, **params)
 
-    return _fit_and_evaluate(learner, kind, train, test, replication, me.MulticlassClassificationEvaluator(), CLASS_METRICS)
+    return _fit_and_evaluate(learner, kind, train, test, replication, me.MulticlassClassificationEvaluator(), CLASS_METRICS, folds, grid, areas)
 
 
 def regress(
-    frame: DataFrame, kind: str, share: float = 0.8, replication: DataFrame | None = None, seed: int = SEED, **params
+    frame: DataFrame,
+    kind: str,
+    share: float = 0.8,
+    replication: DataFrame | None = None,
+    seed: int = SEED,
+    folds: int = 0,
+    grid: dict[str, list] | None = None,
+    **params,
 ) -> DataFrame:
     train, test = split_rows(frame, share, seed)
-    return _regress(train, test, kind, replication, **params)
+    return _regress(train, test, kind, replication, folds, grid, **params)
+
 
+def _regress(train, test, kind, replication=None, folds=0, grid=None, **params) -> DataFrame:
+    evaluator = me.RegressionEvaluator()
+    return _fit_and_evaluate(lambda rows: _regressor(kind, **params), kind, train, test, replication, evaluator, REGRESSION_METRICS, folds, grid)
 
-def _regress(train, test, kind, replication=None, **params) -> DataFrame:
-    return _fit_and_evaluate(lambda rows: _regressor(kind, **params), kind, train, test, replication, me.RegressionEvaluator(), REGRESSION_METRICS)
+
+def fitted(frame: DataFrame, kind: str, task: str = "regression", **params) -> DataFrame:
+    """Every row with the ``prediction`` of a model trained on all of them."""
+    if task == "regression":
+        learner = _regressor(kind, **params)
+    else:
+        head = frame.agg(F.max("label").alias("top"), F.first(F.size(vector_to_array("features"))).alias("p")).first()
+        learner = _classifier(kind, head["p"], int(head["top"]) + 1, **params)
+    return learner.fit(frame).transform(frame).select(*frame.columns, "prediction")
 
 
 def forecast_rows(

@@ -38,8 +38,8 @@ def match_confounders(
     Two steps. (1) In a grid cell whose diagonal is the tolerance all rows fit together, so the
     n-th case takes the n-th rows of the other groups: positions and equi-joins, no pairs.
     Finer and shifted grids come first. With categorical confounders only this step is complete.
-    (2) The few cases left at the borders of cells look into the neighbouring cells. In each
-    round a case asks for its nearest free rows and gets them if it comes first among those who
+    (2) The few cases left at the borders of cells look into the neighbouring cells, if these hold
+    enough rows of every group. In each round a case asks for its nearest free rows and gets them if it comes first among those who
     ask for one of them; a case that finds too few is dropped, which is final as rows only get
     used up. The first case in order always succeeds, so the rounds end.
     """
@@ -115,7 +115,10 @@ def _match_neighbours(free, need, dims, tolerance) -> list[DataFrame]:
     found = []
     others = free.where("g > 0").withColumns(dict(zip(names, cell)))
     cases = free.where("g = 0")
-    while not cases.isEmpty():
+    while True:
+        cases = settle(_reachable(cases, others, need, cell, around), "cases-near")
+        if cases.isEmpty():
+            return found
         asking = cases.select(F.col("id").alias("case"), F.col("o").alias("co"), "block", *[F.col(f"x{k}").alias(f"y{k}") for k in range(dims)], F.inline(near))
         pairs = asking.join(others, ["block", *names])
         distance = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"x{k}") - F.col(f"y{k}")) ** 2 for k in range(dims)]))
@@ -135,4 +138,20 @@ def _match_neighbours(free, need, dims, tolerance) -> list[DataFrame]:
         waiting = wished.select(F.col("case").alias("id")).distinct()
         cases = settle(cases.join(waiting, "id", "left_semi").join(ids, "id", "left_anti"), "cases-left")
         others = settle(others.join(ids, "id", "left_anti"), "others-left")
-    return found
+
+
+def _reachable(cases, others, need, cell, around) -> DataFrame:
+    """Cases whose own and neighbouring cells together hold enough rows of every other group.
+
+    Counted per cell before any row is paired, so a dense cell without one of the groups costs no pairs.
+    """
+    dims = len(cell)
+    home, names = [f"h{k}" for k in range(dims)], [f"c{k}" for k in range(dims)]
+    placed = cases.withColumns(dict(zip(home, cell)))
+    beside = F.array(*[F.struct(*[(F.col(h) + d).alias(n) for h, d, n in zip(home, ds, names)]) for ds in around])
+    cells = placed.select("block", *home).distinct().select("block", *home, F.inline(beside))
+    counts = others.groupBy("block", *names, "g").agg(F.count(F.lit(1)).alias("n"))
+    ratio = F.element_at(F.array(*[F.lit(n) for n in need]), F.col("g") + 1)
+    near = cells.join(counts, ["block", *names]).groupBy("block", *home, "g").agg(F.sum("n").alias("n")).where(F.col("n") >= ratio)
+    full = near.groupBy("block", *home).agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") == len(need) - 1)
+    return placed.join(full, ["block", *home], "left_semi").drop(*home)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators import link
@@ -9,6 +12,7 @@ from cohortlake.operators.link import LinkSide
 from cohortlake.operators.match import match_confounders
 from cohortlake.plans.catalog import query
 from cohortlake.plans.edits import GAPS
+from cohortlake.session import settle
 
 
 @query(
@@ -174,12 +178,16 @@ def _(t):
 @query(
     "consistency_sample",
     "D11",
-    """SELECT 'customer' AS source, field, CAST(0 AS BIGINT) AS differences
+    """SELECT 'customer' AS source, field, CAST(CASE WHEN field IN ('c_name', 'c_acctbal')
+         THEN least(500, (SELECT count(DISTINCT o_custkey) FROM orders)) ELSE 0 END AS BIGINT) AS differences
        FROM (VALUES ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment'), ('only in first'), ('only in second')) v(field)""",
 )
 def _(t):
     wide = link.link_two(t.orders.select(F.col("o_custkey").alias("id")).distinct(), t.customer, [("id", "c_custkey")], right_name="customer")
-    return link.consistency_sample(wide, {"customer": t.customer.withColumnRenamed("c_custkey", "id")}, "id", 500)
+    # two columns of the source have since changed in every row, so each sampled key must differ there and nowhere else
+    changed = {"c_name": F.concat(F.coalesce("c_name", F.lit("")), F.lit("?")), "c_acctbal": F.coalesce("c_acctbal", F.lit(0.0)) + 1}
+    source = t.customer.withColumns(changed).withColumnRenamed("c_custkey", "id")
+    return link.consistency_sample(wide, {"customer": source}, "id", 500)
 
 
 @query(
@@ -217,9 +225,48 @@ def _(t):
     return match_confounders(rows, "c_custkey", "c_mktsegment", ratios, ["place"], order="c_custkey").drop("place")
 
 
-@query("match_confounders_numeric", "D5")
-def _(t):
+NUMERIC_TOLERANCE = 0.02
+
+
+def _numeric_match(t):
     rows = t.customer.withColumn("place", F.concat(F.lit("n"), F.col("c_nationkey") % 5))
     ratios = {"BUILDING": 1, "MACHINERY": 1, "FURNITURE": 1}
-    out = match_confounders(rows, "c_custkey", "c_mktsegment", ratios, ["place", "c_acctbal"], 0.02)
-    return out.select("c_custkey", "c_mktsegment", "c_acctbal", "matched_case")
+    return rows.where(F.col("c_mktsegment").isin(*ratios)), match_confounders(rows, "c_custkey", "c_mktsegment", ratios, ["place", "c_acctbal"], NUMERIC_TOLERANCE)
+
+
+@query("match_confounders_numeric", "D5")
+def _(t):
+    return _numeric_match(t)[1].select("c_custkey", "c_mktsegment", "c_acctbal", "matched_case")
+
+
+@query(
+    "match_confounders_numeric_checks",
+    "D5",
+    """SELECT name, CAST(CASE WHEN name = 'matched and left over' THEN (SELECT count(*) FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE'))
+         ELSE 0 END AS BIGINT) AS value FROM (VALUES ('matched and left over'), ('used twice'), ('case not complete'), ('place differs'), ('too far'), ('left over but servable')) v(name)""",
+)
+def _(t):
+    """What a right and complete matching must satisfy, counted over all rows."""
+    rows, out = _numeric_match(t)
+    out = settle(out, "matched-rows")
+    ends = rows.agg(F.struct(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi")).alias("e"))
+    scaled = rows.withColumn("e", ends.scalar()).withColumn("x", (F.col("c_acctbal") - F.col("e.lo")) / (F.col("e.hi") - F.col("e.lo"))).drop("e")
+    x = settle(scaled.select("c_custkey", "c_mktsegment", "place", "x"), "matched-scaled")
+    case = x.select(F.col("c_custkey").alias("matched_case"), F.col("place").alias("case_place"), F.col("x").alias("case_x"))
+    both = out.select("c_custkey", "matched_case").join(x, "c_custkey").join(case, "matched_case")
+    left = x.join(out.select("c_custkey"), "c_custkey", "left_anti").withColumn("cell", F.floor(F.col("x") / NUMERIC_TOLERANCE))
+    asking = left.where("c_mktsegment = 'BUILDING'").select(
+        F.col("c_custkey").alias("asking"), "place", F.col("x").alias("y"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
+    )
+    near = asking.join(left.where("c_mktsegment <> 'BUILDING'"), ["place", "cell"]).where(F.abs(F.col("x") - F.col("y")) < NUMERIC_TOLERANCE)
+    servable = near.groupBy("asking").agg(F.count_distinct("c_mktsegment").alias("groups")).where("groups = 2")
+    per_case = out.groupBy("matched_case").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_mktsegment").alias("groups"))
+    counted = {
+        "matched and left over": out.select("c_custkey").union(left.select("c_custkey")),
+        "used twice": out.groupBy("c_custkey").count().where("count > 1"),
+        "case not complete": per_case.where("n <> 3 OR groups <> 3"),
+        "place differs": both.where("place <> case_place"),
+        "too far": both.where(F.abs(F.col("x") - F.col("case_x")) >= NUMERIC_TOLERANCE),
+        "left over but servable": servable,
+    }
+    return reduce(DataFrame.unionByName, [d.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("value")) for n, d in counted.items()])

@@ -79,6 +79,78 @@ _regress("random_forest", numTrees=10)
 _regress("gradient_boosted_trees", maxIter=5)
 
 
+def _fitted(kind, **params):
+    @query(
+        f"regress_{kind}_fitted",
+        "L4",
+        """WITH m AS (SELECT regr_slope(p_retailprice, p_size) AS a, regr_intercept(p_retailprice, p_size) AS b FROM part)
+           SELECT p_partkey, round(a * p_size + b, 4) AS prediction FROM part, m""",
+    )
+    def _(t):
+        frame = ml.features_frame(t.part, ["p_size"], "p_retailprice", ["p_partkey"])
+        return rounded(ml.fitted(frame, kind, **params).select("p_partkey", "prediction"), 4)
+
+
+_fitted("linear")
+_fitted("generalized_linear")
+
+
+@query(
+    "classify_naive_bayes_fitted",
+    "L3",
+    """WITH s AS (SELECT vec_id, label, k, CAST(embedding[k + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(k)),
+       n AS (SELECT label, count(*) / (SELECT count(*) FROM embeddings) AS share FROM embeddings GROUP BY 1),
+       c AS (SELECT label, k, avg(x) AS mu, var_pop(x) AS v FROM s GROUP BY 1, 2),
+       p AS (SELECT s.vec_id, c.label, ln(any_value(share)) + sum(-0.5 * ln(2 * pi() * v) - (x - mu) * (x - mu) / (2 * v)) AS score
+             FROM s JOIN c ON s.k = c.k JOIN n ON n.label = c.label GROUP BY 1, 2)
+       SELECT vec_id, CAST(arg_max(label, score) AS DOUBLE) AS prediction FROM p GROUP BY 1""",
+)
+def _(t):
+    return ml.fitted(_vectors(t), "naive_bayes", "classification").select("vec_id", "prediction")
+
+
+@query("classify_cross_validated", "L3")
+def _(t):
+    return ml.classify(_binary(t), "decision_tree", folds=3, grid={"maxDepth": [2, 5]}, areas=True, sampling={0.0: 0.5})
+
+
+def one_lag_sql(steps: str, key: str, order: str) -> str:
+    """Measures of the line through (value, next value), fitted on the first 80 % of each series."""
+    return f"""WITH p AS (SELECT {key} AS key, x, row_number() OVER w - 1 AS i, lead(y) OVER w AS y, lead(1) OVER w AS has FROM ({steps}) WINDOW w AS (PARTITION BY {key} ORDER BY {order})),
+       l AS (SELECT * FROM p WHERE has = 1),
+       s AS (SELECT key, min(i) AS lo, max(i) AS hi FROM l GROUP BY 1),
+       f AS (SELECT x, y, i <= lo + (hi - lo) * CAST(0.8 AS DOUBLE) AS train FROM l JOIN s USING (key) WHERE x IS NOT NULL AND y IS NOT NULL),
+       m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM f WHERE train),
+       e AS (SELECT CASE WHEN train THEN 'training' ELSE 'test' END AS part, y, a * x + b - y AS r FROM f, m),
+       g AS (SELECT part, avg(r * r) AS mse, sqrt(avg(r * r)) AS rmse, 1 - avg(r * r) / var_pop(y) AS r2, avg(abs(r)) AS mae FROM e GROUP BY 1)
+       SELECT 'linear' AS model, part, metric, round(value, 5) AS value FROM (UNPIVOT g ON mse, rmse, r2, mae INTO NAME metric VALUE value)"""
+
+
+@query("forecast_rows_one_lag", "L5", one_lag_sql("SELECT user_id, ts, event_id, value AS x, value AS y FROM events", "user_id", "ts, event_id"))
+def _(t):
+    return rounded(ml.forecast_rows(t.events, ["value"], "value", ["ts", "event_id"], 1, "linear", group="user_id"), 5)
+
+
+@query(
+    "forecast_series_one_lag",
+    "L6",
+    one_lag_sql("SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS x, CAST(embedding[k + 1] AS DOUBLE) AS y FROM embeddings, range(64) r(k)", "vec_id", "k"),
+)
+def _(t):
+    from cohortlake.operators.series import io_series
+
+    steps = io_series(t.embeddings, "vec_id", ["embedding"], "embedding")
+    return rounded(ml.forecast_series(steps, "vec_id", ["in_1"], 1, "linear"), 5)
+
+
+@query("forecast_series_classification", "L6")
+def _(t):
+    from cohortlake.operators.series import io_series
+
+    steps = io_series(t.embeddings, "vec_id", ["embedding"], "embedding").withColumn("label", (F.col("label") > 0).cast("double"))
+    return ml.forecast_series(steps, "vec_id", ["in_1"], 4, "logistic_regression", "classification")
+
+
 @query("forecast_rows", "L5")
 def _(t):
     return ml.forecast_rows(t.events, ["value"], "value", ["ts", "event_id"], 3, "linear", group="user_id")
@@ -121,6 +193,20 @@ def _(t):
     return out.select("vec_id", F.posexplode(vector_to_array("pca")).alias("component", "value"))
 
 
+@query(
+    "pca_variances",
+    "L9",
+    """WITH c AS (SELECT var_samp(p_size) AS a, covar_samp(p_size, p_retailprice) AS b, var_samp(p_retailprice) AS d FROM part),
+       r AS (SELECT (a + d) / 2 AS mid, sqrt((a - d) * (a - d) / 4 + b * b) AS half FROM c)
+       SELECT CAST(s AS INTEGER) AS component, round(mid + CASE WHEN s = 0 THEN half ELSE -half END, 3) AS variance FROM r, range(2) v(s)""",
+)
+def _(t):
+    """The variances of the projections are the eigenvalues of the covariance, in a closed form for two inputs."""
+    out = ml.pca(ml.features_frame(t.part, ["p_size", "p_retailprice"], None, ["p_partkey"]), 2)
+    parts = out.select(F.posexplode(vector_to_array("pca")).alias("component", "value"))
+    return rounded(parts.groupBy("component").agg(F.var_samp("value").alias("variance")), 3)
+
+
 COLUMN_SCALE_SQL = {
     "l1": "x / s1",
     "l2": "x / s2",
@@ -161,6 +247,18 @@ def _(t):
     return ml.order_value_map(t.orders, "o_orderpriority", order, "position").select("o_orderkey", "position")
 
 
+@query(
+    "run_summary_table",
+    "L12",
+    """SELECT o_orderpriority AS model, o_orderstatus AS part, 'price' AS metric, count(*) AS runs, round(avg(o_totalprice), 4) AS mean,
+       min(o_totalprice) AS min, max(o_totalprice) AS max, round(var_pop(o_totalprice), 2) AS variance FROM orders GROUP BY 1, 2""",
+)
+def _(t):
+    runs = t.orders.select(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("part"), F.lit("price").alias("metric"), F.col("o_totalprice").alias("value"))
+    out = ml.run_summary([runs.where(F.col("part") == "F"), runs.where(F.col("part") != "F")])
+    return out.withColumn("mean", F.round("mean", 4)).withColumn("variance", F.round("variance", 2))
+
+
 @query("run_summary", "L12")
 def _(t):
     frame = _vectors(t).drop("vec_id")

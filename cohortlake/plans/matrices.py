@@ -277,12 +277,12 @@ def _(t):
     "vector_norms",
     "H16",
     """WITH e AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS x, CAST(embedding[k + 22] AS DOUBLE) AS y, CAST(embedding[k + 43] AS DOUBLE) AS z
-                  FROM embeddings, range(21) r(k))
+                  FROM embeddings, range(22) r(k))
        SELECT vec_id, CAST(k AS INTEGER) AS pos, round(abs(x) + abs(y) + abs(z), 6) AS manhattan, round(sqrt(x * x + y * y + z * z), 6) AS euclidean FROM e""",
 )
 def _(t):
     v = F.col("embedding").cast("array<double>")
-    both = m.norms(F.slice(v, 1, 21), F.slice(v, 22, 21), F.slice(v, 43, 21))
+    both = m.norms(F.slice(v, 1, 22), F.slice(v, 22, 22), F.slice(v, 43, 22))  # all 64 values, the borders twice
     rows = t.embeddings.select("vec_id", *[c.alias(n) for n, c in both.items()])
     out = rows.select("vec_id", F.posexplode("manhattan").alias("pos", "manhattan"), "euclidean")
     return rounded(out.withColumn("euclidean", F.get("euclidean", F.col("pos"))))

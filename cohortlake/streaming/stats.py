@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlake.functions.common import to_double
 from cohortlake.operators.stats import stats_columns
@@ -23,26 +24,27 @@ def stream_basic_stats(stream: DataFrame, group: str, column: str) -> DataFrame:
     return stream.groupBy(group).agg(*aggs)
 
 
-def run_to_table(result: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run the stream over all data available now and return what it wrote.
+def run_to_table(result: DataFrame, label: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run the stream over all data available now and return what it wrote so far.
 
     Append goes to a parquet sink. In complete mode each micro-batch writes the whole updated
-    result to a version of its own and the last version is read. Both, and the checkpoint of the
-    query, live in the shared folder, so a restarted query goes on where it stopped.
+    result to a version of its own and the last version is read. The table and the checkpoint of the
+    query lie in ``folder``, which must be shared: a later call with the same folder goes on where
+    the one before stopped. Without it the call has a new folder of its own.
     """
     spark = result.sparkSession
-    path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    folder = folder or scratch_path(spark, label)
+    path, checkpoint = f"{folder}/table", f"{folder}/checkpoint"
     writer = result.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         writer.outputMode("append").format("parquet").start(path).awaitTermination()
         return spark.read.schema(result.schema).parquet(path)
-    versions = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        versions.append(batch_id)
 
+    nothing = spark.createDataFrame([], result.schema)
+    nothing.write.mode("ignore").parquet(f"{path}/version=-1")
     writer.outputMode(mode).foreachBatch(write).start().awaitTermination()
-    if not versions:  # no data at all
-        return spark.createDataFrame([], result.schema)
-    return spark.read.schema(result.schema).parquet(f"{path}/version={max(versions)}")
+    last = spark.read.parquet(path).agg(F.max("version")).first()[0]
+    return nothing if last is None else spark.read.schema(result.schema).parquet(f"{path}/version={last}")

@@ -31,6 +31,33 @@ def test_classify(frame, kind):
     assert len(got) == 12 and got["test", "accuracy"] > 0.95 and got["replication", "accuracy"] > 0.95
 
 
+def test_classify_by_cross_validation_with_areas_and_sampling(frame):
+    got = {(r["part"], r["metric"]): r["value"] for r in ml.classify(frame, "decision_tree", folds=3, grid={"maxDepth": [1, 3]}, areas=True, sampling={0.0: 0.5}).collect()}
+    assert got["cross_validation", "accuracy"] > 0.95 and got["test", "areaUnderROC"] > 0.95 and got["test", "areaUnderPR"] > 0.95 and len(got) == 13
+    kept = {r["label"]: r["count"] for r in ml.sample_classes(frame, {0.0: 0.5}).groupBy("label").count().collect()}
+    assert kept[1.0] == 100 and 20 < kept[0.0] < 80
+    with pytest.raises(ValueError, match="two classes"):
+        ml.classify(frame.withColumn("label", F.col("label") * 2), "decision_tree", areas=True)
+
+
+@pytest.mark.parametrize("kind", ["mlp", "random_forest", "gradient_boosted_trees"])
+def test_other_classifiers(frame, kind):
+    got = {(r["part"], r["metric"]): r["value"] for r in ml.classify(frame, kind).collect()}
+    assert got["training", "accuracy"] > 0.9
+
+
+@pytest.mark.parametrize("kind", ["linear", "generalized_linear", "decision_tree", "random_forest", "gradient_boosted_trees"])
+def test_regress(frame, kind):
+    got = {(r["part"], r["metric"]): r["value"] for r in ml.regress(frame, kind).collect()}
+    assert got["training", "r2"] > 0.7
+
+
+@pytest.mark.parametrize("kind", ["bisecting_kmeans", "gaussian_mixture", "lda"])
+def test_other_clusterings(frame, kind):
+    rows = ml.cluster(frame.drop("label"), kind, 3, maxIter=5).collect()
+    assert len(rows) == 200 and {r["cluster"] for r in rows} <= {1, 2, 3}
+
+
 def test_forecast_of_a_line_is_exact(table):
     df = table([(g, k, float(k * (1 + g))) for g in range(2) for k in range(40)], "g int, t int, x double")
     got = {(r["part"], r["metric"]): r["value"] for r in ml.forecast_rows(df, ["x"], "x", ["t"], 2, "linear", group="g").collect()}

@@ -110,6 +110,24 @@ def fits(case, other, span, tolerance):
     return math.sqrt(d) < tolerance
 
 
+def test_a_dense_cell_without_a_group_is_left_before_pairing(table, monkeypatch):
+    from cohortlake.operators import match
+
+    sizes = {}
+    settle = match.settle
+
+    def counted(df, label):
+        out = settle(df, label)
+        sizes.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(match, "settle", counted)
+    rows = [(k, "case" if k % 2 else "c1", 0.5 + k / 1e6) for k in range(600)] + [(1000, "c2", 0.0), (1001, "case", 1.0)]
+    df = table(rows, "id int, g string, x double")
+    assert match_confounders(df, "id", "g", {"case": 1, "c1": 1, "c2": 1}, ["x"], 0.1).count() == 0
+    assert sizes["cases-near"] == [0] and "wishes" not in sizes
+
+
 @pytest.mark.parametrize("seed, tolerance", [(1, 0.05), (2, 0.3), (3, math.inf)])
 def test_matching_is_valid_and_complete(table, seed, tolerance):
     rnd = random.Random(seed)

@@ -22,6 +22,18 @@ def test_stats_over_several_batches(spark):
     assert tidy(got) == tidy(want)
 
 
+def test_a_stopped_query_goes_on(spark):
+    path, folder = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-table")
+    rows = spark.range(200).selectExpr("concat('g', id % 3) AS g", "CAST(id AS DOUBLE) AS v")
+    run = lambda: run_to_table(stream_basic_stats(read_stream(spark, path), "g", "v"), "stats", "complete", folder)
+    counts = lambda d: {r["g"]: r["defined"] for r in d.collect()}
+    rows.where("v < 90").write.parquet(path)
+    assert counts(run()) == {"g0": 30, "g1": 30, "g2": 30}
+    rows.where("v >= 90").write.mode("append").parquet(path)
+    assert counts(run()) == {"g0": 67, "g1": 67, "g2": 66}
+    assert counts(run()) == {"g0": 67, "g1": 67, "g2": 66}  # nothing new
+
+
 def test_sessions_close_behind_the_watermark(spark):
     path = scratch_path(spark, "stream-in")
     rows = [("a", minutes(k)) for k in (0, 5, 15, 26, 200)] + [("b", minutes(3)), ("b", minutes(190))]

@@ -3,9 +3,11 @@
 Every text block has a path: its block elements from the root down, with their class and id words. Per path,
 text length, punctuation and link text are added up and set against the number of blocks. The
 ratios are smoothed over neighbouring paths in page order, fused to one score, and the paths above a share of the
-best score are the content paths. The article is the element that holds their text: the fullest
-<article>, else the fullest <main>, else the deepest element with most of it. All its blocks are given out, short
-ones too, but for those of boilerplate elements.
+best score are the content paths. All blocks on them are given out, and with them the short ones of the article: of an
+<article> or <main> that holds nearly all of their text, else of the lowest element that holds all of it.
+
+Tags, roles and class or id words that name boilerplate leave an element out. Words that articles use too, and all words
+on a section of an article, do so only where the ratio of the element is low or its text mostly links; words on headings never.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from cohortlake.llm.columns import by_bytes, check_columns, flat, text_of
 
 THRESHOLD = 0.1  # part of the best path's score that a content path reaches
-HOLDS = 0.7  # part of the content text that the article element holds, without semantic tags
+HOLDS = 0.95  # part of the content text that an article or main holds whose short blocks are given out
+LINKED = 0.5  # part of link text from which a block is a menu
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>",
@@ -41,20 +44,26 @@ _OUT_WORDS = set(
     recommended recommendations newsletter subscribe subscription signup login search widget widgets pagination pager copyright legal disclaimer hidden
     skip teaser teasers""".split()
 )
+_MAYBE_WORDS = set(
+    """sponsor sponsors promotion banner banners consent notice notices alert alerts header masthead comment reply respond discussion share sharing social
+    related recommended recommendations subscription login search copyright legal disclaimer skip teaser teasers""".split()
+)
 _LAYOUT_WORDS = set("has with no without wrapper wrap container content main article page body layout".split())
 _OUT_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-_NEVER_OUT = set("html body main article".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_NEVER_OUT = set("html body main article".split()) | _HEADINGS
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = set("ul ol dl table article section div body td th blockquote".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "link", "up")
+    __slots__ = ("tag", "path", "out", "link", "up", "inside", "maybe")
 
     def __init__(self, tag: str, rest: str, up: _Element | None):
         self.tag, self.up = tag, up
         self.path, self.out, self.link = (up.path, up.out, up.link) if up else ("", False, False)
+        self.inside, self.maybe = (up.inside or tag in ("article", "main"), up.maybe) if up else (False, None)
         if tag in _INLINE:
             self.link = self.link or tag == "a"
         words: set[str] = set()
@@ -62,9 +71,11 @@ class _Element:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
             words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower()))
             if tag not in _NEVER_OUT:
-                named = bool(words & _OUT_WORDS) and not words & _LAYOUT_WORDS
+                named = words & _OUT_WORDS if not words & _LAYOUT_WORDS else set()
+                if named and (named <= _MAYBE_WORDS or (tag == "section" and self.inside)):
+                    self.maybe, named = self.maybe or self, set()
                 unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
-                self.out = self.out or named or unseen or bool(set(found.get("role", "").lower().split()) & _OUT_ROLES)
+                self.out = self.out or bool(named) or unseen or bool(set(found.get("role", "").lower().split()) & _OUT_ROLES)
         self.out = self.out or tag in _OUT_TAGS
         if tag not in _INLINE:
             self.path = f"{self.path}/{'.'.join([tag, *sorted(words)])}"
@@ -165,9 +176,35 @@ def content_paths(found: list[tuple[_Element, str, int]], threshold: float) -> s
     return {path for path, s, x in zip(sums, smooth, raw, strict=True) if s >= threshold * best and x > 0}
 
 
+def _ratio(parts: list[tuple[_Element, str, int]]) -> tuple[float, float]:
+    """(fused ratio, part of link text) of some blocks."""
+    length, n = sum(len(text) for _, text, _ in parts), len(parts)
+    linked = sum(min(links, len(text)) for _, text, links in parts) / length
+    return (length / n) * (1 + sum(len(_PUNCTUATION.findall(text)) for _, text, _ in parts) / n) * (1 - linked), linked
+
+
+def _without_named(found: list[tuple[_Element, str, int]], threshold: float) -> list[tuple[_Element, str, int]]:
+    """The blocks but for those of elements that their words call boilerplate and their ratio or links too."""
+    named: dict[_Element, list[tuple[_Element, str, int]]] = {}
+    paths: dict[str, list[tuple[_Element, str, int]]] = {}
+    for block in found:
+        paths.setdefault(block[0].path, []).append(block)
+        if block[0].maybe is not None:
+            named.setdefault(block[0].maybe, []).append(block)
+    if not named:
+        return found
+    best = max(_ratio(parts)[0] for parts in paths.values())
+    out = set()
+    for element, parts in named.items():
+        score, linked = _ratio(parts)
+        if score < threshold * best or linked >= LINKED:
+            out.add(element)
+    return [x for x in found if x[0].maybe not in out or (x[0].inside and x[0].tag in _HEADINGS)]
+
+
 def main_text(page: str, threshold: float = THRESHOLD) -> str:
     """The article of a page as plain text; empty if there is none."""
-    found = blocks(page)
+    found = _without_named(blocks(page), threshold)
     chosen = content_paths(found, threshold)
     inside: dict[_Element, int] = {}
     total = 0
@@ -178,16 +215,21 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
                 inside[e] = inside.get(e, 0) + len(text)
     if not total:
         return ""
-    top = None
-    for tag in ("article", "main"):
-        named = [(n, e) for e, n in inside.items() if e.tag == tag]
-        if named:
-            top = max(named, key=lambda x: x[0])[1]
-            break
-    if top is None:
-        holding = [e for e, n in inside.items() if n >= HOLDS * total and e.tag not in _INLINE and e.tag not in ("p", "li", "td", "th", "tr")]
-        top = max(holding, key=lambda e: sum(1 for _ in _chain(e)))
-    return " ".join(text for element, text, _ in found if any(e is top for e in _chain(element)))
+    deepest = lambda some: max(some, key=lambda e: sum(1 for _ in _chain(e)))
+    named = [e for e, n in inside.items() if e.tag in ("article", "main") and n >= HOLDS * total]
+    top = deepest(named or [e for e, n in inside.items() if n == total])
+    whole = top.tag not in ("", "html", "body")  # the page itself has menus beside the article
+
+    def given(element: _Element, text: str, links: int) -> bool:
+        chain = list(_chain(element))
+        if element.path in chosen:
+            return True
+        if not any(e is top for e in chain):
+            return False
+        beside = not any(e in inside for e in chain[: next(i for i, e in enumerate(chain) if e is top)])
+        return whole or not beside or links < LINKED * len(text)
+
+    return " ".join(text for element, text, links in found if given(element, text, links))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:

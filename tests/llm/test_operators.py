@@ -114,6 +114,20 @@ def test_html_text(spark):
     assert htmltext.main_text("<p>" * 3000 + "<a \"'" * 500 + "x").count("x") <= 1
 
 
+def test_html_text_gives_all_content_paths():
+    said = [" ".join(f"Part {k} has {w}, as said, in line {i}." for i, w in enumerate(VOCABULARY[20 * k : 20 * k + 12])) for k in range(4)]
+    teaser = "Read more, now, about this."
+    page = f"<div id=content><p>{said[0]}</p><p>{said[1]}</p></div>"
+    assert htmltext.main_text(f"{page}<article class=card><p>{teaser}</p></article>") == f"{said[0]} {said[1]} {teaser}"
+    assert htmltext.main_text("".join(f"<article><p>{x}</p></article>" for x in said)) == " ".join(said)
+    assert htmltext.main_text(f"<main>{page}<article><p>{said[2]}</p></article></main>") == " ".join(said[:3])
+    assert htmltext.main_text(f"<div><h1>Title</h1><div id=a><p>{said[0]}<p>{said[1]}<p>{said[2]}</div><div id=b><p>{said[3]}</div></div>") == " ".join(["Title", *said])
+    assert htmltext.main_text(f"<ul><li><a>Home</a><li><a>News</a></ul><h1>Title</h1><div id=t><p>{said[0]}<ul><li><a>x</a></ul></div><div id=u>{said[1]}</div>") == f"Title {said[0]} x {said[1]}"
+    named = f"<article><h2 id=related-work>Related work</h2><section id=legal><p>{said[0]}</p></section><section class=comments><p>{said[1]}</p></section><div class=notice><p>{said[2]}</p></div>"
+    assert htmltext.main_text(named + "<div class=related><a>One</a> <a>Two, more, so.</a></div><div class=header>Site</div></article>") == " ".join(["Related work", *said[:3]])
+    assert htmltext.main_text(f"<div class=ad>{said[0]}</div><div class=comments>{said[1]}</div>") == ""
+
+
 def test_mix_targets_and_reruns(spark, none):
     rows = [(i, _text(int(RNG.integers(1, 60))), None if i % 7 == 0 else f"s{i % 4}") for i in range(300)] + [(300, None, "s1"), (301, "", "empty")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -4,7 +4,8 @@ Two strings are similar by their common subsequences of three letters, each weig
 span in both, so letters that are inserted, doubled or pulled apart cost a little and do not hide a word.
 The kernel is taken to a few landmark words and whitened (Nystroem), and a linear support vector machine
 separates the words that mark toxic labelled texts, with altered spellings of them, from words of clean
-texts. A document's margin is that of its worst word.
+texts. Every word whose excess in toxic texts is significant is a landmark and a positive example; beyond ``GROUP`` of
+them each group has a machine of its own. A document's margin is that of its worst word under the harshest machine.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from cohortlake.session import settle
 DECAY = 0.6
 LONGEST = 32  # longer words are scored in overlapping parts
 LEARN_ROWS = (6000, 3000)  # labelled rows of label 0 and 1 to learn from, those of the smallest hash
-MARKERS, COMMON, HARD = 24, 16, 400  # landmarks of either kind, mined clean words
-LEAST = 0.25  # part of the strongest marker's texts that a marker stands in; weaker ones are mostly noise in the labels
+GROUP, COMMON, HARD = 256, 16, 400  # landmarks of either kind in one machine, mined clean words
+FALSE = 0.01  # expected part of the markers that mark toxic texts by chance only
 SHARE = 0.75  # part of a marker's letters that a word must hold to be compared
 REMEMBERED = 400_000
 _SPACED = re.compile(r"(?<!\S)\w(?:[\s.*_-]+\w(?!\w)){2,}")
@@ -84,22 +86,21 @@ def similarity(words: list[str], marks: list[str]) -> np.ndarray:
     for n, at in groups.items():
         if n < 3:
             continue
-        for a in range(0, len(at), 1000):
-            part = at[a : a + 1000]
+        most = max(50, min(1000, 50_000 // max(1, len(marks))))
+        for a in range(0, len(at), most):
+            part = at[a : a + most]
             group = [words[i] for i in part]
             out[part] = subsequence_kernel(group, marks) / np.sqrt(np.outer(self_kernel(group), own))
     return out
 
 
 @dataclass
-class Model:
+class Machine:
     markers: list[str]
     common: list[str]
     whiten: np.ndarray
     weights: np.ndarray
     bias: float
-    middle: float = 0.0
-    slope: float = 4.0
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word; words that lack too many letters of every marker get the lowest, -1.5."""
@@ -114,6 +115,18 @@ class Model:
         return out
 
 
+@dataclass
+class Model:
+    markers: list[str]
+    machines: list[Machine]
+    middle: float = 0.0
+    slope: float = 4.0
+
+    def margins(self, words: list[str]) -> np.ndarray:
+        """Margin of each word under the machine that gives it most."""
+        return np.max([m.margins(words) for m in self.machines], axis=0)
+
+
 def forms(token: str) -> set[str]:
     """Readings of a token between white space: its runs of letters, all its letters, and with figures read as letters."""
     if token.isalpha():
@@ -200,11 +213,40 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> t
     return w[:-1], float(w[-1])
 
 
+def excess(bad: int, fine: int, n: dict[int, int]) -> float:
+    """Probability that ``bad`` or more of the texts with a word are toxic by chance (hypergeometric)."""
+    pick = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    total = n[0] + n[1]
+    have = min(bad + fine, total)
+    return min(1.0, sum(exp(pick(have, i) + pick(total - have, n[1] - i) - pick(total, n[1])) for i in range(bad, min(have, n[1]) + 1) if n[1] - i <= total - have))
+
+
+def significant(pairs: list[tuple[int, int, int]], n: dict[int, int], tests: int) -> list[tuple[int, int]]:
+    """Pairs of counts (toxic, clean) with a significant excess, of (toxic, clean, words with these counts).
+
+    Benjamini and Hochberg's procedure over ``tests`` words; ``FALSE`` of those found are expected to be there by chance.
+    """
+    ranked = sorted((excess(bad, fine, n), bad, fine, words) for bad, fine, words in pairs)
+    found = np.cumsum([words for *_, words in ranked])
+    last = max((i for i, (x, *_) in enumerate(ranked) if x * tests <= FALSE * found[i]), default=-1)
+    return [(bad, fine) for _, bad, fine, _ in ranked[: last + 1]]
+
+
+def _fit(markers: list[str], often: list[str], good: list[str], fine: list[str]) -> Machine:
+    landmarks = similarity(markers + often, markers + often)
+    values, vectors = np.linalg.eigh(landmarks + 1e-6 * np.eye(len(landmarks)))
+    whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
+    x = similarity(good + fine, markers + often) @ whiten
+    y = np.concatenate([np.ones(len(good)), -np.ones(len(fine))])
+    weight = np.concatenate([np.full(len(good), 1 / len(good)), np.full(len(fine), 1 / len(fine))]) * len(y) / 2
+    return Machine(markers, often, whiten, *_svm(x, y, weight))
+
+
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", order: Column | None = None, rows: tuple[int, int] = LEARN_ROWS, seed: int = 5) -> Model | None:
     """Fit on a bounded sample of labelled rows: at most ``rows`` per label, those of the smallest ``order``.
 
-    Words that stand in toxic texts far more often than in clean ones are the positive examples; near copies of
-    a text count once. None when no word marks toxic texts.
+    All words that stand in toxic texts far and significantly more often than in clean ones are the positive examples,
+    however rare beside others; near copies of a text count once. None when no word marks toxic texts.
     """
     check_columns(labelled, text_col, label_col)
     order = F.xxhash64(F.col(f"`{text_col}`")) if order is None else order
@@ -223,33 +265,33 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     mine = lambda v: F.count_distinct(F.when(F.col("label") == v, F.col("key")))
     counted = settle(spoken.groupBy("word").agg(mine(1).alias("bad"), mine(0).alias("fine")), "toxic-counts")
     p1, p0 = (F.col("bad") + 0.5) / (n[1] + 1), (F.col("fine") + 0.5) / (n[0] + 1)
-    marked = counted.where((F.col("bad") >= max(3, 0.01 * n[1])) & (p1 >= 8 * p0)).orderBy(F.desc(F.col("bad") / n[1] - F.col("fine") / n[0]), "word")
-    found = marked.select("word", "bad").limit(MARKERS).collect()
-    markers = [r["word"] for r in found if r["bad"] >= LEAST * max(x["bad"] for x in found)]
-    if not markers:
+    far = counted.where((F.col("bad") > 0) & (p1 >= 8 * p0))
+    pairs = [(r["bad"], r["fine"], r["words"]) for r in far.groupBy("bad", "fine").agg(F.count("*").alias("words")).collect()]  # a row per pair of counts
+    kept = significant(pairs, n, counted.count())
+    if not kept:
         return None
-    clean = counted.where((F.col("fine") > 0) & ~F.col("word").isin(markers))
+    marked = far.join(labelled.sparkSession.createDataFrame(kept, "bad long, fine long"), ["bad", "fine"])
+    markers = [r["word"] for r in marked.orderBy(F.desc(F.col("bad") / n[1] - F.col("fine") / n[0]), "word").select("word").collect()]
+    clean = counted.where(F.col("fine") > 0).join(marked.select("word"), "word", "left_anti")
     fine = [r["word"] for r in clean.orderBy(F.xxhash64("word", F.lit(seed))).select("word").limit(3000).collect()]
     often = [r["word"] for r in clean.orderBy(F.desc("fine"), "word").select("word").limit(COMMON).collect()]
     rng = np.random.Generator(np.random.PCG64(seed))
-    good = sorted(set(markers).union(*[_altered(m, rng) for m in markers]).difference(fine))
+    groups = [markers[a : a + GROUP] for a in range(0, len(markers), GROUP)]
+    altered = {m: _altered(m, rng) for m in markers}
     model = None
     for mined in (False, True):
-        if mined:  # the clean words that the first machine finds worst
+        if mined:  # the clean words that the first machines find worst
             def worst(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     words = batch.column("word").to_pylist()
-                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(model.margins(words))], names=["word", "margin"])
-
-            hard = clean.where(p1 < 2 * p0).select("word").mapInArrow(worst, "word string, margin double").orderBy(F.desc("margin"), "word").limit(HARD)
-            fine = sorted({*fine, *(r["word"] for r in hard.collect())})
-        landmarks = similarity(markers + often, markers + often)
-        values, vectors = np.linalg.eigh(landmarks + 1e-6 * np.eye(len(landmarks)))
-        whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
-        x = similarity(good + fine, markers + often) @ whiten
-        y = np.concatenate([np.ones(len(good)), -np.ones(len(fine))])
-        weight = np.concatenate([np.full(len(good), 1 / len(good)), np.full(len(fine), 1 / len(fine))]) * len(y) / 2
-        model = Model(markers, often, whiten, *_svm(x, y, weight))
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column("fine"), pa.array(model.margins(words))], names=["word", "fine", "margin"])
+
+            hard = clean.where(p1 < 2 * p0).select("word", "fine").mapInArrow(worst, "word string, fine long, margin double").orderBy(F.desc("margin"), "word").limit(HARD).collect()
+            fine = sorted({*fine, *(r["word"] for r in hard)})
+            alike = sorted((-r["fine"], r["word"]) for r in hard if r["margin"] > 0)[: COMMON // 2]  # clean words that a marker starts with or holds
+            often = list(dict.fromkeys([w for _, w in alike] + often))[:COMMON]
+        known = set(fine)
+        model = Model(markers, [_fit(g, often, sorted(set(g).union(*[altered[m] for m in g]).difference(known)), fine) for g in groups])
     margins = sample.select("label", F.col("body")).mapInArrow(_margins(model, "label"), "label long, margin double")
     seen = np.array([(r["label"], r["margin"]) for r in margins.collect()])  # a row per sampled text
     bad, ok = np.sort(seen[seen[:, 0] == 1, 1]), np.sort(seen[seen[:, 0] == 0, 1])
@@ -266,7 +308,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
 def _margins(model: Model, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (tuple(model.markers), model.bias)
+        name = (tuple(model.markers), *(m.bias for m in model.machines))
         if name not in _KNOWN:
             _KNOWN.clear()
             _KNOWN[name] = _Worst(model)

@@ -167,6 +167,22 @@ def test_toxicity_catches_altered_words(spark, none):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and toxicity.score(none, None).count() == 0
 
 
+def test_toxicity_learns_rare_words_beside_a_dominant_one(spark, monkeypatch):
+    own = np.random.Generator(np.random.PCG64(55))
+    rare = sorted({"".join(own.choice(list("fgjklmpquvwxyz"), 7)) for _ in range(50)})
+    many = ["".join(x) for x in own.choice(list("abcdehinorst"), (20000, 5))]
+    said = lambda n: " ".join(own.choice(many, n))
+    rows = [(f"{said(20)} {rare[i % 50]} {'gloompuff' if i % 5 else ''} {said(4)}", 1) for i in range(500)] + [(said(25), 0) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "text string, toxic long").repartition(4)
+    ask = spark.createDataFrame([(i, f"{said(30)} {w}") for i, w in enumerate(["gloompuff", *rare, "a"])], "doc_id long, text string")
+    for group in (256, 20):
+        monkeypatch.setattr(toxicity, "GROUP", group)
+        model = toxicity.learn(frame)
+        assert sorted(model.markers) == sorted(["gloompuff", *rare]) and len(model.machines) == -(-51 // group)
+        got = _rows(toxicity.score(ask, model))
+        assert [got[i]["predicted"] for i in range(52)] == [1] * 51 + [0]
+
+
 def test_subsequence_kernel_equals_enumeration():
     from itertools import combinations
 

@@ -163,6 +163,19 @@ def learn(
     return {lang: v / max(np.linalg.norm(v), 1e-9) for lang, v in sorted(found.items())}
 
 
+def lettered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id of each row of ``docs`` whose text has a letter, the rows that ``identify`` can compare."""
+    check_columns(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _texts(batches):
+            with_letter = pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(with_letter)], names=["id"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(docs, text_col).alias("body"))
+    return rows.mapInArrow(run, "id long").withColumnRenamed("id", id_col)
+
+
 def identify(
     docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", seed: int = 6
 ) -> DataFrame:

@@ -48,8 +48,8 @@ def contamination(
     """One row per row of ``docs``: id, n_words, n_hit, hits (array of (start, n)), items (array), contaminated.
 
     A window is ``size`` consecutive words of an item, or all of a shorter item. The hash set of the
-    windows is broadcast while its counted size is below MAX_BROADCAST_WINDOWS; windows of a
-    document whose hash is in it are compared word by word. n_hit counts the words inside any
+    windows, numbers alone, is broadcast up to MAX_BROADCAST_WINDOWS of them; windows of a
+    document whose hash is in it are compared word by word, in a join without a hint. n_hit counts the words inside any
     window found, hits are the windows' places (first word from 0, words), items the sorted
     texts of the item ids found. Null and empty texts have no words and are clean. Rows that repeat an id
     are told apart by a hash of their text; equal rows get equal results. Empty tables on either side
@@ -60,14 +60,17 @@ def contamination(
     windows = settle(item_windows(items, size, item_id_col, item_text_col), "item-windows")
     lengths = [r[0] for r in windows.select("n").distinct().sort("n").collect()]  # at most ``size`` numbers
     keys = windows.select("n", "hash").distinct()
-    if windows.count() <= MAX_BROADCAST_WINDOWS:
-        keys, windows = F.broadcast(keys), F.broadcast(windows)
+    small = keys.count() <= MAX_BROADCAST_WINDOWS
+    if small:
+        keys = F.broadcast(keys)
     body = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("_tie"), words_of(body).alias("w"))
     found = None
     for n in lengths:
         at = rows.select("id", "_tie", "w", F.lit(n).alias("n"), F.posexplode(_windows(F.col("w"), n)).alias("start", "hash"))
-        near = at.join(keys, ["n", "hash"], "left_semi").select("id", "_tie", "n", "start", "hash", F.slice("w", F.col("start") + 1, n).alias("words"))
+        own = ["id", "_tie", "n", "start", "hash", F.slice("w", F.col("start") + 1, n).alias("words")]
+        # a shuffled row carries the window's own words, not those of the document
+        near = at.join(keys, ["n", "hash"], "left_semi").select(own) if small else at.select(own).join(keys, ["n", "hash"], "left_semi").select("id", "_tie", "n", "start", "hash", "words")
         found = near if found is None else found.unionByName(near)
     counted = rows.select("id", "_tie", F.size("w").cast("long").alias("n_words"))
     empty = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<start:int,n:int>>").alias("hits"), F.array().cast("array<string>").alias("items")]

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from cohortlake.llm import htmltext, language, toxicity, warc
+from cohortlake.llm import decontaminate, htmltext, language, toxicity, warc
 from cohortlake.llm.decontaminate import contamination, without_spans
 from cohortlake.llm.exact import Patricia, exact_duplicates
 from cohortlake.llm.mixing import mix, mixed_rows
@@ -287,3 +287,22 @@ def test_contamination_equals_brute_force(spark, docs, none):
     assert len(clean[64]["clean_words"].split()) == 3000 - got[64]["n_hit"]
     assert contamination(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert contamination(docs, none.selectExpr("doc_id as item_id", "text")).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_contamination_moves_windows_not_documents(spark, docs, monkeypatch, most):
+    plans, settle = {}, decontaminate.settle
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return settle(df, label)
+
+    items = spark.createDataFrame([(1, CORPUS[-1][1][:200]), (2, "É à")], "item_id long, text string")
+    want = contamination(docs, items, size=10).collect()
+    monkeypatch.setattr(decontaminate, "settle", seen)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", most)
+    assert sorted(map(str, contamination(docs, items, size=10).collect())) == sorted(map(str, want))
+    plan = plans["contaminated"]
+    assert sum("strategy=broadcast" in x for x in plan) == (2 if most else 0)
+    sides = [plan[i + 1] for i, x in enumerate(plan) if "Join LeftSemi" in x]
+    assert len(sides) == 2 and (most or not any(", w#" in x for x in sides))

@@ -4,7 +4,7 @@ Texts are dealt by length and content hash, so equal texts meet in one task. Eac
 full bytes into a compressed radix trie; a terminal node keeps the smallest and largest identifier
 and a count. The same trie runs first over each input partition as a combiner, so a text that holds
 a third of all rows reaches its owner task once per input partition. A trie above its memory
-limit gives out and forgets its largest subtrees; later stages merge what was given out.
+limit gives out all it holds and starts empty; later stages merge what was given out.
 """
 
 from __future__ import annotations

@@ -12,13 +12,17 @@ from cohortlake.llm.decontaminate import contamination
 from cohortlake.llm.exact import exact_duplicates
 from cohortlake.llm.htmltext import extract
 from cohortlake.llm.language import identify, learn
+from cohortlake.llm.licences import CONTAINMENT, NOTICES, PHRASES, STRIDE, license_scan, needed, template_words
 from cohortlake.llm.mixing import mix
 from cohortlake.llm.neardup import near_duplicates
+from cohortlake.llm.prefixtrie import prefix_trie, turns, with_shared_openings
+from cohortlake.llm.runs import periodic_runs
 from cohortlake.llm.suffixes import remove_repeats
 from cohortlake.llm.tokens import count_tokens
 from cohortlake.llm.toxicity import learn as learn_toxicity
 from cohortlake.llm.toxicity import score as score_toxicity
 from cohortlake.llm.warc import archive
+from cohortlake.session import settle
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,6 +87,19 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    said = settle(turns(_read(spark, folder, "conversations")), "turns")
+    return prefix_trie(*with_shared_openings(said, every=20, below=4))
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(_read(spark, folder, "documents")).drop("blocks")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs(_read(spark, folder, "documents"), planted=True, digests=True)
+
+
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL_WARC = """
@@ -144,6 +161,55 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
   coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_BYTES = "list_prepend(4294967295::UBIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT))"
+_BITS = "list_prepend(xor(a, b), list_transform(range(8), lambda z: z::UBIGINT))"
+_CRC32 = f"xor(list_reduce({_BYTES}, lambda a, b: list_reduce({_BITS}, lambda s, z: xor(s >> 1, (s & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+
+SQL_TRIE = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY p) AS s, {_CRC32} % 4 AS h FROM t GROUP BY c),
+b AS (SELECT o.c, list_concat(coalesce(z.s[1 : o.h::BIGINT], []), o.s[o.h::BIGINT + 1 :]) AS s FROM o LEFT JOIN o z ON z.c = o.c - o.c % 20),
+n AS (SELECT c, d, s[1:d] AS k, d = len(s) AS ended FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM b)),
+v AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ended) AS ends
+  FROM n GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[1 : d - 1] AS k, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+u AS (
+  SELECT v.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN v.d > 0 THEN (n_convs - 1) * len(regexp_extract_all(v.k[v.d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS gain
+  FROM v LEFT JOIN kids ON v.d = kids.d AND v.k = kids.k),
+below AS (
+  SELECT a AS d, k[1:a] AS k, sum(gain)::BIGINT AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM (SELECT k, gain, n_children, unnest(range(0, d + 1)) AS a FROM u) GROUP BY ALL)
+SELECT u.conv_id, u.d AS depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children, leaves AS n_leaves,
+  saved AS saved_tokens, sha256(coalesce(u.ends, '')) AS ends_sha256
+FROM u JOIN below ON u.d = below.d AND u.k = below.k LEFT JOIN v p ON p.d = u.d - 1 AND p.k = u.k[1 : u.d - 1]"""
+
+_TEMPLATES = ", ".join(
+    f"('{t.label}', {t.phrase}, {needed(t, CONTAINMENT)}, [{', '.join(repr(w) for w in template_words(t))}])" for t in PHRASES + NOTICES
+)
+
+SQL_LICENSES = rf"""
+WITH t(label, phrase, need, said) AS (VALUES {_TEMPLATES}),
+docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+base AS (SELECT doc_id, label, i - 1 AS p FROM spots, t WHERE phrase AND w[i] = said[1] AND w[i : i + len(said) - 1] = said),
+blocks AS (SELECT doc_id, list_distinct(w[{STRIDE} * b + 1 : {STRIDE} * b + {2 * STRIDE}]) AS s
+  FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {STRIDE - 1}) // {STRIDE})) AS b FROM docs)),
+met AS (SELECT doc_id, label, len(list_intersect(s, said)) / len(list_distinct(said)) AS share FROM blocks, t WHERE NOT phrase AND len(list_intersect(s, said)) >= need),
+found AS (SELECT doc_id, label, p, 1.0::DOUBLE AS share FROM base UNION ALL SELECT doc_id, label, NULL, share::DOUBLE FROM met),
+named AS (
+  SELECT doc_id, count(p) AS n_base, min(p) AS first_word, max(p) AS last_word, max(share) AS score,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE p IS NOT NULL)), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label)), ',') AS labels
+  FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM docs d LEFT JOIN named USING (doc_id)"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_near_duplicates": (op2_near_duplicates, None),
@@ -155,4 +221,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_exact_dedup": (op8_exact_dedup, SQL_EXACT),
     "op9_token_counts": (op9_token_counts, None),
     "op10_decontamination": (op10_decontamination, SQL_DECONTAMINATE),
+    "op11_prefix_trie": (op11_prefix_trie, SQL_TRIE),
+    "op12_license_scan": (op12_license_scan, SQL_LICENSES),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }

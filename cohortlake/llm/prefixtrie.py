@@ -1,14 +1,14 @@
 """Prefix trie of conversations by truncation peeling.
 
-The levels of the trie are made from the deepest to the root. A level's rows are the nodes that
-survived from the level below, with their last turn stripped, and the conversations that end here;
-grouping them by the turns that are left merges both into the nodes of the level, and the sums
-over the subtrees are made in the same aggregate. No text is shuffled: a sequence of turns is known by two
-64-bit numbers, each the exclusive or of one hash per turn and place, so a turn is stripped by one more
-exclusive or. A node carries the hashes of its last turns for STEPS levels at most and fetches those of the
-next levels from its smallest member when they are used up, so rows stay small for conversations of any
-length. There are as many rounds as the deepest conversation has turns; the nodes of every
-round are written to the shared folder, so lost executors repeat one round at most.
+The trie is peeled from its deepest nodes to the root: the conversations that end at a node are merged with what
+survived from below, turns are stripped off the end, and grouping by the turns that are left gives the
+next nodes and the sums over their subtrees. Turns are stripped as far as nothing changes: a prefix that one
+conversation alone has needs no peeling at all, and a stretch of prefixes with the same members (they
+have the same smallest member and the same count) is stripped in one step. So a round is made per
+depth at which shared stretches begin, not per turn, and long conversations and long copies cost no rounds.
+
+No text is shuffled: a sequence of turns is known by two 64-bit numbers, each the exclusive or of one
+hash per turn and place. Every round's result is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlake.llm.columns import check_columns, text_of
@@ -26,14 +27,9 @@ from cohortlake.llm.mixing import word_count
 from cohortlake.operators.scan import MAX_GROUP_ROWS, positions
 from cohortlake.session import scratch_path, settle
 
-STEPS = 32  # levels whose turn hashes a node carries with it
-MANY_CHILDREN = 10_000  # parents of more are joined by themselves: few rows, for many children
-_STEP = ["h1", "h2", "w"]
+BLOCK = 4096  # turns of a conversation whose prefixes one task numbers
+MANY_MEMBERS = 10_000  # prefixes of more are joined by themselves: few rows, for many children
 _FIRST = -(1 << 63)
-_LEVEL = (
-    "conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, n_ends long, k1 long, k2 long, up1 long, up2 long, "
-    "h1 array<long>, h2 array<long>, w array<long>"
-)
 
 
 def turns(
@@ -79,20 +75,21 @@ def with_shared_openings(said: DataFrame, every: int, below: int) -> tuple[DataF
     return taken.unionByName(own.select("conv", (F.col("open") + F.col("d") - F.col("h")).alias("d"), "t1", "t2", "w")), convs.select("conv")
 
 
-def _chunks(said: DataFrame) -> DataFrame:
-    """(conv, part, x1, x2, n, h1, h2, w): STEPS turns a row, as arrays, with their exclusive or."""
+def _prefixes(said: DataFrame, block: int) -> DataFrame:
+    """(conv, d, k1, k2, up1, up2, w): every prefix of every conversation with its key and that without the last turn."""
     placed = said.select(
-        "conv",
-        F.col("d"),
-        F.floor((F.col("d") - 1) / STEPS).alias("part"),
-        F.xxhash64("t1", "t2", "d").alias("h1"),
-        F.xxhash64("t2", F.lit(3), "d", "t1").alias("h2"),
-        "w",
-    )
-    rows = placed.groupBy("conv", "part").agg(
-        F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("d", *_STEP))).alias("s")
+        "conv", "d", F.floor((F.col("d") - 1) / block).alias("part"), F.xxhash64("t1", "t2", "d").alias("h1"), F.xxhash64("t2", F.lit(3), "d", "t1").alias("h2"), "w"
     )
-    return settle(rows.select("conv", "part", "x1", "x2", "n", *[F.col(f"s.{c}").alias(c) for c in _STEP]), "turn-chunks")
+    so_far = W.partitionBy("conv", "part").orderBy("d")
+    keyed = placed.withColumns({"k1": F.bit_xor("h1").over(so_far), "k2": F.bit_xor("h2").over(so_far)})
+    if said.where(F.col("d") > block).take(1):  # keys of the earlier blocks, one row per block
+        whole = placed.groupBy("conv", "part").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
+        before = W.partitionBy("conv").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        earlier = whole.select(F.col("conv").alias("_c"), F.col("part").alias("_p"), *[F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(x) for x in ("x1", "x2")])
+        keyed = keyed.join(earlier, (F.col("conv") == F.col("_c")) & (F.col("part") == F.col("_p")))
+        keyed = keyed.withColumns({"k1": F.col("k1").bitwiseXOR(F.col("x1")), "k2": F.col("k2").bitwiseXOR(F.col("x2"))})
+    up = [F.col("k1").bitwiseXOR(F.col("h1")).alias("up1"), F.col("k2").bitwiseXOR(F.col("h2")).alias("up2")]
+    return settle(keyed.select("conv", "d", "k1", "k2", *up, "w"), "prefixes")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +122,58 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _last(name: str) -> Column:
-    return F.element_at(name, -1)
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
 
+def _with_parents(nodes: DataFrame, many_members: int) -> DataFrame:
+    """Add p_rep and p_n, smallest member and members of the parent where it has several members.
+
+    Parents of many members, at most a ``many_members``-th of all turns, are joined first and by themselves, so that
+    no task gets all children of one parent.
+    """
+    shared = nodes.where("n > 1").select((F.col("d") + 1).alias("c_d"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("rep").alias("p_rep"), F.col("n").alias("p_n"))
+    many = settle(shared.where(F.col("p_n") > many_members), "large-prefixes")
+    few = shared.where(F.col("p_n") <= many_members)
+    own = (F.col("d") == F.col("c_d")) & (F.col("up1") == F.col("c1")) & (F.col("up2") == F.col("c2"))
+    extra = ["c_d", "c1", "c2"]
+    first = nodes.join(many, own, "left").drop(*extra)
+    rest = first.where("p_n is null").drop("p_rep", "p_n").join(few, own, "left").drop(*extra)
+    return settle(first.where("p_n is not null").unionByName(rest), "trie-nodes")
+
+
+_RESOLVED = (
+    "rep long, n long, top long, bottom long, p_rep long, p_n long, p_top long, n_children long, n_leaves long, below long, saved long"
+)
 
-def prefix_trie(said: DataFrame, convs: DataFrame | None = None, many_children: int = MANY_CHILDREN) -> DataFrame:
+
+def _peeled(stretches: DataFrame, spark: SparkSession) -> DataFrame:
+    """Children, leaves and saved tokens of every stretch, peeled from the deepest to the root."""
+    base = scratch_path(spark, "trie")
+    tops = [r[0] for r in stretches.select("top").distinct().orderBy(F.desc("top")).collect()]  # a number per round
+    for turn, top in enumerate(tops):
+        here = stretches.where(F.col("top") == top)
+        if turn:
+            done = spark.read.schema(_RESOLVED).parquet(base).where(F.col("p_top") == top)
+            came = done.groupBy(F.col("p_rep").alias("_r"), F.col("p_n").alias("_n")).agg(
+                F.count(F.lit(1)).alias("_kids"), F.sum("n_leaves").alias("_leaves"), F.sum("saved").alias("_saved")
+            )
+            here = here.join(came, (F.col("rep") == F.col("_r")) & (F.col("n") == F.col("_n")), "left")
+        else:
+            here = here.withColumns({c: _zero() for c in ("_kids", "_leaves", "_saved")})
+        merged = here.withColumns({c: F.coalesce(c, _zero()) for c in ("_kids", "_leaves", "_saved")})
+        kids, below = F.col("alone") + F.col("_kids"), F.col("_saved")
+        merged.select(
+            "rep", "n", "top", "bottom", "p_rep", "p_n", "p_top",
+            kids.alias("n_children"),
+            F.when(kids == 0, F.lit(1).cast("long")).otherwise(F.col("alone") + F.col("_leaves")).alias("n_leaves"),
+            below.alias("below"),
+            (below + F.col("gain")).alias("saved"),
+        ).write.mode("append").parquet(base)
+    return spark.read.schema(_RESOLVED).parquet(base)
+
+
+def prefix_trie(said: DataFrame, convs: DataFrame | None = None, block: int = BLOCK, many_members: int = MANY_MEMBERS) -> DataFrame:
     """One row per node: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     ``said`` holds the turns (conv, d, t1, t2, w) as ``turns`` makes them, d from 1 without gaps; ``convs`` the ids
@@ -138,82 +182,50 @@ def prefix_trie(said: DataFrame, convs: DataFrame | None = None, many_children:
     the order of a sort, so the list of a node is never held as a whole. Without conversations there are no nodes.
     """
     spark = said.sparkSession
-    chunks = _chunks(said)
-    whole = chunks.groupBy("conv").agg(
-        F.bit_xor("x1").alias("k1"), F.bit_xor("x2").alias("k2"), F.sum("n").alias("len"), F.max_by(F.struct(*_STEP), "part").alias("s")
+    prefixes = _prefixes(said, block)
+    ids = prefixes.select("conv") if convs is None else prefixes.select("conv").unionByName(convs.select("conv"))
+    whole = prefixes.select("conv", "d", F.struct("k1", "k2").alias("k")).groupBy("conv").agg(F.max(F.struct("d", "k")).alias("e"))
+    whole = whole.select("conv", F.col("e.d").alias("d"), F.col("e.k.k1").alias("k1"), F.col("e.k.k2").alias("k2"))
+    members = settle(ids.distinct(), "trie-members")
+    turnless = members.join(whole.select(F.col("conv").alias("_c")), F.col("conv") == F.col("_c"), "left_anti")
+    ends = settle(whole.unionByName(turnless.select("conv", *[_zero().alias(c) for c in ("d", "k1", "k2")])), "trie-ends")
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    rows = prefixes.select("*", one.alias("member"), _zero().alias("ended"))
+    rows = rows.unionByName(members.select("conv", *[_zero().alias(c) for c in ("d", "k1", "k2", "w")], none.alias("up1"), none.alias("up2"), one.alias("member"), _zero().alias("ended")))
+    rows = rows.unionByName(ends.select("conv", "d", "k1", "k2", none.alias("up1"), none.alias("up2"), _zero().alias("w"), _zero().alias("member"), one.alias("ended")))
+    nodes = rows.groupBy("d", "k1", "k2").agg(
+        F.min("conv").alias("rep"), F.sum("member").alias("n"), F.sum("ended").alias("n_ends"), F.max("w").alias("w"), F.max("up1").alias("up1"), F.max("up2").alias("up2")
     )
-    full = whole.select("conv", "k1", "k2", "len", *[F.col(f"s.{c}").alias(c) for c in _STEP])
-    if convs is not None:
-        nothing = F.array().cast("array<bigint>")
-        short = convs.join(full.select(F.col("conv").alias("_c")), F.col("conv") == F.col("_c"), "left_anti").distinct()
-        full = full.unionByName(short.select("conv", *[F.lit(0).cast("long").alias(c) for c in ("k1", "k2", "len")], *[nothing.alias(c) for c in _STEP]))
-    ends = settle(full, "trie-ends")
-    deepest, base = ends.agg(F.max("len")).first()[0], scratch_path(spark, "trie")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    alive = None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        ended = ends.where(F.col("len") == depth).select(
-            F.col("conv").alias("rep"), "k1", "k2", one.alias("n"), zero.alias("kids"), zero.alias("leaves"), zero.alias("saved"), one.alias("ended"), *_STEP
-        )
-        rows = ended if alive is None else alive.unionByName(ended)
-        merged = rows.groupBy("k1", "k2").agg(
-            F.min(F.struct("rep", *_STEP)).alias("s"),
-            *[F.sum(c).alias(a) for c, a in (("n", "n_convs"), ("kids", "n_children"), ("leaves", "leaves"), ("saved", "saved"), ("ended", "n_ends"))],
-        )
-        gain = (F.col("n_convs") - 1) * _last("s.w") if depth else zero
-        level = merged.select(
-            F.col("s.rep").alias("conv_id"),
-            "n_convs",
-            "n_children",
-            F.when(F.col("n_children") == 0, one).otherwise(F.col("leaves")).alias("n_leaves"),
-            (F.col("saved") + gain).alias("saved_tokens"),
-            "n_ends",
-            "k1",
-            "k2",
-            *[(F.col(k).bitwiseXOR(_last(f"s.{h}")) if depth else F.col(k)).alias(u) for k, h, u in (("k1", "h1", "up1"), ("k2", "h2", "up2"))],
-            *[F.col(f"s.{c}").alias(c) for c in _STEP],
+    placed = _with_parents(settle(nodes, "trie-keys"), many_members)
+    shared, alone = placed.where("n > 1"), placed.where("n = 1")
+
+    # stretches of shared prefixes with the same members, and the children outside any stretch
+    gain = (F.col("n") - 1) * F.col("w")
+    stretches = shared.groupBy("rep", "n").agg(F.min("d").alias("top"), F.max("d").alias("bottom"), F.sum(gain).alias("gain"), F.min(F.struct("d", "p_rep", "p_n")).alias("p"))
+    single = alone.where("p_n is not null").groupBy(F.col("p_rep").alias("_r"), F.col("p_n").alias("_n")).agg(F.count(F.lit(1)).alias("alone"))
+    stretches = stretches.join(single, (F.col("rep") == F.col("_r")) & (F.col("n") == F.col("_n")), "left")
+    stretches = settle(stretches.select("rep", "n", "top", "bottom", "gain", "p.p_rep", "p.p_n", F.coalesce("alone", _zero()).alias("alone")), "trie-stretches")
+    above = stretches.select(F.col("rep").alias("_r"), F.col("n").alias("_n"), F.col("top").alias("p_top"))
+    stretches = settle(stretches.join(above, (F.col("p_rep") == F.col("_r")) & (F.col("p_n") == F.col("_n")), "left").drop("_r", "_n"), "trie-stretches")
+
+    sha = F.sha2(F.col("rep").cast("string").cast("binary"), 256)
+    nothing = F.lit(hashlib.sha256().hexdigest())
+    own = F.col("n_ends") > 0
+    out = alone.select(
+        "rep", "d", F.when(F.col("d") > 0, F.coalesce("p_rep", "rep")).alias("up"), "n", F.when(own, 0).otherwise(1).cast("long").alias("kids"), one.alias("leaves"), _zero().alias("saved"),
+        F.when(own, sha).otherwise(nothing).alias("sha"),
+    )
+    if stretches.take(1):
+        sums = _peeled(stretches, spark).select(F.col("rep").alias("_r"), F.col("n").alias("_n"), "bottom", "n_children", "n_leaves", "below")
+        from_below = W.partitionBy("rep", "n").orderBy(F.desc("d"))
+        known = shared.withColumn("gained", F.sum(gain).over(from_below)).join(sums, (F.col("rep") == F.col("_r")) & (F.col("n") == F.col("_n")))
+        dealt = ends.select("k1", "k2", F.col("d").alias("len"), "conv").repartition("k1", "k2", "len").sortWithinPartitions("k1", "k2", "len", "conv")
+        hashed = dealt.mapInArrow(_digests, "e1 long, e2 long, len long, ends_sha256 string")
+        known = known.join(hashed, (F.col("k1") == F.col("e1")) & (F.col("k2") == F.col("e2")) & (F.col("d") == F.col("len")), "left")
+        kids = F.when(F.col("d") == F.col("bottom"), F.col("n_children")).otherwise(one)
+        saved = F.col("below") + F.col("gained")
+        out = out.unionByName(
+            known.select("rep", "d", F.col("p_rep").alias("up"), "n", kids.alias("kids"), F.col("n_leaves").alias("leaves"), saved.alias("saved"), F.coalesce("ends_sha256", nothing).alias("sha"))
         )
-        path = f"{base}/depth={depth}"
-        level.write.parquet(path)
-        nodes = spark.read.schema(_LEVEL).parquet(path)
-        kept = [F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))).alias(c) for c in _STEP]
-        if depth > 1 and (depth - 1) % STEPS == 0:  # the carried turns are used up
-            more = chunks.where(F.col("part") == (depth - 1) // STEPS - 1).select("conv", *_STEP)
-            nodes, kept = nodes.drop(*_STEP).join(more, F.col("conv_id") == F.col("conv")), _STEP
-        alive = nodes.select(
-            F.col("conv_id").alias("rep"), F.col("up1").alias("k1"), F.col("up2").alias("k2"), F.col("n_convs").alias("n"), one.alias("kids"),
-            F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"), zero.alias("ended"), *kept,
-        )
-    if deepest is None:
-        empty = spark.createDataFrame([], f"{_LEVEL}, depth long")
-        return _with_parents(empty, F.lit(None).cast("long"), many_children).select(*_OUT, F.lit("").alias("ends_sha256"))
-    nodes = spark.read.schema(f"{_LEVEL}, depth long").parquet(base).drop(*_STEP)
-    dealt = ends.select("k1", "k2", "len", "conv").repartition("k1", "k2", "len").sortWithinPartitions("k1", "k2", "len", "conv")
-    hashed = dealt.mapInArrow(_digests, "e1 long, e2 long, len long, ends_sha256 string")
-    root = F.lit(nodes.where("depth = 0").first()["conv_id"])
-    at = (F.col("k1") == F.col("e1")) & (F.col("k2") == F.col("e2")) & (F.col("depth") == F.col("len"))
-    joined = _with_parents(nodes, root, many_children).join(hashed, at, "left")
-    return joined.select(*_OUT, F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))
-
-
-_OUT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
-
-
-def _with_parents(nodes: DataFrame, root: Column, many_children: int) -> DataFrame:
-    """Add parent_conv_id. A node whose parent nobody else is a member of has it as its own conv_id.
-
-    Only parents of several conversations are joined. Those of many children, at most a ``many_children``-th of the
-    nodes, come first and by themselves, so that no task gets all children of one parent.
-    """
-    shared = nodes.where("n_convs > 1 and depth > 0").select(
-        F.col("conv_id").alias("parent"), (F.col("depth") + 1).alias("p_depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), "n_children"
-    )
-    many = settle(shared.where(F.col("n_children") > many_children).drop("n_children"), "large-parents")
-    few = shared.where(F.col("n_children") <= many_children).drop("n_children")
-    own = (F.col("depth") == F.col("p_depth")) & (F.col("up1") == F.col("p1")) & (F.col("up2") == F.col("p2"))
-    extra = ["parent", "p_depth", "p1", "p2"]
-    top = nodes.where("depth < 2").withColumn("parent_conv_id", F.when(F.col("depth") == 1, root))
-    deep = nodes.where("depth >= 2").join(many, own, "left")
-    done = deep.where("parent is not null").withColumn("parent_conv_id", F.col("parent")).drop(*extra)
-    rest = deep.where("parent is null").drop(*extra).join(few, own, "left").withColumn("parent_conv_id", F.coalesce("parent", "conv_id")).drop(*extra)
-    return top.unionByName(done).unionByName(rest)
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return out.toDF(*names)

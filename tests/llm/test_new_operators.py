@@ -8,7 +8,6 @@ import zlib
 import numpy as np
 import pytest
 
-from cohortlake.llm import prefixtrie
 from cohortlake.llm.licences import NOTICES, PHRASES, Template, license_scan, needed, template_words
 from cohortlake.llm.prefixtrie import prefix_trie, turns, with_shared_openings
 from cohortlake.llm.runs import find_runs, numbered, periodic_runs, repeated_tail
@@ -53,7 +52,7 @@ def _trie(convs):
 
 def _nodes(df, **how):
     said = settle(turns(df, **how), "turns")
-    return sorted((tuple(r) for r in prefix_trie(*with_shared_openings(said, 20, 4), many_children=2).collect()), key=str)
+    return sorted((tuple(r) for r in prefix_trie(*with_shared_openings(said, 20, 4), many_members=2, block=3).collect()), key=str)
 
 
 def _conversations(n):
@@ -75,9 +74,9 @@ def test_prefix_trie_equals_brute_force(spark):
     assert _nodes(df.where("conv_id > 2000000000")) == []
 
 
-def test_prefix_trie_deeper_than_the_carried_turns(spark, monkeypatch):
-    monkeypatch.setattr(prefixtrie, "STEPS", 3)
+def test_prefix_trie_of_long_copies_in_blocks(spark):
     rows = [(c, t, "user", f"w{t} of{' the same' if t < 9 - c else ''}") for c in (1, 2, 3) for t in range(10)]  # one conversation holds a third of all rows
+    rows += [(c, t, "user", f"copy {t}") for c in (21, 25, 30) for t in range(12 + c % 2)]
     rows += [(4, None, None, None), (4, None, None, None), (5, 7, "user", "once"), (5, 7, "user", "once")]  # ties of equal rows
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], TALK)
     assert _nodes(df, max_rows=4) == _trie(_rebuilt(rows))

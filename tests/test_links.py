@@ -125,11 +125,34 @@ def test_a_dense_cell_without_a_group_is_left_before_pairing(table, monkeypatch)
     rows = [(k, "case" if k % 2 else "c1", 0.5 + k / 1e6) for k in range(600)] + [(1000, "c2", 0.0), (1001, "case", 1.0)]
     df = table(rows, "id int, g string, x double")
     assert match_confounders(df, "id", "g", {"case": 1, "c1": 1, "c2": 1}, ["x"], 0.1).count() == 0
-    assert sizes["cases-near"] == [0] and "wishes" not in sizes
+    assert sizes["looks"] == [0] and sizes["held"] == [0]
 
 
-@pytest.mark.parametrize("seed, tolerance", [(1, 0.05), (2, 0.3), (3, math.inf)])
-def test_matching_is_valid_and_complete(table, seed, tolerance):
+def test_a_dense_cell_pairs_a_bounded_number_of_rows_a_round(table, monkeypatch):
+    from cohortlake.operators import match
+
+    sizes = []
+    settle = match.settle
+
+    def counted(df, label):
+        out = settle(df, label)
+        if label == "held":
+            sizes.append(out.where("id is not null").count())
+        return out
+
+    monkeypatch.setattr(match, "settle", counted)
+    monkeypatch.setattr(match, "REFINEMENTS", ())  # all work is left to the neighbours
+    rows = [(k, "case" if k < 60 else "c1", 0.5 + (k % 60) / 1e4) for k in range(360)] + [(1000, "case", 0.0), (1001, "case", 1.0)]
+    df = table(rows, "id int, g string, x double")
+    out = match_confounders(df, "id", "g", {"case": 1, "c1": 2}, ["x"], 0.1, slots=5).collect()
+    assert len(out) == 180 and len({r["id"] for r in out}) == 180
+    assert max(sizes) <= 60 * 5  # all fit with all, 18,000 pairs
+
+
+
+
+@pytest.mark.parametrize("seed, tolerance, slots", [(1, 0.05, 64), (2, 0.3, 2), (3, math.inf, 64), (4, 0.1, 3)])
+def test_matching_is_valid_and_complete(table, seed, tolerance, slots):
     rnd = random.Random(seed)
     rows = []
     for k in range(240):
@@ -137,7 +160,7 @@ def test_matching_is_valid_and_complete(table, seed, tolerance):
         rows.append((k, rnd.choice(["case", "c1", "c1", "c1", "c2"]), rnd.choice(["m", "f", None]), age, rnd.choice([1.0, rnd.uniform(1, 3)])))
     df = table(rows, "id long, g string, sex string, age double, bmi double")
     ratios = {"case": 1, "c1": 2, "c2": 1}
-    out = match_confounders(df, "id", "g", ratios, ["sex", "age", "bmi"], tolerance, max_rows=30).collect()
+    out = match_confounders(df, "id", "g", ratios, ["sex", "age", "bmi"], tolerance, max_rows=30, slots=slots).collect()
     at = {r[0]: r for r in rows}
     span = [max(r[i] for r in rows if r[i] is not None) - min(r[i] for r in rows if r[i] is not None) for i in (3, 4)]
     served = {}

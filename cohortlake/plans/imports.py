@@ -40,6 +40,20 @@ def _(t):
     return delimited.read_delimited(t.spark, path, "||", eol="<-->", infer=False, labels=labels)
 
 
+@query(
+    "read_delimited_quoted",
+    "A1",
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role,
+       '"' || text || '", ' || chr(10) || role AS said FROM conversations""",
+)
+def _(t):
+    """Every text holds delimiters, quotes and line breaks, and its own line breaks too."""
+    path = scratch_path(t.spark, "quoted-csv")
+    said = F.concat(F.lit('"'), "text", F.lit('", \n'), "role")
+    delimited.export_delimited(t.conversations.select("conv_id", "turn", "role", said.alias("said")), path, quote_text=True)
+    return delimited.read_delimited(t.spark, path, infer=False, multi_line=True)
+
+
 @query("repair_lines", "A2", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
 def _(t):
     path = scratch_path(t.spark, "broken-lines")
@@ -85,6 +99,23 @@ def _(t):
     return documents.read_json_array(t.spark, path, one_document=False).select(*t.customer.columns)
 
 
+@query(
+    "read_json_document",
+    "A4",
+    """SELECT o_custkey, o_orderkey AS first, n, 'a "quoted" } ] \\ text' AS note FROM
+         (SELECT o_custkey, min(o_orderkey) AS o_orderkey, count(*) AS n FROM orders GROUP BY 1)""",
+)
+def _(t):
+    """One array per file, of objects with nested arrays, whose texts hold braces, quotes and backslashes."""
+    path = scratch_path(t.spark, "json-documents")
+    note = F.lit('a "quoted" } ] \\ text')
+    per = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("orders")).withColumn("note", note)
+    part = F.floor(F.col("o_custkey") / 500).alias("part")
+    per.groupBy(part).agg(F.to_json(F.collect_list(F.struct("o_custkey", "orders", "note"))).alias("v")).write.partitionBy("part").text(path)
+    got = documents.read_json_array(t.spark, f"{path}/*", infer=False)
+    return got.select(F.col("o_custkey").cast("bigint"), F.col("orders")[0]["o_orderkey"].cast("bigint").alias("first"), F.size("orders").cast("bigint").alias("n"), "note")
+
+
 @query(
     "expand_file_column",
     "A5",

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from cohortlake.functions.parsing import FieldType, display
 from cohortlake.operators.fieldtypes import infer_types, retype
+from cohortlake.session import settle
+from cohortlake.sources.pieces import quoted_lines
 
 # The name of a column without one and the longest name accepted.
 EMPTY_NAME = "_empty_"
@@ -52,6 +54,13 @@ def _schema(pairs: list[tuple[str, str]]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True, {"label": label}) for n, label in pairs])
 
 
+def _cells(spark: SparkSession, line: str, options: dict) -> list[str | None]:
+    """The items of one line."""
+    shape = spark.range(1).select(F.schema_of_csv(F.lit(line), options)).first()[0]
+    names = re.findall(r"_c\d+(?=:)", shape)
+    return list(spark.range(1).select(F.from_csv(F.lit(line), ", ".join(f"{n} string" for n in names), options).alias("c")).first()["c"])
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
@@ -68,8 +77,9 @@ def read_delimited(
 
     ``labels`` names the columns of files without a header.
 
-    Without ``multi_line`` a large file is split between tasks; switch it on only where quoted
-    fields hold line breaks. A row separator of more than two characters is split as text.
+    A large file is split between tasks, with ``multi_line`` too: quoted fields may then hold line
+    breaks, and a scan of the quotes finds the lines that end a row (see ``pieces``). Only charsets other than UTF-8 are
+    then read by one task per file. A row separator of more than two characters is split as text.
     """
     if eol and len(eol) > 2:
         raw = spark.read.option("lineSep", eol).text(path).withColumns(
@@ -82,6 +92,21 @@ def read_delimited(
         first = raw.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_head"))
         body = raw if labels else raw.join(first, "_file", "left").where("_block > 0 OR _at > _head")
         text = body.select(*[F.trim(F.get(items, F.lit(k))).alias(n, metadata={"label": lab}) for k, (n, lab) in enumerate(pairs)])
+    elif multi_line and quote and charset.upper().replace("-", "") == "UTF8":
+        rows = quoted_lines(spark, path, delimiter, quote, eol or "\n")
+        rows = rows.withColumn("text", F.regexp_replace(F.regexp_replace("text", "\r$", ""), "\r\n", "\n")).where(F.trim("text") != "")
+        options = {k: str(v) for k, v in _options(delimiter, charset, quote, None, True).items()}
+        if labels:
+            pairs = column_names(labels)
+        else:
+            first = rows.groupBy("file").agg(F.min(F.struct("row", "text")).alias("h"))
+            first = settle(first.select(F.col("file").alias("_file"), F.col("h.row").alias("_head"), F.col("h.text").alias("head")), "headers")
+            head = [r["head"] for r in first.orderBy("_file").select("head").limit(1).collect()]  # the first file's
+            pairs = column_names(_cells(spark, head[0], options)) if head else []
+            rows = rows.join(first.drop("head"), F.col("file") == F.col("_file")).where(F.col("row") > F.col("_head"))
+        names = ", ".join(f"`{n}` string" for n, _ in pairs)
+        read = rows.select(F.from_csv("text", names, options).alias("c")) if pairs else rows.select(F.struct().alias("c"))
+        text = read.select(*[F.col(f"c.`{n}`").alias(n, metadata={"label": label}) for n, label in pairs])
     else:
         options = _options(delimiter, charset, quote, eol, multi_line)
         header = [labels] if labels else spark.read.options(**options).csv(path).limit(1).collect()

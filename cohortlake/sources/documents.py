@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.operators.fieldtypes import infer_types, retype
+from cohortlake.session import scratch_path
+from cohortlake.sources.pieces import json_objects
 
 
 def read_json_array(
@@ -13,9 +15,19 @@ def read_json_array(
 ) -> DataFrame:
     """JSON arrays of objects; the union of the keys, typed from their values.
 
-    With ``one_document`` each file is one array, read by one task per file. Large data is better
-    kept as one object or array per line, which is split between tasks.
+    With ``one_document`` each file is one array or object. A file is cut at its closing braces and read by
+    many tasks (see ``pieces``); its objects go to the shared folder, one per line, from where they are typed. Other
+    charsets than UTF-8 are read by one task per file. A file that ends inside an object is an error.
+    Without ``one_document`` every line is an object or array.
     """
+    if one_document and charset.upper().replace("-", "") == "UTF8":
+        found = json_objects(spark, path)
+        lines = scratch_path(spark, "json-objects")
+        object_ = F.concat(F.regexp_replace("text", "^[\\s\ufeff\\[,]+", ""), F.lit("}"))
+        broken = F.raise_error(F.concat(F.lit("unfinished JSON in "), "file")).cast("string")
+        whole = F.when(~F.col("sound"), broken).when(F.col("done"), F.translate(object_, "\r\n", "  "))
+        found.select(whole.alias("value")).where("value is not null").write.text(lines)
+        path, one_document = lines, False
     text = spark.read.options(multiLine=one_document, primitivesAsString=True, encoding=charset).json(path)
     plain = [c for c, t in text.dtypes if t == "string"]
     return retype(text, infer_types(text, plain)) if infer and plain else text

@@ -29,7 +29,7 @@ def test_read_delimited_with_quotes(spark):
     assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, "a, b"), (2, 'say "hi"'), (3, None)]
     assert out.schema["id"].metadata["type"] == "integer"
     many = write_text(spark, "multi", ['id,text\n1,"a\nb"\n2,c'])
-    assert [r["text"] for r in delimited.read_delimited(spark, many, infer=False, multi_line=True).collect()] == ["a\nb", "c"]
+    assert sorted(r["text"] for r in delimited.read_delimited(spark, many, infer=False, multi_line=True).collect()) == ["a\nb", "c"]
 
 
 def test_enum_of_three(spark):
@@ -116,3 +116,65 @@ def test_long_row_separator_keeps_rows_equal_to_the_header(spark, tmp_path):
     (tmp_path / "t.txt").write_text("a,b~~~1,2~~~a,b~~~3,4")
     got = delimited.read_delimited(spark, str(tmp_path / "t.txt"), eol="~~~", infer=False)
     assert sorted(map(tuple, got.collect())) == [("1", "2"), ("3", "4"), ("a", "b")]
+
+
+def _in_blocks(spark, size, read):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        return read()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def _write_bytes(spark, label, files):
+    from pathlib import Path
+
+    path = Path(scratch_path(spark, label))
+    path.mkdir(parents=True)
+    for name, data in files.items():
+        (path / name).write_bytes(data.encode())
+    return str(path)
+
+
+@pytest.mark.parametrize("size", [61, 1000])
+def test_json_arrays_are_read_in_blocks(spark, size):
+    import json
+    import random
+
+    rnd = random.Random(3)
+    objects = [
+        {"id": k, "text": rnd.choice(["é {[", 'a "b\\" }', "\\", "x\ny", "}{", "", "]"]) * rnd.randint(0, 4), "inner": [{"v": rnd.choice(["}", "ü"])}] * rnd.randint(0, 3), "deep": {"a": {"b": [k]}}}
+        for k in range(120)
+    ]
+    files = {"a.json": json.dumps(objects[:60], ensure_ascii=False), "b.json": json.dumps(objects[60:118], indent=2), "c.json": " " + json.dumps(objects[118]) + "\n", "d.json": "[]", "e.json": "\n[ " + json.dumps(objects[119]) + " ]\n"}
+    path = _write_bytes(spark, "arrays", files)
+    got = _in_blocks(spark, size, lambda: documents.read_json_array(spark, path, infer=False).collect())
+    whole = spark.read.options(multiLine=True, primitivesAsString=True).json(path).collect()
+    assert len(got) == 120 and sorted(map(str, got)) == sorted(map(str, whole))
+    assert {int(r["id"]): r["text"] for r in got} == {o["id"]: o["text"] for o in objects}
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"b": ', '[{"a": "}"', '[{"a": 1}'])
+def test_an_unfinished_json_array_is_an_error(spark, text):
+    path = _write_bytes(spark, "cut", {"a.json": text})
+    with pytest.raises(Exception, match="unfinished JSON"):
+        documents.read_json_array(spark, path)
+
+
+@pytest.mark.parametrize("size", [61, 1 << 20])
+@pytest.mark.parametrize("eol", ["\n", "\r\n"])
+def test_quoted_line_breaks_are_read_in_blocks(spark, size, eol):
+    import random
+
+    rnd = random.Random(5)
+    cells = ["1", "", "a b", '"x, y"', '"say ""hi"""', f'"two{eol}lines"', f'"{eol}"', '""', f' "é, ""{eol}""" ', '5" wide', 'a"b']
+    rows = [",".join(rnd.choice(cells) for _ in range(3)) for _ in range(150)]
+    rows = [r if r.strip(",") else "x,y,z" for r in rows]
+    files = {"a.csv": eol.join(["k,l,m", *rows[:90]]), "b.csv": eol.join(["k,l,m", "", *rows[90:], ""])}
+    path = _write_bytes(spark, "quoted-blocks", files)
+    got = _in_blocks(spark, size, lambda: delimited.read_delimited(spark, path, infer=False, multi_line=True).collect())
+    whole = spark.read.options(header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path).collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole)) and len(got) >= 140

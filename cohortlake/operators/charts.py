@@ -18,6 +18,9 @@ UNDEFINED = "Undefined"
 MAX_PADDED_RANGE = 1000  # fixed value: integers in a narrower range get zero rows
 
 
+PER_STEP = 1000  # groups that one row is repeated for at a time
+
+
 def _label(c):
     return F.coalesce(c.cast("string"), F.lit(UNDEFINED))
 
@@ -38,10 +41,15 @@ def distribution_categorical(
         totals = totals.orderBy(F.desc("total"), F.desc("label")).limit(top)
     totals = global_index(totals, ["total", "label"], "position").withColumn("position", (F.col("position") + 1).cast("int"))
     if group:
-        # a group field has few values; every label row is repeated for each of them
+        # groups and labels are both tables: a label is repeated for the numbers of the groups, by thousands and
+        # then one by one, and the numbers are joined with the groups
         shown = counts.join(totals.select("label"), "label", "left_semi")
-        groups = shown.agg(F.collect_set("group").alias("g")).scalar()
-        frame = totals.select(F.explode(groups).alias("group"), "label", "position")
+        groups = settle(global_index(shown.select("group").distinct(), ["group"], "number"), "groups")
+        n = groups.count()
+        steps = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // PER_STEP))).alias("step"))
+        first = F.col("step") * PER_STEP
+        numbers = F.explode(F.sequence(first, F.least(first + PER_STEP, F.lit(n)) - 1)).alias("number")
+        frame = steps.select("label", "position", numbers).join(groups, "number").drop("number") if n else totals.select(F.lit("").alias("group"), "label", "position").limit(0)
     else:
         frame = totals.select(F.lit("All").alias("group"), "label", "position")
     out = frame.join(counts, ["group", "label"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions.common import dtype
 from cohortlake.operators.cells import lookup
 from cohortlake.operators.ordered import lag_features
+from cohortlake.operators.scan import global_index
 from cohortlake.session import settle
 
 SEED = 11
@@ -27,17 +28,23 @@ SEED = 11
 def features_frame(df: DataFrame, inputs: list[str], output: str | None = None, keep: list[str] = ()) -> DataFrame:
     """Typed rows with a ``features`` vector and a ``label``.
 
-    Texts are indexed by their sorted labels; rows with a missing value are dropped.
+    Texts are indexed by their sorted labels; rows with a missing value are dropped. The labels are numbered
+    where they lie and joined back, so a column may have any number of them.
     """
     wanted = [*inputs, *([output] if output else [])]
     rows = df.select(*keep, *[F.col(c).alias(f"_{c}") for c in wanted]).dropna(subset=[f"_{c}" for c in wanted])
     text = [c for c in wanted if dtype(df, c).typeName() in ("string", "boolean")]
     rows = rows.withColumns({f"_{c}": F.col(f"_{c}").cast("string") for c in text})
     if text:
-        indexer = mf.StringIndexer(
-            inputCols=[f"_{c}" for c in text], outputCols=[f"_{c}_ix" for c in text], stringOrderType="alphabetAsc"
-        )
-        rows = indexer.fit(rows).transform(rows)
+        cells = F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"_{c}").alias("text")) for k, c in enumerate(text)])
+        labels = settle(global_index(rows.select(F.inline(cells)).distinct(), ["column", "text"], "place"), "labels")
+        first = dict(labels.groupBy("column").agg(F.min("place")).collect())  # a number per text column
+        for k, c in enumerate(text):
+            if k in first:
+                own = labels.where(F.col("column") == k).select(F.col("text").alias(f"_{c}_text"), (F.col("place") - first[k]).alias(f"_{c}_ix"))
+                rows = rows.join(own, F.col(f"_{c}") == F.col(f"_{c}_text"))
+            else:
+                rows = rows.withColumn(f"_{c}_ix", F.lit(0))
     name = {c: f"_{c}_ix" if c in text else f"_{c}" for c in wanted}
     rows = rows.withColumns({name[c]: F.col(name[c]).cast("double") for c in wanted})
     out = mf.VectorAssembler(inputCols=[name[c] for c in inputs], outputCol="features").transform(rows)

@@ -7,8 +7,6 @@ one small row per chunk carries the state of the earlier chunks forward.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,28 +16,22 @@ from cohortlake.functions.common import TEMPORAL, epoch_us, join_null_safe
 from cohortlake.session import settle
 
 MAX_GROUP_ROWS = 2_000_000  # a group with more rows is cut into ranges
-MAX_CUTS = 1024
-
+PER_PIECE = 32  # rows drawn for each range of a group that is cut
+SEED = 17
 
-def order_key(c: Column, kind: T.DataType, skip: int = 0) -> Column:
-    """A number that never decreases as the value grows, equal for equal values; it only serves to choose cut points.
 
-    Texts are read from six bytes after the first ``skip`` bytes, which all of them must share.
-    """
+def order_key(c: Column, kind: T.DataType) -> Column:
+    """A number that never decreases as the value grows, equal for equal values; of texts it tells the first six bytes."""
     if isinstance(kind, TEMPORAL):
         return epoch_us(c).cast("double")
     if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), skip + 1, 6)), 12, "0")
+        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
         return F.conv(head, 16, 10).cast("double")
     if isinstance(kind, T.BooleanType):
         return c.cast("int").cast("double")
     return c.cast("double")
 
 
-def _fractions(pieces: int) -> Column:
-    return F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-
-
 def _chunk_of(cuts: Column, key: Column) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda cut: cut < key)), F.lit(0))
 
@@ -89,6 +81,8 @@ def cut_hot_groups(
 ) -> tuple[DataFrame, bool]:
     """Add ``_chunk``: 0, or for a group above ``max_rows`` the range of ``order`` a row is in.
 
+    The ranges are cut at values of the group itself, from a seeded sample of PER_PIECE rows a piece, compared
+    in their own type: texts that begin alike are cut as well as numbers, whatever else stands in the column.
     One cheap count per key (combined on the map side) tells whether any group is too big; if
     none is, the plan stays an ordinary window. Rows with equal ``order`` share a chunk.
     """
@@ -96,22 +90,13 @@ def cut_hot_groups(
     biggest = sizes.agg(F.max("_n")).first()[0]
     if biggest is None:
         return df.withColumn("_chunk", F.lit(0)), False
-    kind = df.schema[order].dataType
-    pieces = min(MAX_CUTS, max(2, -(-biggest // max_rows)))
-    hot = settle(sizes.select(*keys), "hot-groups")
-    hot_rows = join_null_safe(df.select(*keys, F.col(order).alias("_order")), hot, keys, "left_semi")
-    skip = 0
-    if isinstance(kind, T.StringType):  # what the least and the greatest text begin with, all texts between begin with
-        ends = hot_rows.agg(F.min("_order").alias("a"), F.max("_order").alias("b")).first()
-        skip = len(os.path.commonprefix([(ends["a"] or "").encode(), (ends["b"] or "").encode()]))
-    key = order_key(F.col(order), kind, skip)
-    cuts = (
-        hot_rows.select(*keys, order_key(F.col("_order"), kind, skip).alias("_order_key"))
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_order_key", _fractions(pieces), 10 * pieces).alias("_cuts"))
-    )
+    hot = settle(sizes.select(*keys, F.ceil(F.col("_n") / max_rows).alias("_pieces"), "_n"), "hot-groups")
+    values = join_null_safe(df.select(*keys, F.col(order).alias("_order")).where("_order is not null"), hot, keys)
+    drawn = values.where(F.rand(SEED) < F.col("_pieces") * PER_PIECE / F.col("_n"))
+    placed = drawn.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy("_order")))  # PER_PIECE rows a piece
+    cuts = placed.where(F.col("_at") % PER_PIECE == 0).groupBy(*keys).agg(F.array_sort(F.collect_set("_order")).alias("_cuts"))
     cuts = settle(cuts, "cuts")
-    out = join_null_safe(df, cuts, keys, "left").withColumn("_chunk", _chunk_of(F.col("_cuts"), key))
+    out = join_null_safe(df, cuts, keys, "left").withColumn("_chunk", _chunk_of(F.col("_cuts"), F.col(order)))
     return out.withColumn("_chunk", F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_chunk"))).drop("_cuts"), True
 
 

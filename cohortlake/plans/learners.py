@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators import learning as ml
 from cohortlake.plans.catalog import query, rounded
+from cohortlake.session import settle
 
 
 def _index(c: str) -> str:
@@ -263,3 +267,54 @@ def _(t):
 def _(t):
     frame = _vectors(t).drop("vec_id")
     return ml.run_summary([ml.classify(frame, "decision_tree", seed=s, maxDepth=3) for s in (1, 2, 3)])
+
+
+def _cluster_checks(name, row, k, make):
+    """What every clustering must satisfy: all rows once, cluster numbers from 1 to k, as many clusters as asked for."""
+
+    @query(
+        f"{name}_checks",
+        row,
+        """SELECT name, CAST(CASE name WHEN 'rows' THEN (SELECT count(*) FROM embeddings) WHEN 'ids' THEN (SELECT count(DISTINCT vec_id) FROM embeddings)
+             ELSE 0 END AS BIGINT) AS value FROM (VALUES ('rows'), ('ids'), ('outside'), ('split copies')) v(name)""",
+    )
+    def _(t):
+        twice = _vectors(t).drop("label").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        out = settle(make(twice), "clusters")
+        first = out.where("copy = 0")
+        other = out.where("copy = 1").select("vec_id", F.col("cluster").alias("again"))
+        counted = {
+            "rows": first.agg(F.count(F.lit(1)).alias("value")),
+            "ids": first.agg(F.count_distinct("vec_id").alias("value")),
+            "outside": out.agg(F.count_if(F.col("cluster").isNull() | (F.col("cluster") < 1) | (F.col("cluster") > k)).alias("value")),
+            "split copies": first.join(other, "vec_id").agg(F.count_if(F.col("cluster") != F.col("again")).alias("value")),  # equal rows are together
+        }
+        return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("name"), "value") for n, d in counted.items()])
+
+
+_cluster_checks("cluster_kmeans", "L7", 5, lambda d: ml.cluster(d, "kmeans", 5, scale="standard", maxIter=5))
+_cluster_checks("cluster_bisecting_kmeans", "L7", 5, lambda d: ml.cluster(d, "bisecting_kmeans", 5, maxIter=5))
+_cluster_checks("cluster_gaussian_mixture", "L7", 5, lambda d: ml.cluster(d, "gaussian_mixture", 5, components=4, maxIter=5))
+_cluster_checks("cluster_lda", "L7", 5, lambda d: ml.cluster(d, "lda", 5, scale="min_max_01", maxIter=3))
+
+
+@query(
+    "cluster_pca12_checks",
+    "L8",
+    """SELECT name, CAST(CASE name WHEN 'rows' THEN (SELECT count(*) FROM embeddings) ELSE 0 END AS BIGINT) AS value
+       FROM (VALUES ('rows'), ('nearer to another centre'), ('components correlated or out of order')) v(name)""",
+)
+def _(t):
+    """Converged k-means puts every row to its nearest centre; principal components are uncorrelated and ordered by variance."""
+    frame = _vectors(t).drop("label")
+    out = settle(ml.cluster_pca12(frame, "kmeans", 4, maxIter=200, tol=0.0), "clusters-12")
+    x = frame.select("vec_id", F.posexplode(vector_to_array("features")).alias("k", "x"))
+    own = out.select("vec_id", "cluster")
+    centres = settle(x.join(own, "vec_id").groupBy("cluster", "k").agg(F.avg("x").alias("c")), "centres")
+    far = x.join(centres, "k").groupBy("vec_id", "cluster").agg(F.sum((F.col("x") - F.col("c")) ** 2).alias("d"))
+    nearest = far.groupBy("vec_id").agg(F.min("d").alias("least"))
+    wrong = far.join(own, ["vec_id", "cluster"]).join(nearest, "vec_id").agg(F.count_if(F.col("d") > F.col("least") + 1e-6).alias("value"))
+    m = out.agg(F.covar_pop("pc1", "pc2").alias("c"), F.var_pop("pc1").alias("a"), F.var_pop("pc2").alias("b"))
+    odd = m.select(((F.abs("c") > 1e-6 * F.col("a")) | (F.col("b") > F.col("a"))).cast("long").alias("value"))
+    counted = {"rows": out.agg(F.count_distinct("vec_id").alias("value")), "nearer to another centre": wrong, "components correlated or out of order": odd}
+    return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("name"), "value") for n, d in counted.items()])

@@ -15,7 +15,7 @@ def _events(t):
 
 @query("stream_basic_stats", "M1", stats_sql("value", "events", "event_type"))
 def _(t):
-    return tidy(run_to_table(stream_basic_stats(_events(t), "event_type", "value"), "stream-stats", "complete"))
+    return tidy(run_to_table(stream_basic_stats(_events(t), "event_type", "value"), "stream-stats", "update", keys=["event_type"]))
 
 
 @query(

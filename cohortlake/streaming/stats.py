@@ -24,10 +24,12 @@ def stream_basic_stats(stream: DataFrame, group: str, column: str) -> DataFrame:
     return stream.groupBy(group).agg(*aggs)
 
 
-def run_to_table(result: DataFrame, label: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+def run_to_table(result: DataFrame, label: str, mode: str = "append", folder: str | None = None, keys: list[str] = ()) -> DataFrame:
     """Run the stream over all data available now and return what it wrote so far.
 
-    Append goes to a parquet sink. In complete mode each micro-batch writes the whole updated
+    Append goes to a parquet sink. In update mode a micro-batch writes only the rows it changed, to a version of
+    its own, and the last version of every row, told by ``keys``, is read; when a run has ended its versions are
+    merged into one. In complete mode each micro-batch writes the whole updated
     result to a version of its own and the last version is read. The table and the checkpoint of the
     query lie in ``folder``, which must be shared: a later call with the same folder goes on where
     the one before stopped. Without it the call has a new folder of its own.
@@ -46,5 +48,24 @@ def run_to_table(result: DataFrame, label: str, mode: str = "append", folder: st
     nothing = spark.createDataFrame([], result.schema)
     nothing.write.mode("ignore").parquet(f"{path}/version=-1")
     writer.outputMode(mode).foreachBatch(write).start().awaitTermination()
+    if mode == "update":
+        return _merged(spark, path, result, keys)
     last = spark.read.parquet(path).agg(F.max("version")).first()[0]
     return nothing if last is None else spark.read.schema(result.schema).parquet(f"{path}/version={last}")
+
+
+def _merged(spark: SparkSession, path: str, result: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of every row. Several versions are merged into a new one half a step after the last of them."""
+    versions = spark.read.schema(f"{result.schema.toDDL()}, version double").parquet(path)
+    merged = F.max(F.when(F.col("version") % 1 == 0.5, F.col("version"))).alias("merged")
+    seen = versions.agg(merged, F.min("version").alias("first"), F.max("version").alias("last")).first()
+    if seen["last"] is None:
+        return versions.drop("version")
+    start = seen["first"] if seen["merged"] is None else seen["merged"]
+    name = lambda v: f"{path}/version={int(v) if v % 1 == 0 else v}"
+    if start == seen["last"]:
+        return spark.read.schema(result.schema).parquet(name(start))
+    names = [c for c in result.columns if c not in keys]
+    newest = versions.where(F.col("version") >= start).groupBy(*keys).agg(F.max_by(F.struct(*names), "version").alias("r"))
+    newest.select(*keys, "r.*").select(*result.columns).write.mode("overwrite").parquet(name(seen["last"] + 0.5))
+    return spark.read.schema(result.schema).parquet(name(seen["last"] + 0.5))

@@ -78,3 +78,11 @@ def test_unknown_category_is_an_error(table):
 def test_run_summary(table):
     runs = [table([("m", "test", "f1", v)], "model string, part string, metric string, value double") for v in (1.0, 3.0)]
     assert tuple(ml.run_summary(runs).first()) == ("m", "test", "f1", 2, 2.0, 1.0, 3.0, 1.0)
+
+
+def test_features_frame_of_many_labels(spark):
+    rows = spark.range(30_000).selectExpr("id", "concat('t', lpad(CAST((id * 7919) % 30000 AS STRING), 5, '0')) AS s", "id % 3 = 0 AS b", "CAST(id AS DOUBLE) AS y")
+    out = ml.features_frame(rows, ["s", "b"], "y", ["id"])
+    got = {r["id"]: (r["features"].toArray().tolist(), r["label"]) for r in out.where("id < 50 OR id > 29990").collect()}
+    assert out.count() == 30_000 and len(got) == 59
+    assert all(f == [(k * 7919) % 30000, k % 3 == 0] and y == k for k, (f, y) in got.items())

@@ -137,6 +137,14 @@ def test_text_orders_are_cut(table):
     assert split and got.select("_chunk").distinct().count() >= 8
 
 
+def test_an_outlier_does_not_keep_texts_together(table):
+    rows = [("a", f"2016-08-10T00:{k:06d}", k) for k in range(1000)] + [("a", "!", -1), ("a", None, -2), ("b", "x", 0)]
+    got, split = cut_hot_groups(table(rows, "s string, t string, id long"), ["s"], "t", 100)
+    sizes = [r["count"] for r in got.where("s = 'a'").groupBy("_chunk").count().collect()]
+    assert split and len(sizes) >= 8 and max(sizes) < 300
+    assert [r["_chunk"] for r in got.where("s = 'b' OR t IS NULL").collect()] == [0, 0]
+
+
 def series(table, expr, values):
     return table([(values,)], "a array<double>").select(expr(F.col("a"))).first()[0]
 

@@ -239,3 +239,15 @@ def test_wide_statistics_equal_narrow_ones(table, wide_rows, monkeypatch):
     monkeypatch.setattr(hy, "WIDE", 2)
     for a, b in zip(narrow, both()):
         assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def test_distribution_of_many_groups(spark, monkeypatch):
+    from cohortlake.operators import charts
+
+    monkeypatch.setattr(charts, "PER_STEP", 7)
+    rows = spark.range(300).selectExpr("concat('g', id % 100) AS g", "concat('l', id % 3) AS l")
+    got = charts.distribution_categorical(rows, "l", "g", top=2).collect()
+    assert len(got) == 200 and len({(r["group"], r["label"]) for r in got}) == 200
+    want = {(f"g{k % 100}", f"l{k % 3}") for k in range(300)}
+    assert all(r["count"] == ((r["group"], r["label"]) in want) for r in got) and {r["position"] for r in got} == {1, 2}
+    assert charts.distribution_categorical(rows.where("id < 0"), "l", "g").count() == 0

@@ -45,3 +45,18 @@ def test_sessions_close_behind_the_watermark(spark):
         ("a", 1, minutes(26), minutes(26)),
         ("b", 1, minutes(3), minutes(3)),
     }
+
+
+def test_update_mode_writes_only_what_changed(spark):
+    path, folder = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-table")
+    rows = spark.range(20_000).selectExpr("concat('g', id % 10000) AS g", "CAST(id AS DOUBLE) AS v")
+    run = lambda: run_to_table(stream_basic_stats(read_stream(spark, path), "g", "v"), "stats", "update", folder, ["g"])
+    rows.write.parquet(path)
+    assert run().count() == 10_000
+    spark.createDataFrame([("g7", 1e6), ("new", 1.0), (None, 2.0), (None, 3.0)], "g string, v double").coalesce(1).write.mode("append").parquet(path)
+    out = run()
+    last = spark.read.parquet(f"{folder}/table")
+    assert last.where("version = 1").count() == 3  # g7, new and null
+    got = {r["g"]: (r["defined"], r["max"]) for r in out.where("g IN ('g7', 'g8', 'new') OR g IS NULL").collect()}
+    assert out.count() == 10_002 and got == {"g7": (3, 1e6), "g8": (2, 10008.0), "new": (1, 1.0), None: (2, 3.0)}
+    assert run().count() == 10_002  # nothing new

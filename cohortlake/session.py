@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}  # folders of local sessions without the setting
+
+
 def build_session(app: str = "cohortlake", cpus: int | str = "*") -> SparkSession:
     """Local session for tests and the benchmark; a cluster brings its own."""
     spark = (
@@ -35,9 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="cohortlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="cohortlake-")
+    return _LOCAL[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -16,6 +16,26 @@ def test_shared_folder_is_the_cluster_setting(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+def test_a_local_session_without_the_setting_has_a_folder_of_its_own(tmp_path):
+    """In a Python of its own, whose Spark has no defaults."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+from cohortlake.session import build_session, settle, shared_folder
+spark = build_session("plain", 1)
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert shared_folder(spark) == shared_folder(spark)
+assert settle(spark.range(3)).count() == 3
+print("settled")
+"""
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], env=env, capture_output=True, text=True, timeout=180)
+    assert "settled" in done.stdout, done.stderr[-2000:]
+
+
 def test_column_names():
     got = delimited.column_names([' "a b" ', "a-b", "", "x"])
     assert got == [("a_b_0", "a b 0"), ("a_b_1", "a-b 1"), ("_empty_", "_empty_"), ("x", "x")]

@@ -16,6 +16,7 @@ would join nothing. When no group is left, every candidate pair was compared, ru
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import count
 
@@ -35,7 +36,7 @@ DRAWN_ROUNDS = 1  # after this round smaller components' members are compared, n
 PER_ROUND = 64  # members of a smaller component that a group compares in one round
 WORDS = 8  # 64-bit words of the parity mask of a set
 _MASK = [f"m{i}" for i in range(WORDS)]
-_TRAITS = ["n", "own", *_MASK]
+_TRAITS = ["n", "own", "place", *_MASK]
 _STEP = 4096  # shingles that are permuted at a time
 
 
@@ -145,20 +146,28 @@ def _rare_groups(live: DataFrame, classes: DataFrame, texts: DataFrame, k: int,
     room = counts.select("rep", "n", (F.col("n") - F.col("shared")).alias("own"), "prefix").withColumn("room", F.col("prefix") - F.col("own")).where("room > 0")
     ranked = common.join(room.hint("merge"), "rep").withColumn("at", F.row_number().over(W.partitionBy("rep").orderBy("df", "bucket")))
     masks = own.select(F.col("id").alias("rep"), *_MASK)
-    return settle(ranked.where("at <= room").join(masks, "rep").select("bucket", "rep", *_TRAITS), "near-rare")
+    ranked = ranked.where("at <= room").withColumn("place", F.col("own") + F.col("at"))
+    return settle(ranked.join(masks, "rep").select("bucket", "rep", *_TRAITS), "near-rare")
 
 
 def _may_link(percent: int) -> Column:
     """Whether two sets can be similar enough, by two bounds on their intersection.
 
-    It has none of the shingles that are one set's own, and every bit in which the masks differ stands for a
-    shingle that only one of the sets has.
+    In the group of the rarest shingle that both have, nothing before its place in either order is shared, and the
+    pair need not be formed in any other group. Every bit in which the masks differ stands for a shingle that only one
+    of the sets has.
     """
     apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"c_{m}"))) for m in _MASK[1:]), F.bit_count(F.col(_MASK[0]).bitwiseXOR(F.col(f"c_{_MASK[0]}"))))
-    most = F.least(F.col("n") - F.col("own"), F.col("c_n") - F.col("c_own"), F.floor((F.col("n") + F.col("c_n") - apart) / 2))
+    rest = [F.col("n") - F.col("place") + 1, F.col("c_n") - F.col("c_place") + 1]
+    most = F.least(*rest, F.floor((F.col("n") + F.col("c_n") - apart) / 2))
     return most * 100 >= (F.col("n") + F.col("c_n") - most) * percent
 
 
+def _scale(n: Column, percent: int) -> Column:
+    """Sizes in steps of the least ratio that linked sets have: they are on the same step or on neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9) if percent < 100 else F.lit(0)
+
+
 def _mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
     """The groups whose members are in several components, with the component as ``part``."""
     named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
@@ -233,10 +242,12 @@ def near_duplicates(
             minor = live.join(largest, "bucket").where("part != top").withColumn("at", F.row_number().over(W.partitionBy("bucket", "part").orderBy("rep")))
             centres = minor.where(F.col("at") <= PER_ROUND).drop("at", "top")
         centres = settle(centres.select(F.col("bucket").alias("c_bucket"), *[F.col(c).alias(f"c_{c}") for c in ("rep", "part", *_TRAITS)]), "near-centres")
-        other = (F.col("bucket") == F.col("c_bucket")) & (F.col("part") != F.col("c_part")) & _may_link(percent)
-        pairs = live.join(centres, other).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
+        other = (F.col("bucket") == F.col("c_bucket")) & (F.col("scale") == F.col("c_scale")) & (F.col("part") != F.col("c_part")) & _may_link(percent)
+        scale = _scale(F.col("c_n"), percent)
+        looking = centres.withColumn("c_scale", F.explode(F.array(scale - 1, scale, scale + 1)))
+        pairs = live.withColumn("scale", _scale(F.col("n"), percent)).join(looking, other).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
         pairs = pairs.join(done, ["a", "b"], "left_anti")
         live = live.join(centres, (F.col("bucket") == F.col("c_bucket")) & (F.col("rep") == F.col("c_rep")), "left_anti").drop("part")
     whole = base.join(classes.hint("merge"), ["n", "k1", "k2"], "left").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     part = F.coalesce("component", "rep", "id")
-    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), part.alias("component_id"), (F.col("id") == part).alias("kept"))
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), part.alias("component_id"), F.coalesce(F.col("id") == part, F.lit(False)).alias("kept"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +71,8 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # a machine without its vocabularies can run the other queries
+
     return count_tokens(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048, drops_space=True)
 
 

@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlake.session import settle
+
 
 def text_of(df: DataFrame, name: str) -> Column:
     """A text column with null as the empty text."""
@@ -50,5 +53,32 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iter
             start = end
 
 
+def smallest(df: DataFrame, label: str, at: str, rows: dict) -> tuple[dict, dict]:
+    """Per label the ``rows[label]``-th smallest distinct value of the hash column ``at`` (the largest if there are fewer), and its number of rows.
+
+    The values are counted by their leading bits, and only the bin that holds the cut is ranked.
+    """
+    bits = F.shiftright(F.col(at), 52)
+    total = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row per label
+    seen = settle(df.select(label, at).distinct(), "hashes")
+    counts: dict = {}
+    for r in seen.groupBy(label, bits.alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect():  # at most 4096 rows a label
+        counts.setdefault(r[label], []).append((r["bin"], r["n"]))
+    cuts, last = [], {}
+    for name, bins in counts.items():
+        need = rows[name]
+        for b, n in bins:
+            if n >= need or b == bins[-1][0]:
+                cuts.append((name, b, min(n, need)))
+                break
+            need -= n
+    if cuts:
+        ends = settle(df.sparkSession.createDataFrame(cuts, f"{label} {dict(df.dtypes)[label]}, bin long, need long"), "cuts")
+        inside = seen.withColumn("bin", bits.cast("long")).join(ends, [label, "bin"])
+        ranked = inside.withColumn("n", F.row_number().over(W.partitionBy(label).orderBy(at)))
+        last = {r[label]: r[at] for r in ranked.where("n = need").collect()}  # a row per label
+    return last, total
+
+
 def schema(text: str) -> T.StructType:
     return T.StructType.fromDDL(text)

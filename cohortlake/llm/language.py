@@ -15,10 +15,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlake.llm.columns import by_bytes, check_columns, flat, text_of
+from cohortlake.llm.columns import by_bytes, check_columns, flat, smallest, text_of
+from cohortlake.session import settle
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -138,12 +138,12 @@ def learn(
     """
     check_columns(docs, text_col, lang_col)
     order = F.xxhash64(F.col(f"`{text_col}`")) if order is None else order
-    known = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text_of(docs, text_col).alias("body"), order.alias("_at")).where("lang is not null")
-    first = known.select("lang", "_at").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_at"))).where(F.col("_n") <= rows)
-    last = first.groupBy("lang").agg(F.max("_at").alias("_last")).collect()  # a row per language
-    if not last:
+    known = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text_of(docs, text_col).alias("body"), order.cast("long").alias("_at")).where("lang is not null")
+    names = [r["lang"] for r in known.select("lang").distinct().collect()]  # the languages
+    if not names:
         return {}
-    ends = docs.sparkSession.createDataFrame([(r["lang"], r["_last"]) for r in last], f"lang string, _last {dict(known.dtypes)['_at']}")
+    last, _ = smallest(known, "lang", "_at", dict.fromkeys(names, rows))
+    ends = settle(docs.sparkSession.createDataFrame(list(last.items()), "lang string, _last long"), "language-ends")  # small enough to be sent to the scan
     sample = known.join(ends, "lang").where(F.col("_at") <= F.col("_last"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,33 +3,40 @@
 Two strings are similar by their common subsequences of three letters, each weighted by a power of its
 span in both, so letters that are inserted, doubled or pulled apart cost a little and do not hide a word.
 The kernel is taken to a few landmark words and whitened (Nystroem), and a linear support vector machine
-separates the words that mark toxic labelled texts, with altered spellings of them, from words of clean
-texts. Every word whose excess in toxic texts is significant is a landmark and a positive example; beyond ``GROUP`` of
+separates toxic from clean labelled texts, each represented by its worst word under the machine before (a
+multiple-instance machine). The first one starts from the words that mark toxic texts, with altered spellings of
+them. Every word whose excess in toxic texts is significant is a landmark; beyond ``GROUP`` of
 them each group has a machine of its own. A document's margin is that of its worst word under the harshest machine.
+
+A machine's weights over all landmarks add up to one weight per letter triple, so a word of any spelling is
+scored by its own triples, however many landmarks there are, and no word is left out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlake.llm.columns import by_bytes, check_columns, flat, text_of
+from cohortlake.llm.columns import by_bytes, check_columns, flat, smallest, text_of
 from cohortlake.session import settle
 
 DECAY = 0.6
 LONGEST = 32  # longer words are scored in overlapping parts
 LEARN_ROWS = (6000, 3000)  # labelled rows of label 0 and 1 to learn from, those of the smallest hash
-GROUP, COMMON, HARD = 256, 16, 400  # landmarks of either kind in one machine, mined clean words
+GROUP, COMMON = 256, 128  # landmarks of either kind in one machine
 FALSE = 0.01  # expected part of the markers that mark toxic texts by chance only
-SHARE = 0.75  # part of a marker's letters that a word must hold to be compared
+ROUNDS = 3  # machines fitted one after the other, each on the worst words of the labelled texts under the one before
+LOWEST = -1.5  # margin of texts without a word
+BANDS, PER_BAND, ALIKE = 10, 3, 0.5  # near copies among the labelled rows: minima of word triples, part of them equal
 REMEMBERED = 400_000
 _SPACED = re.compile(r"(?<!\S)\w(?:[\s.*_-]+\w(?!\w)){2,}")
 _PLAIN = str.maketrans("013457@$!", "oieastasi")
@@ -94,24 +101,45 @@ def similarity(words: list[str], marks: list[str]) -> np.ndarray:
     return out
 
 
-@dataclass
 class Machine:
-    markers: list[str]
-    common: list[str]
-    whiten: np.ndarray
-    weights: np.ndarray
-    bias: float
+    """Linear machine on the whitened kernel features, folded into a weight per letter triple."""
+
+    def __init__(self, landmarks: list[str], whiten: np.ndarray, weights: np.ndarray, bias: float):
+        self.landmarks, self.bias = landmarks, bias
+        self.letters = {c: i for i, c in enumerate(sorted(set().union(*landmarks)))}
+        share = whiten @ weights
+        size = len(self.letters) + 1  # the last stands for all other letters
+        pairs: dict[tuple[int, int], int] = {}
+        found: list[tuple[int, int, float]] = []
+        for mark, x in zip(landmarks, share, strict=True):
+            codes = [self.letters[c] for c in mark]
+            x /= np.sqrt(self_kernel([mark])[0])
+            for i, j, k in combinations(range(len(codes)), 3):
+                found.append((pairs.setdefault((codes[i], codes[j]), len(pairs) + 1), codes[k], x * DECAY ** (k - i + 1)))
+        self.pair = np.zeros((size, size), np.int32)  # 0: a pair that no landmark holds
+        for (a, b), row in pairs.items():
+            self.pair[a, b] = row
+        self.table = np.zeros((len(pairs) + 1, size))
+        rows, last, x = zip(*found, strict=True)
+        np.add.at(self.table, (rows, last), x)
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """Margin of each word; words that lack too many letters of every marker get the lowest, -1.5."""
-        out = np.full(len(words), -1.5)
-        bit = {c: 1 << i for i, c in enumerate(sorted(set().union(*self.markers)))}
-        masks = [(sum(bit[c] for c in set(m)), int(np.ceil(SHARE * len(set(m))))) for m in self.markers]
-        held = [sum(bit.get(c, 0) for c in set(w)) if len(w) > 2 else 0 for w in words]
-        near = [i for i, h in enumerate(held) if h and any((h & m).bit_count() >= least for m, least in masks)]
-        if near:
-            features = similarity([words[i] for i in near], self.markers + self.common) @ self.whiten
-            out[near] = np.maximum(features @ self.weights + self.bias, -1.5)
+        """Margin of each word; words of fewer than three letters have the lowest."""
+        out = np.full(len(words), LOWEST)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(len(w), []).append(i)
+        for n, at in groups.items():
+            for a in range(0, len(at) if n > 2 else 0, 4096):
+                part = at[a : a + 4096]
+                codes = np.array([[self.letters.get(c, len(self.letters)) for c in words[i]] for i in part])
+                total = np.zeros(len(part))
+                for i in range(n - 2):
+                    for j in range(i + 1, n - 1):
+                        rows = self.pair[codes[:, i], codes[:, j]]
+                        held = np.flatnonzero(rows)
+                        total[held] += self.table[rows[held, None], codes[held, j + 1 :]] @ (DECAY ** (np.arange(j + 1, n) - i + 1.0))
+                out[part] = np.maximum(total / np.sqrt(self_kernel([words[i] for i in part])) + self.bias, LOWEST)
         return out
 
 
@@ -157,12 +185,12 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 class _Worst:
-    """Margin of the worst token of a text; each distinct token of a worker is scored once."""
+    """Margin and spelling of the worst token of a text; each distinct token of a worker is scored once."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def of(self, texts: list[str]) -> list[float]:
+    def of(self, texts: list[str]) -> list[tuple[float, str]]:
         found = [tokens(t) for t in texts]
         new = list(set().union(*found).difference(self.known))
         if len(new) + len(self.known) > REMEMBERED:
@@ -170,24 +198,67 @@ class _Worst:
         readings = [list(forms(t)) for t in new]
         words = sorted(set().union(*readings)) if readings else []
         margin = dict(zip(words, self.model.margins(words).tolist(), strict=True))
-        self.known.update((t, max((margin[f] for f in r), default=-1.5)) for t, r in zip(new, readings, strict=True))
-        return [max(map(self.known.__getitem__, f), default=-1.5) for f in found]
+        self.known.update((t, max(((margin[f], f) for f in r), default=(LOWEST, ""))) for t, r in zip(new, readings, strict=True))
+        return [max(map(self.known.__getitem__, f), default=(LOWEST, "")) for f in found]
 
 
-def _words_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each text with a key that near copies of a text mostly share."""
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest hashes of the word triples of each text."""
     from xxhash import xxh3_64_intdigest
 
+    turn = np.random.Generator(np.random.PCG64(31)).integers(1, 2**63, BANDS * PER_BAND, np.uint64) | np.uint64(1)
     for batch in by_bytes(batches, "body", 4 << 20):
-        labels, keys, words = [], [], []
-        for label, text in zip(batch.column("label").to_pylist(), _texts(batch), strict=True):
-            own = {w for w in _RUN.findall(text.lower()) if 3 <= len(w) <= LONGEST}
-            if own:
-                key = min(xxh3_64_intdigest(w.encode()) for w in own) >> 1
-                labels += [label] * len(own)
-                keys += [key] * len(own)
-                words += own
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(keys, pa.int64()), pa.array(words, pa.string())], names=["label", "key", "word"])
+        texts = _texts(batch)
+        least = []
+        for text in texts:
+            h = np.array([xxh3_64_intdigest(w.encode()) for w in text.lower().split()], np.uint64)
+            triples = h[:-2] * np.uint64(3) ^ h[1:-1] * np.uint64(5) ^ h[2:] * np.uint64(7) if len(h) > 2 else h[:1] + h[-1:]
+            triples ^= triples >> np.uint64(29)
+            least.append([int((triples * t).min() >> np.uint64(1)) for t in turn] if len(triples) else None)
+        ids = [xxh3_64_intdigest(t.encode()) >> 1 for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["id", "least"])
+
+
+def near_copies(rows: list[tuple[int, list[int]]]) -> dict[int, int]:
+    """The group of each text: texts that share a band and ``ALIKE`` of their minima are near copies."""
+    group = {i: i for i, _ in rows}
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    buckets: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+    for i, least in sorted(rows):
+        own = np.array(least)
+        for b in range(BANDS):
+            inside = buckets.setdefault((b, *least[b * PER_BAND : (b + 1) * PER_BAND]), [])
+            for j, other in inside:
+                if top(i) != top(j) and np.mean(own == other) >= ALIKE:
+                    group[max(top(i), top(j))] = min(top(i), top(j))
+            if all(top(i) != top(j) for j, _ in inside):
+                inside.append((i, own))
+    return {i: top(i) for i in group}
+
+
+def _words_by_label(groups: dict[int, int]):
+    """Distinct words of each text with the group of its near copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in by_bytes(batches, "body", 4 << 20):
+            labels, keys, words = [], [], []
+            for label, text in zip(batch.column("label").to_pylist(), _texts(batch), strict=True):
+                own = {w for w in _RUN.findall(text.lower()) if 3 <= len(w) <= LONGEST}
+                key = groups.get(xxh3_64_intdigest(text.encode()) >> 1)
+                if own and key is not None:
+                    labels += [label] * len(own)
+                    keys += [key] * len(own)
+                    words += own
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(keys, pa.int64()), pa.array(words, pa.string())], names=["label", "key", "word"])
+
+    return run
 
 
 def _altered(word: str, rng: np.random.Generator) -> list[str]:
@@ -197,19 +268,22 @@ def _altered(word: str, rng: np.random.Generator) -> list[str]:
     return out + [word[:i] + word[i - 1] + word[i:] for i in range(1, len(word) + 1)]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the active rows."""
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     ridge = np.eye(a.shape[1])
     ridge[-1, -1] = 1e-6
+    cost = lambda v: 0.5 * ridge.diagonal() @ v**2 + c * weight @ np.maximum(0, 1 - y * (a @ v)) ** 2
     for _ in range(100):
         on = y * (a @ w) < 1
         h = ridge + 2 * c * (a[on] * weight[on, None]).T @ a[on]
-        new = np.linalg.solve(h, 2 * c * (a[on] * weight[on, None]).T @ y[on])
-        if np.abs(new - w).max() < 1e-8:
+        step, size = np.linalg.solve(h, 2 * c * (a[on] * weight[on, None]).T @ y[on]) - w, 1.0
+        while size > 1e-6 and cost(w + size * step) > cost(w):  # full steps can go round in circles
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8 or size <= 1e-6:
             break
-        w = new
     return w[:-1], float(w[-1])
 
 
@@ -239,33 +313,35 @@ def _fit(markers: list[str], often: list[str], good: list[str], fine: list[str])
     x = similarity(good + fine, markers + often) @ whiten
     y = np.concatenate([np.ones(len(good)), -np.ones(len(fine))])
     weight = np.concatenate([np.full(len(good), 1 / len(good)), np.full(len(fine), 1 / len(fine))]) * len(y) / 2
-    return Machine(markers, often, whiten, *_svm(x, y, weight))
+    return Machine(markers + often, whiten, *_svm(x, y, weight))
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", order: Column | None = None, rows: tuple[int, int] = LEARN_ROWS, seed: int = 5) -> Model | None:
     """Fit on a bounded sample of labelled rows: at most ``rows`` per label, those of the smallest ``order``.
 
-    All words that stand in toxic texts far and significantly more often than in clean ones are the positive examples,
-    however rare beside others; near copies of a text count once. None when no word marks toxic texts.
+    Rows of equal order count once. Of the words that stand in toxic texts significantly more often than in clean ones,
+    those whose texts are toxic more often than not, at the labels' rates in all rows, are the markers, however rare beside
+    others; near copies of a text count once. The machine is then fitted ``ROUNDS`` times to the worst words of the
+    labelled texts. None when no word marks toxic texts.
     """
     check_columns(labelled, text_col, label_col)
     order = F.xxhash64(F.col(f"`{text_col}`")) if order is None else order
-    known = labelled.select(F.col(f"`{label_col}`").cast("long").alias("label"), text_of(labelled, text_col).alias("body"), order.alias("_at")).where("label in (0, 1)")
-    ranked = known.select("label", "_at").withColumn("_n", F.row_number().over(W.partitionBy("label").orderBy("_at")))
-    most = F.when(F.col("label") == 1, rows[1]).otherwise(rows[0])
-    last = {r["label"]: r["_last"] for r in ranked.where(F.col("_n") <= max(rows)).where(F.col("_n") <= most).groupBy("label").agg(F.max("_at").alias("_last")).collect()}
+    known = labelled.select(F.col(f"`{label_col}`").cast("long").alias("label"), text_of(labelled, text_col).alias("body"), order.cast("long").alias("_at")).where("label in (0, 1)")
+    last, total = smallest(known, "label", "_at", {0: rows[0], 1: rows[1]})
     if set(last) != {0, 1}:
         return None
     inside = ((F.col("label") == 0) & (F.col("_at") <= F.lit(last[0]))) | ((F.col("label") == 1) & (F.col("_at") <= F.lit(last[1])))
-    sample = settle(known.where(inside).select("label", "body"), "toxic-sample")
-    spoken = settle(sample.mapInArrow(_words_by_label, "label long, key long, word string"), "toxic-words")
+    sample = settle(known.where(inside).dropDuplicates(["label", "_at"]).select("label", "body"), "toxic-sample")
+    minima = sample.mapInArrow(_minima, "id long, least array<long>").where("least is not null").distinct().collect()  # a row per sampled text
+    groups = near_copies([(r["id"], r["least"]) for r in minima])
+    spoken = settle(sample.mapInArrow(_words_by_label(groups), "label long, key long, word string"), "toxic-words")
     n = {r["label"]: r["n"] for r in spoken.groupBy("label").agg(F.count_distinct("key").alias("n")).collect()}
     if set(n) != {0, 1}:
         return None
     mine = lambda v: F.count_distinct(F.when(F.col("label") == v, F.col("key")))
     counted = settle(spoken.groupBy("word").agg(mine(1).alias("bad"), mine(0).alias("fine")), "toxic-counts")
-    p1, p0 = (F.col("bad") + 0.5) / (n[1] + 1), (F.col("fine") + 0.5) / (n[0] + 1)
-    far = counted.where((F.col("bad") > 0) & (p1 >= 8 * p0))
+    mostly = F.col("bad") / n[1] * total[1] > F.col("fine") / n[0] * total[0]
+    far = counted.where((F.col("bad") > 0) & mostly)
     pairs = [(r["bad"], r["fine"], r["words"]) for r in far.groupBy("bad", "fine").agg(F.count("*").alias("words")).collect()]  # a row per pair of counts
     kept = significant(pairs, n, counted.count())
     if not kept:
@@ -273,34 +349,32 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     marked = far.join(labelled.sparkSession.createDataFrame(kept, "bad long, fine long"), ["bad", "fine"])
     markers = [r["word"] for r in marked.orderBy(F.desc(F.col("bad") / n[1] - F.col("fine") / n[0]), "word").select("word").collect()]
     clean = counted.where(F.col("fine") > 0).join(marked.select("word"), "word", "left_anti")
-    fine = [r["word"] for r in clean.orderBy(F.xxhash64("word", F.lit(seed))).select("word").limit(3000).collect()]
+    start = {r["word"] for r in clean.orderBy(F.xxhash64("word", F.lit(seed))).select("word").limit(sum(rows) // 3).collect()}
     often = [r["word"] for r in clean.orderBy(F.desc("fine"), "word").select("word").limit(COMMON).collect()]
     rng = np.random.Generator(np.random.PCG64(seed))
-    groups = [markers[a : a + GROUP] for a in range(0, len(markers), GROUP)]
+    parts = [markers[a : a + GROUP] for a in range(0, len(markers), GROUP)]
     altered = {m: _altered(m, rng) for m in markers}
-    model = None
-    for mined in (False, True):
-        if mined:  # the clean words that the first machines find worst
-            def worst(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    words = batch.column("word").to_pylist()
-                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column("fine"), pa.array(model.margins(words))], names=["word", "fine", "margin"])
-
-            hard = clean.where(p1 < 2 * p0).select("word", "fine").mapInArrow(worst, "word string, fine long, margin double").orderBy(F.desc("margin"), "word").limit(HARD).collect()
-            fine = sorted({*fine, *(r["word"] for r in hard)})
-            alike = sorted((-r["fine"], r["word"]) for r in hard if r["margin"] > 0)[: COMMON // 2]  # clean words that a marker starts with or holds
-            often = list(dict.fromkeys([w for _, w in alike] + often))[:COMMON]
-        known = set(fine)
-        model = Model(markers, [_fit(g, often, sorted(set(g).union(*[altered[m] for m in g]).difference(known)), fine) for g in groups])
-    margins = sample.select("label", F.col("body")).mapInArrow(_margins(model, "label"), "label long, margin double")
-    seen = np.array([(r["label"], r["margin"]) for r in margins.collect()])  # a row per sampled text
+    fine, good, model = set(start), [set() for _ in parts], None
+    for turn in range(ROUNDS):
+        model = Model(markers, [_fit(g, often, sorted((set(g).union(*[altered[m] for m in g]) | more) - fine), sorted(fine)) for g, more in zip(parts, good, strict=True)])
+        worst = sample.mapInArrow(_margins(model, "label"), "label long, margin double, worst string")
+        seen = [(r["label"], r["margin"], r["worst"]) for r in worst.collect()]  # a row per sampled text
+        if turn < ROUNDS - 1:  # the words that decide the labelled texts; a marker stays one in spite of single clean texts
+            fine |= {w for label, x, w in seen if label == 0 and x > -1 and len(w) > 2} - set(markers)
+            caught = sorted({w for label, x, w in seen if label == 1 and x > 0})
+            if caught:  # each goes to the machine that gives it most
+                for w, at in zip(caught, np.argmax([m.margins(caught) for m in model.machines], axis=0), strict=True):
+                    good[at].add(w)
+            alike = Counter(w for label, x, w in seen if label == 0 and x > 0 and len(w) > 2 and w not in markers)
+            often = list(dict.fromkeys([w for w, _ in sorted(alike.items(), key=lambda y: (-y[1], y[0]))[: COMMON // 2]] + often))[:COMMON]
+    seen = np.array([(label, x) for label, x, _ in seen])
     bad, ok = np.sort(seen[seen[:, 0] == 1, 1]), np.sort(seen[seen[:, 0] == 0, 1])
-    cuts = np.unique(seen[:, 1])
-    cuts = cuts[:-1] + 0.35 * np.diff(cuts)
-    if len(cuts):
-        # the cut with the fewest wrong labels; of equal ones that in the widest gap, nearer to the clean texts
-        wrong = np.searchsorted(bad, cuts) + len(ok) - np.searchsorted(ok, cuts)
-        edges = np.unique(seen[:, 1])
+    own = np.sort(model.margins(markers))
+    edges = np.unique(np.concatenate([seen[:, 1], own]))
+    if len(edges) > 1:
+        # the cut with the fewest wrong labels; of equal ones with the fewest markers below, then in the widest gap, nearer to the clean texts
+        cuts = edges[:-1] + 0.35 * np.diff(edges)
+        wrong = np.searchsorted(bad, cuts) + len(ok) - np.searchsorted(ok, cuts) + np.searchsorted(own, cuts) / (len(own) + 1)
         best = np.flatnonzero(wrong == wrong.min())
         model.middle = float(cuts[best[np.argmax(np.diff(edges)[best])]])
     return model
@@ -313,7 +387,10 @@ def _margins(model: Model, key: str):
             _KNOWN.clear()
             _KNOWN[name] = _Worst(model)
         for batch in by_bytes(batches, "body", 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(_KNOWN[name].of(_texts(batch)), pa.float64())], names=[key, "margin"])
+            worst = _KNOWN[name].of(_texts(batch))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array([x for x, _ in worst], pa.float64()), pa.array([w for _, w in worst], pa.string())], names=[key, "margin", "worst"]
+            )
 
     return run
 
@@ -321,13 +398,13 @@ def _margins(model: Model, key: str):
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, score (0 to 1, 0.5 at the learned cut), predicted (1 from 0.5 on).
 
-    Whole texts are read. Null and empty texts get the score of a text without any marked word; without a
+    Whole texts are read. Null and empty texts get the score of a text without any word; without a
     model every score is 0. Repeated rows get equal scores; an empty table gives an empty table.
     """
     check_columns(docs, id_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(docs, text_col).alias("body"))
     if model is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    scored = rows.mapInArrow(_margins(model, "id"), "id long, margin double")
+    scored = rows.mapInArrow(_margins(model, "id"), "id long, margin double, worst string")
     value = 1 / (1 + F.exp(F.lit(-model.slope) * (F.col("margin") - F.lit(model.middle))))
     return scored.select(F.col("id").alias(id_col), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))

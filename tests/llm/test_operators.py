@@ -1,7 +1,9 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import re
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +11,7 @@ import pytest
 
 from cohortlake.llm import decontaminate, htmltext, language, toxicity, warc
 from cohortlake.llm.decontaminate import contamination, without_spans
+from cohortlake.llm.columns import smallest
 from cohortlake.llm.exact import Patricia, exact_duplicates
 from cohortlake.llm.mixing import mix, mixed_rows
 from cohortlake.llm.neardup import near_duplicates
@@ -183,6 +186,72 @@ def test_toxicity_learns_rare_words_beside_a_dominant_one(spark, monkeypatch):
         assert [got[i]["predicted"] for i in range(52)] == [1] * 51 + [0]
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    bad = ["wretchkin", "gloompuff", "stinkwort"]
+    rows = [(i, f"{_text(40)}. {bad[i % 3] if i % 4 == 0 else ''} {_text(5)}", int(i % 4 == 0)) for i in range(300)]
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic long"))
+
+    def triples(word):
+        found = {}
+        for i, j, k in combinations(range(len(word)), 3):
+            u = word[i] + word[j] + word[k]
+            found[u] = found.get(u, 0.0) + toxicity.DECAY ** (k - i + 1)
+        return found
+
+    def like(a, b):
+        x, y = triples(a), triples(b)
+        size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(u, 0.0) for u, v in x.items()) / size
+
+    marks = bad + ["among", "letters", "bramble"]
+    own = np.random.Generator(np.random.PCG64(8))
+    whiten, weights = own.normal(size=(6, 6)), own.normal(size=6)
+    machine = toxicity.Machine(marks, whiten, weights, 0.25)
+    words = ["wretchkin", "wretch-kin", "ab", "abc", "gloompuffs", "xyzzyq", "bramblewood" * 2, "ÄÖÜäöü"]
+    want = [max(np.array([like(w, m) for m in marks]) @ whiten @ weights + 0.25, -1.5) if len(w) > 2 else -1.5 for w in words]
+    assert np.allclose(machine.margins(words), want, atol=1e-4)
+
+    texts = [None, "", "...", *(r[1] for r in rows[:12]), "a w.retch-kin b", "g l o o m p u f f", "st1nkw0rt", "x" * 5000, f"{_text(500)} stinkwortt"]
+    table = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] * 2, "doc_id long, text string, score string")
+    got = toxicity.score(table, model).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        spellings = [f for token in toxicity.tokens(texts[r["doc_id"]] or "") for f in toxicity.forms(token)]
+        margin = max((m.margins([f])[0] for f in spellings for m in model.machines), default=toxicity.LOWEST)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-model.slope * (margin - model.middle))), abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_toxicity_counts_near_copies_once_and_ties_of_the_order(spark):
+    own = np.random.Generator(np.random.PCG64(12))
+    many = ["".join(x) for x in own.choice(list("abcdehinorst"), (3000, 5))]
+    said = lambda n: [str(w) for w in own.choice(many, n)]
+    page = said(60)
+    copies = [" ".join([*page[:i], "x", *page[i + 1 :]]) for i in range(20)]
+    apart = [" ".join(said(60)) for _ in range(200)]
+    ids = list(range(220))
+    groups = toxicity.near_copies([(i, list(r["least"])) for i, r in zip(ids, _minima(spark, copies + apart), strict=True)])
+    assert len({groups[i] for i in ids[:20]}) == 1 and len({groups[i] for i in ids[20:]}) == 200
+    rows = [(f"{' '.join(said(30))} gloompuff", 1) for _ in range(40)] + [(t, 1) for t in copies] * 2 + [(t, 0) for t in apart] * 3
+    assert toxicity.learn(spark.createDataFrame(rows, "text string, toxic long")).markers == ["gloompuff"]
+    assert toxicity.learn(spark.createDataFrame([(None, 1), ("", 0), ("a", None)], "text string, toxic long")) is None
+
+
+def _minima(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "label long, body string").coalesce(1)
+    return rows.mapInArrow(toxicity._minima, "id long, least array<long>").collect()
+
+
+@pytest.mark.parametrize("wanted", [1, 7, 500, 5000])
+def test_smallest_hashes(spark, wanted):
+    own = np.random.Generator(np.random.PCG64(2))
+    values = {"a": own.integers(-(2**63), 2**63, 3000).tolist(), "b": [5] * 4000, "c": own.integers(0, 100, 900).tolist()}
+    table = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "label string, at long")
+    last, total = smallest(table, "label", "at", dict.fromkeys(values, wanted))
+    assert total == {k: len(v) for k, v in values.items()}
+    assert last == {k: sorted(set(v))[:wanted][-1] for k, v in values.items()}
+
+
 def test_subsequence_kernel_equals_enumeration():
     from itertools import combinations
 

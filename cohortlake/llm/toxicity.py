@@ -67,10 +67,15 @@ def subsequence_kernel(words: list[str], marks: list[str], decay: float = DECAY)
     return total
 
 
+def letters_of(words: list[str]) -> np.ndarray:
+    """Code points of words of one common length, a row per word."""
+    return np.array(words, f"<U{len(words[0])}").view(np.uint32).reshape(len(words), -1)
+
+
 def self_kernel(words: list[str], decay: float = DECAY) -> np.ndarray:
     """Kernel of every word with itself, for words of one common length."""
     n = len(words[0])
-    codes = np.array([[ord(c) for c in w] for w in words])
+    codes = letters_of(words)
     far = np.subtract.outer(np.arange(n), np.arange(n))
     step = np.where(far > 0, decay ** np.maximum(far - 1, 0), 0).T
     one = np.zeros((len(words), n))
@@ -116,30 +121,34 @@ class Machine:
             x /= np.sqrt(self_kernel([mark])[0])
             for i, j, k in combinations(range(len(codes)), 3):
                 found.append((pairs.setdefault((codes[i], codes[j]), len(pairs) + 1), codes[k], x * DECAY ** (k - i + 1)))
-        self.pair = np.zeros((size, size), np.int32)  # 0: a pair that no landmark holds
-        for (a, b), row in pairs.items():
-            self.pair[a, b] = row
-        self.table = np.zeros((len(pairs) + 1, size))
+        self.pair = np.zeros((size, size), np.int64)  # where the weights of a pair begin; 0: a pair that no landmark holds
+        for (first, second), row in pairs.items():
+            self.pair[first, second] = row * size
+        self.table = np.zeros((len(pairs) + 1) * size)
         rows, last, x = zip(*found, strict=True)
-        np.add.at(self.table, (rows, last), x)
+        np.add.at(self.table, np.array(rows) * size + np.array(last), x)
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word; words of fewer than three letters have the lowest."""
         out = np.full(len(words), LOWEST)
+        size = len(self.letters) + 1
+        known = np.array([ord(c) for c in self.letters], np.uint32)  # in order of code points
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             groups.setdefault(len(w), []).append(i)
         for n, at in groups.items():
-            for a in range(0, len(at) if n > 2 else 0, 4096):
-                part = at[a : a + 4096]
-                codes = np.array([[self.letters.get(c, len(self.letters)) for c in words[i]] for i in part])
+            for a in range(0, len(at) if n > 2 else 0, 2048):
+                part = at[a : a + 2048]
+                same = [words[i] for i in part]
+                points = letters_of(same)
+                near = np.minimum(np.searchsorted(known, points), size - 2)
+                codes = np.where(known[near] == points, near, size - 1)
                 total = np.zeros(len(part))
                 for i in range(n - 2):
                     for j in range(i + 1, n - 1):
                         rows = self.pair[codes[:, i], codes[:, j]]
-                        held = np.flatnonzero(rows)
-                        total[held] += self.table[rows[held, None], codes[held, j + 1 :]] @ (DECAY ** (np.arange(j + 1, n) - i + 1.0))
-                out[part] = np.maximum(total / np.sqrt(self_kernel([words[i] for i in part])) + self.bias, LOWEST)
+                        total += self.table.take(rows[:, None] + codes[:, j + 1 :]) @ (DECAY ** (np.arange(j + 1, n) - i + 1.0))
+                out[part] = np.maximum(total / np.sqrt(self_kernel(same)) + self.bias, LOWEST)
         return out
 
 
@@ -158,12 +167,14 @@ class Model:
 def forms(token: str) -> set[str]:
     """Readings of a token between white space: its runs of letters, all its letters, and with figures read as letters."""
     if token.isalpha():
+        if len(token) <= LONGEST:
+            return {token}
         found = {token}
     else:
         runs = _RUN.findall(token)
         found = {*runs, "".join(runs)}
-        if runs:
-            found.add("".join(_RUN.findall(token.translate(_PLAIN))))
+        if runs and (plain := token.translate(_PLAIN)) != token:
+            found.add("".join(_RUN.findall(plain)))
     out = set()
     for f in found:
         out.update([f] if len(f) <= LONGEST else [f[a : a + LONGEST] for a in range(0, len(f) - LONGEST // 2, LONGEST // 2)])
@@ -185,21 +196,24 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 class _Worst:
-    """Margin and spelling of the worst token of a text; each distinct token of a worker is scored once."""
+    """Margin of the worst token of a text, with its spelling if asked; each distinct token of a worker is scored once."""
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, spelled: bool):
+        self.model, self.spelled, self.known = model, spelled, {}
 
-    def of(self, texts: list[str]) -> list[tuple[float, str]]:
+    def of(self, texts: list[str]) -> list:
         found = [tokens(t) for t in texts]
-        new = list(set().union(*found).difference(self.known))
+        new = set().union(*found).difference(self.known)
         if len(new) + len(self.known) > REMEMBERED:
-            self.known, new = {}, list(set().union(*found))
-        readings = [list(forms(t)) for t in new]
-        words = sorted(set().union(*readings)) if readings else []
-        margin = dict(zip(words, self.model.margins(words).tolist(), strict=True))
-        self.known.update((t, max(((margin[f], f) for f in r), default=(LOWEST, ""))) for t, r in zip(new, readings, strict=True))
-        return [max(map(self.known.__getitem__, f), default=(LOWEST, "")) for f in found]
+            self.known, new = {}, set().union(*found)
+        readings = {t: forms(t) for t in new}
+        words = list(set().union(*readings.values()))
+        values = self.model.margins(words).tolist()
+        margin = dict(zip(words, zip(values, words, strict=True) if self.spelled else values, strict=True))
+        least = (LOWEST, "") if self.spelled else LOWEST
+        for t, r in readings.items():
+            self.known[t] = max(map(margin.__getitem__, r), default=least)
+        return [max(map(self.known.__getitem__, f), default=least) for f in found]
 
 
 def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +371,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     fine, good, model = set(start), [set() for _ in parts], None
     for turn in range(ROUNDS):
         model = Model(markers, [_fit(g, often, sorted((set(g).union(*[altered[m] for m in g]) | more) - fine), sorted(fine)) for g, more in zip(parts, good, strict=True)])
-        worst = sample.mapInArrow(_margins(model, "label"), "label long, margin double, worst string")
+        worst = sample.mapInArrow(_margins(model, "label", spelled=True), "label long, margin double, worst string")
         seen = [(r["label"], r["margin"], r["worst"]) for r in worst.collect()]  # a row per sampled text
         if turn < ROUNDS - 1:  # the words that decide the labelled texts; a marker stays one in spite of single clean texts
             fine |= {w for label, x, w in seen if label == 0 and x > -1 and len(w) > 2} - set(markers)
@@ -380,17 +394,19 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     return model
 
 
-def _margins(model: Model, key: str):
+def _margins(model: Model, key: str, spelled: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (tuple(model.markers), *(m.bias for m in model.machines))
+        name = (spelled, tuple(model.markers), *(m.bias for m in model.machines))
         if name not in _KNOWN:
             _KNOWN.clear()
-            _KNOWN[name] = _Worst(model)
+            _KNOWN[name] = _Worst(model, spelled)
         for batch in by_bytes(batches, "body", 1 << 20):
             worst = _KNOWN[name].of(_texts(batch))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array([x for x, _ in worst], pa.float64()), pa.array([w for _, w in worst], pa.string())], names=[key, "margin", "worst"]
-            )
+            margins = [x for x, _ in worst] if spelled else worst
+            out = {key: batch.column(key), "margin": pa.array(margins, pa.float64())}
+            if spelled:
+                out["worst"] = pa.array([w for _, w in worst], pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
@@ -405,6 +421,6 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(docs, text_col).alias("body"))
     if model is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    scored = rows.mapInArrow(_margins(model, "id"), "id long, margin double, worst string")
+    scored = rows.mapInArrow(_margins(model, "id"), "id long, margin double")
     value = 1 / (1 + F.exp(F.lit(-model.slope) * (F.col("margin") - F.lit(model.middle))))
     return scored.select(F.col("id").alias(id_col), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))

@@ -6,14 +6,17 @@ ratios are smoothed over neighbouring paths in page order, fused to one score, a
 best score are the content paths. All blocks on them are given out, and with them the short ones of the article: of an
 <article> or <main> that holds nearly all of their text, else of the lowest element that holds all of it.
 
-Tags, roles and class or id words that name boilerplate leave an element out. Words that articles use too, and all words
-on a section of an article, do so only where the ratio of the element is low or its text mostly links; words on headings never.
+Tags, roles and classes or ids that consist of words for boilerplate leave an element out. Where other words or words for
+layout stand beside them, it stays if it holds most text of the page, with words of reader comments nearly all. Words that
+articles use too, and all words on a section of an article, leave it out only where its ratio is low or its text mostly
+links; words on headings never.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +27,7 @@ from cohortlake.llm.columns import by_bytes, check_columns, flat, text_of
 
 THRESHOLD = 0.1  # part of the best path's score that a content path reaches
 HOLDS = 0.95  # part of the content text that an article or main holds whose short blocks are given out
+KEEPS = {"part": 0.5, "comment": HOLDS}  # part of the page's text that an element holds which stays in spite of its words
 LINKED = 0.5  # part of link text from which a block is a menu
 
 _TOKEN = re.compile(
@@ -45,10 +49,13 @@ _OUT_WORDS = set(
     skip teaser teasers""".split()
 )
 _MAYBE_WORDS = set(
-    """sponsor sponsors promotion banner banners consent notice notices alert alerts header masthead comment reply respond discussion share sharing social
+    """sponsor sponsors promotion banner banners consent notice notices alert alerts header masthead discussion share sharing social
     related recommended recommendations subscription login search copyright legal disclaimer skip teaser teasers""".split()
 )
-_LAYOUT_WORDS = set("has with no without wrapper wrap container content main article page body layout".split())
+_COMMENT_WORDS = set("comment comments commentary commenter commentlist reply replies respond disqus".split())
+_LAYOUT_WORDS = set("wrapper wrap container content main article page body layout".split())
+_PLACE_WORDS = set("site top left right bottom primary secondary bar box list item inner outer block area section slot unit text fixed global".split())
+_BESIDE_WORDS = set("has with no without".split())  # has-sidebar names what stands beside the element
 _OUT_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _NEVER_OUT = set("html body main article".split()) | _HEADINGS
@@ -57,34 +64,60 @@ _SCOPES = set("ul ol dl table article section div body td th blockquote".split()
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+def _boilerplate(names: str, section: bool) -> str:
+    """What class and id words say: "" (nothing), "out", "part" (out unless it is most of the page), "comment" (out unless it is nearly all), "ratio"."""
+    named: set[str] = set()
+    other = False
+    for token in names.split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+        if words & _BESIDE_WORDS:
+            other = True
+            continue
+        found = words & (_OUT_WORDS | _COMMENT_WORDS)
+        if found & _MAYBE_WORDS and words & _LAYOUT_WORDS:
+            other, found = True, found - _MAYBE_WORDS
+        named |= found
+        other = other or bool(words - found - _PLACE_WORDS)
+    if not named:
+        return ""
+    if section or named <= _MAYBE_WORDS:
+        return "ratio"
+    if named & _COMMENT_WORDS:
+        return "comment"
+    return "part" if other else "out"
+
+
 class _Element:
-    __slots__ = ("tag", "path", "out", "link", "up", "inside", "maybe")
+    __slots__ = ("tag", "path", "out", "link", "up", "inside", "maybe", "kind", "depth")
 
-    def __init__(self, tag: str, rest: str, up: _Element | None):
-        self.tag, self.up = tag, up
-        self.path, self.out, self.link = (up.path, up.out, up.link) if up else ("", False, False)
+    def __init__(self, tag: str, rest: str, up: _Element | None, paths: dict):
+        self.tag, self.up, self.kind = tag, up, ""
+        self.path, self.out, self.link, self.depth = (up.path, up.out, up.link, up.depth + 1) if up else (0, False, False, 0)
         self.inside, self.maybe = (up.inside or tag in ("article", "main"), up.maybe) if up else (False, None)
         if tag in _INLINE:
             self.link = self.link or tag == "a"
-        words: set[str] = set()
+        names = ""
         if rest.strip(" /\n\t\r"):
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-            words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower()))
+            names = f"{found.get('class', '')} {found.get('id', '')}"
             if tag not in _NEVER_OUT:
-                named = words & _OUT_WORDS if not words & _LAYOUT_WORDS else set()
-                if named and (named <= _MAYBE_WORDS or (tag == "section" and self.inside)):
-                    self.maybe, named = self.maybe or self, set()
+                self.kind = _boilerplate(names, tag == "section" and self.inside)
                 unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
-                self.out = self.out or bool(named) or unseen or bool(set(found.get("role", "").lower().split()) & _OUT_ROLES)
+                self.out = self.out or self.kind == "out" or unseen or bool(set(found.get("role", "").lower().split()) & _OUT_ROLES)
+                if self.kind in KEEPS or self.kind == "ratio":
+                    self.maybe = self
         self.out = self.out or tag in _OUT_TAGS
-        if tag not in _INLINE:
-            self.path = f"{self.path}/{'.'.join([tag, *sorted(words)])}"
+        if tag not in _INLINE and up:
+            words = " ".join(sorted(set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))))
+            self.path = paths.setdefault((up.path, tag, words), len(paths) + 1)
 
 
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """(innermost element, text, characters of link text) of every text block outside boilerplate, in page order."""
-    root = _Element("", "", None)
+    paths: dict[tuple[int, str, str], int] = {}
+    root = _Element("", "", None, paths)
     at, stack, found, parts, links, owner, pos = root, [root], [], [], 0, root, 0
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal parts, links
@@ -98,11 +131,16 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         if not raw or at.out:
             return
         text = html.unescape(raw)
-        if not parts or owner.path == "":
+        if not parts or owner.path == 0:
             owner = at
         parts.append(text)
         links += len(text.strip()) if at.link else 0
 
+    def cut(start: int) -> None:
+        for e in stack[start:]:
+            opened[e.tag] -= 1
+        del stack[start:]
+
     while pos < len(page):
         m = _TOKEN.search(page, pos)
         if m is None:
@@ -116,10 +154,8 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         if m["end"] or m["end2"]:
             if tag not in _INLINE:
                 flush()
-            if any(e.tag == tag for e in stack[1:]):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+            if opened[tag]:
+                cut(max(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag) if stack[-1].tag != tag else len(stack) - 1)
                 at = stack[-1]
             continue
         rest = m["rest"] or m["rest2"] or ""
@@ -130,12 +166,13 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             flush()
             if tag not in _VOID:
                 closes = _CLOSED_BY.get(tag)
-                for i in range(len(stack) - 1, 0, -1):
+                may = opened["p"] or any(opened[c] for c in closes or ())
+                for i in range(len(stack) - 1 if may else 0, 0, -1):
                     if closes and stack[i].tag in closes:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        cut(i)
                         if not closes:
                             break
                     elif stack[i].tag in _SCOPES:
@@ -149,21 +186,39 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         if rest.rstrip().endswith("/") and tag in ("path", "use"):
             continue
-        at = _Element(tag, rest, at)
+        at = _Element(tag, rest, at, paths)
         stack.append(at)
+        opened[tag] += 1
     flush()
     return found
 
 
-def _chain(element: _Element) -> Iterator[_Element]:
-    while element is not None:
-        yield element
-        element = element.up
+def _holders(found: list[tuple[_Element, str, int]]) -> list[_Element]:
+    """All elements with a block somewhere inside, inner ones after outer ones."""
+    seen: dict[_Element, None] = {}
+    for element, _, _ in found:
+        while element is not None and element not in seen:
+            seen[element] = None
+            element = element.up
+    return sorted(seen, key=lambda e: e.depth)
+
 
+def _lengths(found: list[tuple[_Element, str, int]], holders: list[_Element]) -> tuple[dict[_Element, int], dict[_Element, int]]:
+    """Characters, and those of links, inside every element."""
+    length, linked = dict.fromkeys(holders, 0), dict.fromkeys(holders, 0)
+    for element, text, links in found:
+        length[element] += len(text)
+        linked[element] += min(links, len(text))
+    for e in reversed(holders):
+        if e.up is not None:
+            length[e.up] += length[e]
+            linked[e.up] += linked[e]
+    return length, linked
 
-def content_paths(found: list[tuple[_Element, str, int]], threshold: float) -> set[str]:
+
+def content_paths(found: list[tuple[_Element, str, int]], threshold: float) -> set[int]:
     """Paths whose smoothed, fused ratio reaches ``threshold`` of the best."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for element, text, links in found:
         s = sums.setdefault(element.path, [0, 0, 0, 0])
         s[0] += len(text)
@@ -184,50 +239,59 @@ def _ratio(parts: list[tuple[_Element, str, int]]) -> tuple[float, float]:
 
 
 def _without_named(found: list[tuple[_Element, str, int]], threshold: float) -> list[tuple[_Element, str, int]]:
-    """The blocks but for those of elements that their words call boilerplate and their ratio or links too."""
+    """The blocks but for those of elements that their words call boilerplate and their place, ratio or links too."""
+    if all(element.maybe is None for element, _, _ in found):
+        return found
+    holders = _holders(found)
+    length, linked = _lengths(found, holders)
+    total = sum(len(text) for _, text, _ in found)
+    gone: dict[_Element, bool] = {}
+    for e in holders:  # from the outside in
+        gone[e] = (e.up is not None and gone[e.up]) or (e.kind in KEEPS and (length[e] < KEEPS[e.kind] * total or linked[e] >= LINKED * length[e]))
+        if gone[e] and e.up is not None and not gone[e.up]:
+            total -= length[e] if length[e] < total else 0
+    found = [x for x in found if not gone[x[0]]]
     named: dict[_Element, list[tuple[_Element, str, int]]] = {}
-    paths: dict[str, list[tuple[_Element, str, int]]] = {}
+    paths: dict[int, list[tuple[_Element, str, int]]] = {}
+    outer: dict[_Element, _Element | None] = {}
+    for e in holders:
+        outer[e] = (outer[e.up] if e.up is not None else None) or (e if e.kind == "ratio" else None)
     for block in found:
         paths.setdefault(block[0].path, []).append(block)
-        if block[0].maybe is not None:
-            named.setdefault(block[0].maybe, []).append(block)
+        if outer[block[0]] is not None:
+            named.setdefault(outer[block[0]], []).append(block)
     if not named:
         return found
     best = max(_ratio(parts)[0] for parts in paths.values())
     out = set()
     for element, parts in named.items():
-        score, linked = _ratio(parts)
-        if score < threshold * best or linked >= LINKED:
+        score, links = _ratio(parts)
+        if score < threshold * best or links >= LINKED:
             out.add(element)
-    return [x for x in found if x[0].maybe not in out or (x[0].inside and x[0].tag in _HEADINGS)]
+    return [x for x in found if outer[x[0]] not in out or (x[0].inside and x[0].tag in _HEADINGS)]
 
 
 def main_text(page: str, threshold: float = THRESHOLD) -> str:
     """The article of a page as plain text; empty if there is none."""
     found = _without_named(blocks(page), threshold)
     chosen = content_paths(found, threshold)
-    inside: dict[_Element, int] = {}
-    total = 0
-    for element, text, _ in found:
-        if element.path in chosen:
-            total += len(text)
-            for e in _chain(element):
-                inside[e] = inside.get(e, 0) + len(text)
-    if not total:
+    main = [x for x in found if x[0].path in chosen]
+    if not main:
         return ""
-    deepest = lambda some: max(some, key=lambda e: sum(1 for _ in _chain(e)))
-    named = [e for e, n in inside.items() if e.tag in ("article", "main") and n >= HOLDS * total]
-    top = deepest(named or [e for e, n in inside.items() if n == total])
+    holders = _holders(found)
+    inside, _ = _lengths(main, holders)
+    total = sum(len(text) for _, text, _ in main)
+    named = [e for e in holders if e.tag in ("article", "main") and inside[e] >= HOLDS * total]
+    top = max(named or [e for e in holders if inside[e] == total], key=lambda e: e.depth)
     whole = top.tag not in ("", "html", "body")  # the page itself has menus beside the article
+    under: dict[_Element, bool] = {}  # inside the article's element
+    beside: dict[_Element, bool] = {}  # and no element in between holds content
+    for e in holders:
+        under[e] = e is top or (e.up is not None and under[e.up])
+        beside[e] = e is top or (under[e] and beside[e.up] and not inside[e])
 
     def given(element: _Element, text: str, links: int) -> bool:
-        chain = list(_chain(element))
-        if element.path in chosen:
-            return True
-        if not any(e is top for e in chain):
-            return False
-        beside = not any(e in inside for e in chain[: next(i for i, e in enumerate(chain) if e is top)])
-        return whole or not beside or links < LINKED * len(text)
+        return element.path in chosen or (under[element] and (whole or not beside[element] or links < LINKED * len(text)))
 
     return " ".join(text for element, text, links in found if given(element, text, links))
 

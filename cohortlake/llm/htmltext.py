@@ -53,6 +53,7 @@ _MAYBE_WORDS = set(
     related recommended recommendations subscription login search copyright legal disclaimer skip teaser teasers""".split()
 )
 _COMMENT_WORDS = set("comment comments commentary commenter commentlist reply replies respond disqus".split())
+_MAYBE_COMMENT_WORDS = set("comment commentary commenter reply respond".split())
 _LAYOUT_WORDS = set("wrapper wrap container content main article page body layout".split())
 _PLACE_WORDS = set("site top left right bottom primary secondary bar box list item inner outer block area section slot unit text fixed global".split())
 _BESIDE_WORDS = set("has with no without".split())  # has-sidebar names what stands beside the element
@@ -82,9 +83,9 @@ def _boilerplate(names: str, section: bool) -> str:
         return ""
     if section or named <= _MAYBE_WORDS:
         return "ratio"
-    if named & _COMMENT_WORDS:
-        return "comment"
-    return "part" if other else "out"
+    if not other and not named & _MAYBE_COMMENT_WORDS:
+        return "out"
+    return "comment" if named & _COMMENT_WORDS else "part"
 
 
 class _Element:

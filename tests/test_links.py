@@ -27,6 +27,22 @@ def test_link_is_a_product_of_the_matches(sides, link_fn):
     assert got == sorted(want, key=str)
 
 
+def test_a_large_product_is_dealt_to_many_tasks(table, monkeypatch):
+    monkeypatch.setattr(link, "PIECE_ROWS", 100, raising=False)
+    monkeypatch.setattr(link, "TASK_ROWS", 500, raising=False)
+    left = table([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "e")], "k int, v string")
+    one = table([(1, i // 2) for i in range(60)] + [(2, 7), (None, 8)] + [(4, i) for i in range(150)], "k int, b int")  # equal rows too
+    two = table([(1, i) for i in range(40)] + [(2, i) for i in range(3)], "k long, c int")
+    three = table([("1", "x"), ("4", "y")], "k string, d string")
+    out = link.link_multi(left, ["k"], [LinkSide(one, ["k"]), LinkSide(two, ["k"]), LinkSide(three, ["k"])])
+    assert out.columns == ["k", "v", "b", "c", "d"]
+    want = 2 * [(1, "a", i // 2, j, "x") for i in range(60) for j in range(40)] + [(2, "b", 7, j, None) for j in range(3)]
+    want += [(4, "d", i, None, "y") for i in range(150)] + [(3, "c", None, None, None), (None, "e", None, None, None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    per_task = out.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert per_task < 2400  # before, all 4800 rows of key 1 came from one task
+
+
 def test_link_checks(sides):
     left, one, _ = sides
     with pytest.raises(ValueError, match="both sides"):

@@ -43,6 +43,36 @@ def test_a_large_product_is_dealt_to_many_tasks(table, monkeypatch):
     assert per_task < 2400  # before, all 4800 rows of key 1 came from one task
 
 
+def test_blocks_of_a_large_product_are_unpacked_last_and_sent_once(table, monkeypatch):
+    monkeypatch.setattr(link, "PIECE_ROWS", 100)
+    monkeypatch.setattr(link, "TASK_ROWS", 500)
+    left = table([(1, "a"), (2, "b"), (3, None), (3, "c"), (None, "d")], "k int, v string")
+    one = table([(1, i if i % 3 else None) for i in range(90)] + [(3, 5)], "k int, b int")  # nulls in the only kept column
+    two = table([(1, i, str(i)) for i in range(50)] + [(2, 1, "x")], "k int, c int, d string")
+    none = table([(1,), (1,), (3,)], "k int")  # no kept column
+    three = table([(3, i) for i in range(300)], "k int, e int")
+    sides = [LinkSide(one, ["k"]), LinkSide(two, ["k"]), LinkSide(none, ["k"]), LinkSide(three, ["k"])]
+    out = link.link_multi(left, ["k"], sides)
+    assert out.columns == ["k", "v", "b", "c", "d", "e"]
+    top, large = out._jdf.queryExecution().executedPlan().toString().split("Union", 1)
+    want = 2 * [(1, "a", i if i % 3 else None, j, str(j), None) for i in range(90) for j in range(50)] + [(2, "b", None, 1, "x", None)]
+    want += [(3, v, 5, None, None, i) for v in (None, "c") for i in range(300)] + [(None, "d", None, None, None, None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert top.count("Generate explode") == 1  # before, a task held all rows of a piece at once, as nothing was unpacked after the union
+    pieces = [x for x in large.splitlines() if "Exchange" in x and "__c0" in x and "__c4" in x]
+    assert len(pieces) == 5 and all("REPARTITION_BY_NUM" in x for x in pieces)  # a table's blocks go through one shuffle to the pieces
+
+
+def test_keys_equal_as_values_or_texts_only_keep_their_rows(table, monkeypatch):
+    monkeypatch.setattr(link, "PIECE_ROWS", 100)
+    left = table([(0.0, 1), (-0.0, 2)], "k double, a int")
+    one = table([(0.0, i) for i in range(30)], "k double, b int")
+    two = table([("0.0", i) for i in range(20)], "k string, c int")  # large for 0.0 only
+    out = link.link_multi(left, ["k"], [LinkSide(one, ["k"]), LinkSide(two, ["k"])])
+    got = sorted((r["a"], r["b"], r["c"]) for r in out.na.fill(-1).collect())
+    assert got == sorted([(1, b, c) for b in range(30) for c in range(20)] + [(2, b, -1) for b in range(30)])
+
+
 def test_link_checks(sides):
     left, one, _ = sides
     with pytest.raises(ValueError, match="both sides"):
